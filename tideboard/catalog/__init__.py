@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_PARTS = ("extraction",)
+_PARTS = ("extraction", "scans")
 
 
 def _collect(name):

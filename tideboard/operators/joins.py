@@ -5,10 +5,12 @@ from the caller get no hint: their size decides, and AQE splits hot keys of a sh
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from tideboard.rules import aliases as A
 from tideboard.rules import lexicons as L
 from tideboard.rules import places as PL
 
+# Workers get these functions by value, so the package need not be installed on them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _NULL_PARTS = 4096
 
 
@@ -121,19 +126,12 @@ def match_lexicon(
     # A full stop or slash at the edge of a word belongs to the sentence.
     words = F.filter(F.transform(words, lambda w: F.regexp_replace(w, r"^[./]+|[./]+$", "")), lambda w: w != "")
     held = df.select(id_col, words.alias("_words"))
-    runs = F.array_distinct(
-        F.flatten(
-            F.array(
-                *[
-                    F.transform(
-                        F.sequence(F.lit(1), F.greatest(F.size("_words") - (n - 1), F.lit(1))),
-                        lambda i, n=n: F.array_join(F.slice("_words", i, n), " "),
-                    )
-                    for n in range(1, longest + 1)
-                ]
-            )
-        )
-    )
+
+    def runs_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.array_join(F.slice("_words", i, n), " "))
+
+    runs = F.array_distinct(F.flatten(F.array(*[runs_of(n) for n in range(1, longest + 1)])))
     terms = F.broadcast(lexicon) if broadcast_lexicon else lexicon
     hits = held.select(id_col, F.explode(runs).alias("term")).join(terms, "term")
     return hits.groupBy(id_col).agg(F.array_sort(F.collect_set("shown")).alias("terms"))

@@ -4,9 +4,11 @@ Python: a tag scan per page, fed by Arrow batches, and only for pages that carry
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,10 @@ from tideboard.functions import text as T
 from tideboard.functions import url as U
 from tideboard.rules import pages as R
 
+# Workers get these functions by value, so the package need not be installed on them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(R)
+
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)\b([^>]*)>")
 _HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}

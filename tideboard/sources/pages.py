@@ -92,56 +92,60 @@ def _pagination(html: Column) -> Column:
 def pagination_info(pages: DataFrame) -> DataFrame:
     """Page numbers offered by the first pagination element of each page."""
 
-    def opening(e: Column) -> Column:
-        return F.lower(F.regexp_extract(e, r"(?s)^<[^>]*>", 0))
-
-    def label(e: Column) -> Column:
-        return H.strip_tags(e)
-
-    def number(e: Column) -> Column:
-        return F.regexp_extract(label(e), r"^(\d{1,9})$", 1).try_cast("int")
-
-    elements = F.col("elements")
-    numbered = F.filter(elements, lambda e: number(e).between(1, 999))
-    current = F.filter(
-        numbered, lambda e: T.matches(opening(e), r'class="[^"]*(?:active|current|selected|bold)|aria-current="page"')
-    )
-    is_next = lambda e: (
-        T.matches(F.lower(label(e)), "next|>") | T.matches(opening(e), r'(?:aria-label|title)="[^"]*next')
-    ) & ~T.matches(opening(e), r'class="[^"]*disabled|aria-disabled="true"')
-    is_prev = lambda e: T.matches(F.lower(label(e)), "prev|<") | T.matches(opening(e), r'aria-label="[^"]*prev')
-    return (
-        pages.select("page_id", _pagination(F.col("html")).alias("elements"))
-        .select(
-            "page_id",
-            F.array_sort(F.array_distinct(F.transform(numbered, number))).alias("page_numbers"),
-            F.get(F.transform(current, number), F.size(current) - 1).alias("marked_page"),
-            F.exists(elements, is_next).alias("has_next"),
-            F.exists(elements, is_prev).alias("has_prev"),
+    def read(e: Column) -> Column:
+        """Label, page number and opening tag of one control."""
+        label = H.strip_tags(e)
+        return F.struct(
+            F.lower(label).alias("label"),
+            F.regexp_extract(label, r"^(\d{1,9})$", 1).try_cast("int").alias("number"),
+            F.lower(F.regexp_extract(e, r"(?s)^<[^>]*>", 0)).alias("opening"),
         )
-        .select(
-            "page_id",
-            F.when(F.size("page_numbers") > 0, "numbered")
-            .when(F.col("has_next"), "next_only")
-            .otherwise("none")
-            .alias("pagination_type"),
-            F.coalesce("marked_page", F.lit(1)).alias("current_page"),
-            F.array_max("page_numbers").alias("total_pages"),
-            "page_numbers",
-            "has_next",
-            "has_prev",
+
+    def is_current(e: Column) -> Column:
+        return T.matches(e["opening"], r'class="[^"]*(?:active|current|selected|bold)|aria-current="page"')
+
+    def is_next(e: Column) -> Column:
+        named = T.matches(e["label"], "next|>") | T.matches(e["opening"], r'(?:aria-label|title)="[^"]*next')
+        return named & ~T.matches(e["opening"], r'class="[^"]*disabled|aria-disabled="true"')
+
+    def is_prev(e: Column) -> Column:
+        return T.matches(e["label"], "prev|<") | T.matches(e["opening"], r'aria-label="[^"]*prev')
+
+    def summary(controls: Column) -> Column:
+        numbered = F.filter(controls, lambda e: e["number"].between(1, 999))
+        numbers = F.array_sort(F.array_distinct(F.transform(numbered, lambda e: e["number"])))
+        current = F.element_at(F.concat(F.array(F.lit(1)), F.transform(F.filter(numbered, is_current), lambda e: e["number"])), -1)
+        return F.struct(
+            numbers.alias("page_numbers"),
+            current.alias("current_page"),
+            F.exists(controls, is_next).alias("has_next"),
+            F.exists(controls, is_prev).alias("has_prev"),
         )
+
+    info = F.col("info")
+    return pages.select(
+        "page_id", T.once(F.transform(_pagination(F.col("html")), read), summary).alias("info")
+    ).select(
+        "page_id",
+        F.when(F.size(info["page_numbers"]) > 0, "numbered")
+        .when(info["has_next"], "next_only")
+        .otherwise("none")
+        .alias("pagination_type"),
+        info["current_page"].alias("current_page"),
+        F.array_max(info["page_numbers"]).alias("total_pages"),
+        info["page_numbers"].alias("page_numbers"),
+        info["has_next"].alias("has_next"),
+        info["has_prev"].alias("has_prev"),
     )
 
 
 def page_plan(info: DataFrame, max_page: int = R.MAX_PAGE, page_size: int = R.PAGE_SIZE) -> DataFrame:
     """One row per further page to read: page_id, page_no and the row offset of that page."""
-    start = F.when(F.col("current_page") == 1, 2).otherwise(F.col("current_page") + 1)
+    # Where nothing is left to read the array is NULL and gives no row: a filter would be pushed
+    # below the expressions that find the page numbers and make them run twice.
+    first = F.col("current_page") + 1
     last = F.least(F.col("total_pages"), F.lit(max_page))
-    return (
-        info.filter(F.col("total_pages").isNotNull())
-        .select("page_id", start.alias("first"), last.alias("last"))
-        .filter("first <= last")
-        .select("page_id", F.explode(F.sequence("first", "last")).alias("page_no"))
-        .select("page_id", "page_no", ((F.col("page_no") - 1) * page_size).alias("row_offset"))
+    further = F.when(first <= last, F.sequence(first, F.greatest(first, last)))
+    return info.select("page_id", F.explode(further).alias("page_no")).select(
+        "page_id", "page_no", ((F.col("page_no") - 1) * page_size).alias("row_offset")
     )

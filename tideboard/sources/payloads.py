@@ -25,20 +25,16 @@ def explode_payloads(df: DataFrame, json_col: str = "payload", keep_unparsable:
     kept = [c for c in df.columns if c != json_col]
     doc = F.col("_doc")
     variant_list = "array<variant>"
-    lists = [("", "$")] + [(key, f"$.{key}") for key in R.PAYLOAD_LISTS]
-    entries = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.coalesce(F.try_variant_get(doc, path, variant_list), F.array().cast(variant_list)),
-                    lambda item, i, k=key: F.struct(
-                        F.lit(k).alias("list_key"), i.cast("bigint").alias("pos"), item.alias("item")
-                    ),
-                )
-                for key, path in lists
-            ]
+
+    def entries_under(key: str, path: str) -> Column:
+        items = F.coalesce(F.try_variant_get(doc, path, variant_list), F.array().cast(variant_list))
+        return F.transform(
+            items,
+            lambda item, i: F.struct(F.lit(key).alias("list_key"), i.cast("bigint").alias("pos"), item.alias("item")),
         )
-    )
+
+    lists = [("", "$")] + [(key, f"$.{key}") for key in R.PAYLOAD_LISTS]
+    entries = F.flatten(F.array(*[entries_under(key, path) for key, path in lists]))
     parsed = df.select(*kept, F.try_parse_json(F.col(json_col)).alias("_doc"))
     rows = (
         parsed.select(*kept, F.explode(entries).alias("e"))
