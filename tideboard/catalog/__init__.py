@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_PARTS = ("extraction", "scans")
+_PARTS = ("extraction", "scans", "relations")
 
 
 def _collect(name):
