@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_PARTS = ("extraction", "scans", "relations")
+_PARTS = ("extraction", "scans", "relations", "flows")
 
 
 def _collect(name):

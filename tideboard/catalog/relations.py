@@ -401,9 +401,9 @@ def micros(c):
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c)
 
 
-def _lookups(spark, sf_dir):
+def _lookups(spark, sf_dir, **options):
     events = fx.table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
-    return jn.ttl_lookup(events, "user_id", TTL, chunks_of_ttl=4)
+    return jn.ttl_lookup(events, "user_id", TTL, **options)
 
 
 @query("j7_ttl_lookup", TTL_TWIN)
@@ -411,6 +411,13 @@ def j7(spark, sf_dir):
     return _lookups(spark, sf_dir).select("user_id", "event_id", "is_hit", micros(F.col("stored_at")).alias("stored_us"))
 
 
+@query("j7_ttl_lookup_long_keys", TTL_TWIN)
+def j7_long(spark, sf_dir):
+    """Every key treated as too long to fold."""
+    rows = _lookups(spark, sf_dir, fold_limit=0, chunks_of_ttl=4)
+    return rows.select("user_id", "event_id", "is_hit", micros(F.col("stored_at")).alias("stored_us"))
+
+
 @query(
     "j8_with_fallback",
     f"""WITH {s.POSTINGS} SELECT posting_id, source, query_id, page_no FROM postings WHERE source = 'board_a' UNION ALL

@@ -224,6 +224,22 @@ def _chunk_lookup(ttl: int):
     return lookup
 
 
+def _fold(ttl: int):
+    """Outcome of a short list of requests, folded in time order inside the JVM."""
+    outcome = "struct<_tie: bigint, _us: bigint, is_hit: boolean, _stored: bigint>"
+
+    def step(state: Column, r: Column) -> Column:
+        hit = F.coalesce(r["_us"] - state["good"] <= ttl, F.lit(False))
+        stored = F.when(hit, state["good"]).otherwise(r["_us"])
+        row = F.struct(r["_tie"].alias("_tie"), r["_us"].alias("_us"), hit.alias("is_hit"), stored.alias("_stored"))
+        # An empty result is stored but no later request can use it.
+        good = F.when(hit, state["good"]).when(~r["_empty"], r["_us"])
+        return F.struct(good.alias("good"), F.array_append(state["rows"], row).alias("rows"))
+
+    start = F.struct(F.lit(None).cast("bigint").alias("good"), F.array().cast(f"array<{outcome}>").alias("rows"))
+    return lambda requests: F.aggregate(F.array_sort(requests), start, step, lambda state: state["rows"])
+
+
 def ttl_lookup(
     requests: DataFrame,
     key: str,
@@ -231,6 +247,7 @@ def ttl_lookup(
     ts: str = "ts",
     tie: str = "event_id",
     empty: str | None = None,
+    fold_limit: int = 1000,
     chunks_of_ttl: int = 64,
 ) -> DataFrame:
     """Cache outcome of each request: is_hit and stored_at (when the value it got was stored).
@@ -238,9 +255,10 @@ def ttl_lookup(
     last use. An empty result is stored but read as a miss. ``tie`` is a bigint that is unique
     within a key and orders requests of one instant.
 
-    A key's requests depend on each other in time order. Keys are cut into time chunks: chunks
-    run in parallel, each reduced to a step function from entering to leaving expiry; those are
-    followed per key; then the chunks run in parallel again with their true entering expiry."""
+    The requests of a key depend on each other in time order. Keys with up to ``fold_limit``
+    requests are folded in one pass. Longer keys are cut into time chunks: chunks run in
+    parallel, each reduced to a step function from entering to leaving expiry; those are followed
+    per key; then the chunks run in parallel again with their true entering expiry."""
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     micros = F.timestamp_diff("MICROSECOND", epoch, F.col(ts).cast("timestamp_ntz"))
     ttl, width = ttl_seconds * 1_000_000, ttl_seconds * 1_000_000 * chunks_of_ttl
@@ -250,23 +268,31 @@ def ttl_lookup(
         micros.alias("_us"),
         F.col(tie).cast("bigint").alias("_tie"),
         (F.col(empty) if empty else F.lit(False)).alias("_empty"),
-        F.floor(micros / width).cast("bigint").alias("_chunk"),
-        F.lit(width).cast("bigint").alias("_width"),
     )
-    steps = base.groupBy("_key", "_chunk").applyInPandas(
-        _chunk_steps(ttl), f"_key {key_type}, _chunk bigint, until bigint, leave bigint"
+    # At most one row per fold_limit requests, so this side is small against the requests.
+    long_keys = base.groupBy("_key").agg(F.count("*").alias("_n")).filter(F.col("_n") > fold_limit).select("_key")
+    short = (
+        base.join(long_keys, "_key", "left_anti")
+        .groupBy("_key")
+        .agg(F.collect_list(F.struct("_us", "_tie", "_empty")).alias("_requests"))
+        .select("_key", F.explode(_fold(ttl)(F.col("_requests"))).alias("r"))
+        .select("_key", "r.*")
+    )
+    chunked = base.join(long_keys, "_key", "left_semi").withColumns(
+        {"_chunk": F.floor(F.col("_us") / width).cast("bigint"), "_width": F.lit(width).cast("bigint")}
     )
-    entries = steps.groupBy("_key").applyInPandas(
-        _chunk_entries, f"_key {key_type}, _chunk bigint, _entry bigint"
+    steps = chunked.groupBy("_key", "_chunk").applyInPandas(
+        _chunk_steps(ttl), f"_key {key_type}, _chunk bigint, until bigint, leave bigint"
     )
-    outcome = (
-        base.join(entries, ["_key", "_chunk"])
+    entries = steps.groupBy("_key").applyInPandas(_chunk_entries, f"_key {key_type}, _chunk bigint, _entry bigint")
+    long = (
+        chunked.join(entries, ["_key", "_chunk"])
         .groupBy("_key", "_chunk")
         .applyInPandas(
             _chunk_lookup(ttl), f"_key {key_type}, _tie bigint, _us bigint, is_hit boolean, _stored bigint"
         )
     )
-    return outcome.select(
+    return short.unionByName(long).select(
         F.col("_key").alias(key),
         F.col("_tie").alias(tie),
         F.timestamp_add("MICROSECOND", F.col("_us"), epoch).alias(ts),

@@ -139,11 +139,20 @@ def cut_pages(
     stops = flags.filter(
         F.col("all_seen") | ((F.col("n_leading") <= 2) & (F.col(page) > 1)) | (F.col("n_new") == 0)
     ).select(query, page)
-    following = flags.select(query, (F.col(page) + 1).alias(page))
-    missing = following.join(flags.select(query, page), [query, page], "left_anti")
-    stops = stops.unionByName(missing)
+    stops = stops.unionByName(missing_pages(flags, query, page))
     if page_marks is not None:
         stops = stops.unionByName(page_marks.filter("is_end").select(query, page))
+    return before_stop(df, stops, query, page)
+
+
+def missing_pages(pages: DataFrame, query="query_id", page="page_no") -> DataFrame:
+    """Page numbers that follow a given page but are not given themselves."""
+    following = pages.select(query, (F.col(page) + 1).alias(page))
+    return following.join(pages.select(query, page), [query, page], "left_anti")
+
+
+def before_stop(df: DataFrame, stops: DataFrame, query="query_id", page="page_no") -> DataFrame:
+    """Rows on pages before the first stop of their search."""
     first_stop = stops.groupBy(query).agg(F.min(page).alias("_stop"))
     return df.join(first_stop, query).filter(F.col(page) < F.col("_stop")).drop("_stop")
 
