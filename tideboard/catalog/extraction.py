@@ -59,7 +59,7 @@ _HOST = s.extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]*)",
     + " AS company FROM pages",
 )
 def x1(spark, sf_dir):
-    return fx.table(spark, sf_dir, "pages").transform(op.with_company_from_url).select("page_id", "company")
+    return fx.spread(fx.table(spark, sf_dir, "pages")).transform(op.with_company_from_url).select("page_id", "company")
 
 
 @query(
@@ -80,7 +80,7 @@ def x2(spark, sf_dir):
 
 @query("x3_clean_text", f"SELECT doc_id, md5({s.clean('text')}) AS clean_md5, length({s.clean('text')}) AS n_chars FROM documents")
 def x3(spark, sf_dir):
-    df = fx.table(spark, sf_dir, "documents").transform(op.with_clean_text)
+    df = fx.spread(fx.table(spark, sf_dir, "documents")).transform(op.with_clean_text)
     return df.select("doc_id", F.md5("clean_text").alias("clean_md5"), F.length("clean_text").cast("bigint").alias("n_chars"))
 
 
@@ -210,7 +210,7 @@ def _line_sql(min_length, min_words, stop, pick):
 
 def _description(kind):
     def run(spark, sf_dir):
-        df = fx.table(spark, sf_dir, "documents").transform(op.with_description, "text", "line", kind)
+        df = fx.spread(fx.table(spark, sf_dir, "documents")).transform(op.with_description, "text", "line", kind)
         return df.select("doc_id", F.md5("line").alias("line_md5"), F.length("line").cast("bigint").alias("n_chars"))
 
     return run
@@ -245,7 +245,7 @@ def x13_card(spark, sf_dir):
     f"""SELECT doc_id, md5({formatted_sql('text')}) AS text_md5, length({formatted_sql('text')}) AS n_chars FROM documents""",
 )
 def x14(spark, sf_dir):
-    df = fx.table(spark, sf_dir, "documents").transform(op.with_formatted_description, "text", "shown")
+    df = fx.spread(fx.table(spark, sf_dir, "documents")).transform(op.with_formatted_description, "text", "shown")
     return df.select("doc_id", F.md5("shown").alias("text_md5"), F.length("shown").cast("bigint").alias("n_chars"))
 
 

@@ -188,7 +188,7 @@ _FIRST_LINE = "string_split(text, chr(10))[1]"
 
 @query("f10_classify_line", f"SELECT doc_id, {title_sql(_FIRST_LINE)} AS is_job_title FROM documents")
 def f10_lines(spark, sf_dir):
-    lines = fx.table(spark, sf_dir, "documents").withColumn("title", F.get(F.split("text", "\n"), 0))
+    lines = fx.spread(fx.table(spark, sf_dir, "documents")).withColumn("title", F.get(F.split("text", "\n"), 0))
     return fl.classify_title(lines).select("doc_id", "is_job_title")
 
 
@@ -231,7 +231,7 @@ _DOC = "(SELECT doc_id, string_split(text, chr(10))[1] AS title, text AS descrip
 
 @query("f12_validate_documents", f"SELECT doc_id, coalesce({REASON_SQL}, {STRICT_SQL}) AS reject_reason FROM {_DOC}")
 def f12_documents(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents").select(
+    docs = fx.spread(fx.table(spark, sf_dir, "documents")).select(
         "doc_id", F.get(F.split("text", "\n"), 0).alias("title"), F.col("text").alias("description"),
         F.lit(None).cast("string").alias("url"),
     )
@@ -361,7 +361,7 @@ def _lexicon_sql(source, id_col, text):
 
 @query("j5_match_lexicon", f"WITH {_lexicon_sql('documents', 'doc_id', 'text')}")
 def j5(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = fx.spread(fx.table(spark, sf_dir, "documents")).select("doc_id", "text")
     hits = jn.match_lexicon(docs, "doc_id", "text", jn.skills_dim(spark), broadcast_lexicon=True)
     return hits.withColumn("terms", F.array_join("terms", "|"))
 
@@ -479,7 +479,7 @@ def w1_titles(spark, sf_dir):
     """SELECT doc_id, md5(text) AS text_md5 FROM (SELECT *, row_number() OVER (PARTITION BY lower(text[:50]) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""",
 )
 def w1_documents(spark, sf_dir):
-    docs = wn.dedup_text_start(fx.table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    docs = wn.dedup_text_start(fx.spread(fx.table(spark, sf_dir, "documents")), "text", ["doc_id"])
     return docs.select("doc_id", F.md5("text").alias("text_md5"))
 
 
@@ -651,7 +651,7 @@ def a3_messages(spark, sf_dir):
 
 @query("a4_distinct_values", "SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang")
 def a4(spark, sf_dir):
-    return ag.distinct_values(fx.table(spark, sf_dir, "documents"), "lang")
+    return ag.distinct_values(fx.spread(fx.table(spark, sf_dir, "documents")), "lang")
 
 
 @query(

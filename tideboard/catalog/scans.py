@@ -31,12 +31,13 @@ def query(name, twin=None):
 
 
 def _pages(spark, sf_dir):
-    return sp.read_pages(spark, f"{sf_dir}/pages.parquet")
+    return fx.spread(sp.read_pages(spark, f"{sf_dir}/pages.parquet"))
 
 
 @query("s1_read_pages", "SELECT page_id, url, length(html) AS n_chars FROM pages")
 def s1(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", "url", F.length("html").cast("bigint").alias("n_chars"))
+    pages = sp.read_pages(spark, f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", "url", F.length("html").cast("bigint").alias("n_chars"))
 
 
 # --- JSON ----------------------------------------------------------------------------------

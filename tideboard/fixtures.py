@@ -7,6 +7,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideboard.session import fresh_path, has_shared_folder
+
 _VIEWS = Path(__file__).with_name("views")
 POSTINGS_SQL = (_VIEWS / "postings.sql").read_text()
 POSTING_PAGES_SQL = (_VIEWS / "posting_pages.sql").read_text()
@@ -19,17 +21,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """On one machine the given tables are one file with one row group, which is one task. Only
+    there, its rows are dealt out to all cores. A cluster's tables have splits enough."""
+    context = df.sparkSession.sparkContext
+    if context.master.startswith("local") and df.rdd.getNumPartitions() < context.defaultParallelism:
+        return df.repartition(context.defaultParallelism)
+    return df
+
+
+_STAGED: dict[tuple[str, str, str], str] = {}
+
+
+def staged(df_of, spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived table, written to the shared folder by the first query that needs it. The queries
+    are about stored postings and pages: without a stored table the optimizer would push their
+    filters into the derivation and repeat its long expressions."""
+    if not has_shared_folder(spark):
+        return df_of()
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STAGED:
+        path = fresh_path(spark, name)
+        df_of().write.parquet(path)
+        _STAGED[key] = path
+    return spark.read.parquet(_STAGED[key])
+
+
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw posting per order."""
-    for name in ("orders", "customer"):
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return spark.sql(POSTINGS_SQL)
+
+    def derive() -> DataFrame:
+        spread(table(spark, sf_dir, "orders")).createOrReplaceTempView("orders")
+        table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+        return spark.sql(POSTINGS_SQL)
+
+    return staged(derive, spark, sf_dir, "postings")
 
 
 def posting_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One result page per posting: page_id, url, html, payload."""
-    postings(spark, sf_dir).createOrReplaceTempView("postings")
-    return spark.sql(POSTING_PAGES_SQL)
+
+    def derive() -> DataFrame:
+        postings(spark, sf_dir).createOrReplaceTempView("postings")
+        return spark.sql(POSTING_PAGES_SQL)
+
+    return staged(derive, spark, sf_dir, "posting-pages")
 
 
 def page_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

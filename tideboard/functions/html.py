@@ -42,9 +42,9 @@ def text_lines(html: Column, drop: Sequence[str] = HIDDEN_TAGS) -> Column:
     return F.filter(lines, lambda line: line != "")
 
 
-def element_text(html: Column, tag: str, attribute: str = "", value: str = "", word: bool = False) -> Column:
-    """Text of the first element with this tag (a pattern such as ``span|div``) whose attribute
-    contains the value; NULL when there is none. ``word`` asks for a whole class name."""
+def element_source(html: Column, tag: str, attribute: str = "", value: str = "", word: bool = False) -> Column:
+    """Source inside the first element with this tag (a pattern such as ``span|div``) whose
+    attribute contains the value; empty when there is none. ``word`` asks for a whole class name."""
     if not attribute:
         opening = rf"<(?:{tag})\b[^>]*>"
     elif not value:
@@ -52,7 +52,17 @@ def element_text(html: Column, tag: str, attribute: str = "", value: str = "", w
     else:
         inner = rf"(?:[^\"]*\s)?{value}(?:\s[^\"]*)?" if word else rf"[^\"]*{value}[^\"]*"
         opening = rf"<(?:{tag})\b[^>]*\b{attribute}=\"{inner}\"[^>]*>"
-    return T.blank_to_null(strip_tags(F.regexp_extract(html, rf"(?is){opening}(.*?)</(?:{tag})\s*>", 1)))
+    return F.regexp_extract(html, rf"(?is){opening}(.*?)</(?:{tag})\s*>", 1)
+
+
+def element_texts(html: Column, selectors: Sequence[tuple]) -> Column:
+    """Array with the text of the first element of every selector, empty where there is none."""
+    return F.transform(F.array(*[element_source(html, *s) for s in selectors]), strip_tags)
+
+
+def first_text(html: Column, selectors: Sequence[tuple], longer_than: int = 0) -> Column:
+    """First of the selected texts with more characters than that."""
+    return F.get(F.filter(element_texts(html, selectors), lambda t: F.length(t) > longer_than), 0)
 
 
 def attribute_value(html: Column, attribute: str) -> Column:

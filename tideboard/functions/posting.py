@@ -25,21 +25,22 @@ def location_in_text(text: Column) -> Column:
 def location_of_card(card_html: Column) -> Column:
     """Location of a card: the location elements first, then a short text that looks like a place."""
     elements = [
-        H.element_text(card_html, "div", "data-testid", "text-location"),
-        H.element_text(card_html, "div", "class", "companyLocation", word=True),
-        H.element_text(card_html, "div|span", "class", "location"),
+        ("div", "data-testid", "text-location"),
+        ("div", "class", "companyLocation", True),
+        ("div|span", "class", "location"),
     ]
     place_like = F.filter(
         H.text_lines(card_html),
         lambda line: (F.length(line) < 100) & T.matches(line, r",|(?i:remote)|CA|NY|TX|FL|WA"),
     )
-    return F.coalesce(*elements, F.get(place_like, 0))
+    return F.coalesce(H.first_text(card_html, elements), F.get(place_like, 0))
 
 
 def work_mode_in_text(text: Column) -> Column:
     return T.first_label(text, P.WORK_MODE_PATTERNS)
 
 
+@T.on_value
 def work_mode_of_location(location: Column) -> Column:
     place = F.lower(location)
     remote = F.contains(place, F.lit("remote"))
@@ -67,11 +68,10 @@ def experience_level(text: Column) -> Column:
 
 # --- salary --------------------------------------------------------------------------------
 
+@T.on_value
 def salary_text(text: Column) -> Column:
     """First salary in a text. Texts without a digit never reach the pattern list."""
-    return T.once(
-        text, lambda t: F.when(T.matches(t, r"\d"), T.first_pattern(t, P.SALARY_PATTERNS, longer_than=5))
-    )
+    return F.when(T.matches(text, r"\d"), T.first_pattern(text, P.SALARY_PATTERNS, longer_than=5))
 
 
 def salary_of_card(card_html: Column) -> Column:
@@ -84,11 +84,12 @@ def salary_of_card(card_html: Column) -> Column:
             1,
         )
     )
-    element = F.coalesce(
-        H.element_text(card_html, "div|span", "data-testid", "attribute_snippet_test_salary"),
-        H.element_text(card_html, "div|span", "class", "salary"),
-        H.element_text(card_html, "div|span", "class", "compensation"),
-    )
+    elements = [
+        ("div|span", "data-testid", "attribute_snippet_test_salary"),
+        ("div|span", "class", "salary"),
+        ("div|span", "class", "compensation"),
+    ]
+    element = H.first_text(card_html, elements)
     return F.coalesce(
         T.longer(beside_apply, 5),
         T.once(element, lambda e: F.when(T.matches(e, r"(?i)\$|salary|pay") & (F.length(e) > 5), e)),
@@ -96,6 +97,7 @@ def salary_of_card(card_html: Column) -> Column:
     )
 
 
+@T.on_value
 def salary_bounds(text: Column) -> Column:
     """Struct (salary_min, salary_max, salary_period). Bounds are yearly; hourly pay counts a
     full year of 2,080 hours. One-sided texts leave the other bound NULL."""
@@ -129,15 +131,13 @@ def salary_bounds(text: Column) -> Column:
 
 def posted_text(text: Column) -> Column:
     patterns = P.RELATIVE_DATE_PATTERNS + P.ABSOLUTE_DATE_PATTERNS
-    return T.once(text, lambda t: T.first_pattern(t, patterns, longer_than=2))
+    return T.first_pattern(text, patterns, longer_than=2)
 
 
 def posted_of_card(card_html: Column) -> Column:
     """Posting time of a card: patterns on its text, else a date element that names an age."""
-    element = F.coalesce(
-        *[H.element_text(card_html, "span|div", "class", c) for c in ("date", "posted", "time", "ago")],
-        H.element_text(card_html, "span|div", "data-testid", "myJobsStateDate"),
-    )
+    elements = [("span|div", "class", c) for c in ("date", "posted", "time", "ago")]
+    element = H.first_text(card_html, [*elements, ("span|div", "data-testid", "myJobsStateDate")])
     age = r"(?i)ago|posted|today|yesterday|active|just"
     return F.coalesce(
         posted_text(H.strip_tags(card_html)),
@@ -145,6 +145,7 @@ def posted_of_card(card_html: Column) -> Column:
     )
 
 
+@T.on_value
 def posted_at(text: Column, as_of: Column) -> Column:
     """Instant a posting went up, seen from ``as_of`` (a timestamp without zone). "30+ days ago"
     means at least 30 days, so the latest possible instant is given."""
@@ -209,14 +210,9 @@ def detail_description_line(lines: Column) -> Column:
 
 
 def description_of_card(card_html: Column) -> Column:
-    elements = [
-        H.element_text(card_html, "div", "class", "job-snippet", word=True),
-        H.element_text(card_html, "div|span", "class", "snippet"),
-        H.element_text(card_html, "div|span", "class", "summary"),
-        H.element_text(card_html, "div|span", "class", "description"),
-        H.element_text(card_html, "div|span", "class", "preview"),
-    ]
-    first = F.coalesce(*[T.longer(e, 15) for e in elements])
+    elements = [("div", "class", "job-snippet", True)]
+    elements += [("div|span", "class", c) for c in ("snippet", "summary", "description", "preview")]
+    first = H.first_text(card_html, elements, 15)
     from_element = T.truncate(F.regexp_replace(first, P.DESCRIPTION_LABEL, ""), 1000)
     return F.coalesce(from_element, description_line(H.text_lines(card_html)))
 
@@ -229,6 +225,7 @@ def formatted_description(text: Column) -> Column:
     return T.strip_space(out)
 
 
+@T.on_value
 def requirements(text: Column) -> Column:
     """Up to five sentences that state requirements."""
     found = F.flatten(
@@ -291,8 +288,8 @@ def terms_in(text: Column, lexicon: Sequence[tuple[str, str]]) -> Column:
         found = F.array_compact(F.array(*[F.when(T.matches(lowered, _token_pattern([t])), t) for t in terms]))
     else:
         found = F.regexp_extract_all(lowered, F.lit(_token_pattern(terms)), F.lit(1))
-    shown = F.create_map(*[F.lit(x) for pair in lexicon for x in pair])
-    in_order = F.array_intersect(F.array(*[F.lit(t) for t in terms]), found)
+    shown = F.expr(f"map({T.constants(*[x for pair in lexicon for x in pair])})")
+    in_order = F.array_intersect(F.expr(f"array({T.constants(*terms)})"), found)
     return F.transform(in_order, lambda term: F.try_element_at(shown, term))
 
 
@@ -306,10 +303,10 @@ def skills(description: Column, whole_text: Column | None = None, limit: int | N
 
 
 def _phrases_in(text: Column, lexicon: Sequence[tuple[str, str]]) -> Column:
-    return T.once(
-        F.lower(text),
-        lambda t: F.array_compact(F.array(*[F.when(F.contains(t, F.lit(term)), shown) for term, shown in lexicon])),
-    )
+    terms = F.expr(f"array({T.constants(*[term for term, _ in lexicon])})")
+    shown = F.expr(f"map({T.constants(*[x for pair in lexicon for x in pair])})")
+    found = T.once(F.lower(text), lambda t: F.filter(terms, lambda term: F.contains(t, term)))
+    return F.transform(found, lambda term: F.try_element_at(shown, term))
 
 
 def benefits(text: Column, limit: int | None = L.MAX_BENEFITS) -> Column:
@@ -323,10 +320,7 @@ def industry(text: Column) -> Column:
 
 def industry_of_page(html: Column) -> Column:
     """Industry element of a detail page, 4 to 99 characters long."""
-    found = F.coalesce(
-        H.element_text(html, "div", "class", "company-info"),
-        H.element_text(html, "span|div", "class", "industry"),
-    )
+    found = H.first_text(html, [("div", "class", "company-info"), ("span|div", "class", "industry")])
     return T.once(found, lambda f: F.when((F.length(f) > 3) & (F.length(f) < 100), f))
 
 
@@ -339,18 +333,18 @@ def company_size(text: Column) -> Column:
 def company_of_card(card_html: Column) -> Column:
     """Company of a card: the company elements first, then a short text without job words."""
     elements = [
-        H.element_text(card_html, "span|a", "data-testid", "company-name"),
-        H.element_text(card_html, "span", "class", "companyName", word=True),
-        H.element_text(card_html, "span|div|a", "class", r"company(?!Location)"),
-        H.element_text(card_html, "span|div|a", "class", "jcs-CompanyLink"),
-        H.element_text(card_html, "a", "aria-label", "hiring"),
+        ("span|a", "data-testid", "company-name"),
+        ("span", "class", "companyName", True),
+        ("span|div|a", "class", r"company(?!Location)"),
+        ("span|div|a", "class", "jcs-CompanyLink"),
+        ("a", "aria-label", "hiring"),
     ]
     noise = r"(?i)days ago|hours ago|just posted|salary|\$|remote|full|part|time"
     plain = F.filter(
         H.text_lines(card_html),
         lambda line: (F.length(line) > 3) & (F.length(line) < 50) & ~T.matches(line, noise),
     )
-    return F.coalesce(*[T.longer(e, 1) for e in elements], F.get(plain, 1))
+    return F.coalesce(H.first_text(card_html, elements, 1), F.get(plain, 1))
 
 
 def company_url_of_card(card_html: Column, base: str) -> Column:
@@ -364,14 +358,8 @@ def company_url_of_card(card_html: Column, base: str) -> Column:
 
 def title_of_card(card_html: Column) -> Column:
     """Title of a card without badges."""
-    elements = [
-        H.element_text(card_html, "h2", "class", "jobTitle"),
-        H.element_text(card_html, "a", "data-jk"),
-        H.element_text(card_html, "span", "title"),
-        H.element_text(card_html, "a", "class", "jcs-JobTitle"),
-        H.element_text(card_html, "h2"),
-    ]
-    first = F.coalesce(*[T.longer(e, 3) for e in elements])
+    elements = [("h2", "class", "jobTitle"), ("a", "data-jk"), ("span", "title"), ("a", "class", "jcs-JobTitle"), ("h2",)]
+    first = H.first_text(card_html, elements, 3)
     return T.strip_space(F.regexp_replace(first, P.TITLE_BADGES, ""))
 
 
@@ -387,9 +375,7 @@ def page_title(html: Column) -> Column:
         ("[a-z][a-z0-9]*", "class", "title"),
         ("a", "", ""),
     ]
-    candidates = T.once(
-        H.drop_elements(html, H.HIDDEN_TAGS), lambda shown: F.array(*[H.element_text(shown, *s) for s in selectors])
-    )
+    candidates = T.once(H.drop_elements(html, H.HIDDEN_TAGS), lambda shown: H.element_texts(shown, selectors))
     fitting = F.filter(candidates, lambda t: F.length(t).between(3, 200))
     longest = F.aggregate(
         fitting,

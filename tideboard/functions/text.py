@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import wraps
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,21 @@ from tideboard.rules import patterns as P
 NOT_WORD = r"[^\p{L}\p{N}_]"
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def on_value(fn):
+    """Decorator for a function of one column: the column is computed once per row."""
+
+    @wraps(fn)
+    def bound(c: Column, *args, **options) -> Column:
+        return once(c, lambda value: fn(value, *args, **options))
+
+    return bound
+
+
 def escape(text: str) -> str:
     """Quote the characters that mean something in a pattern."""
     return "".join("\\" + c if c in r".^$*+?()[]{}|\&-#" else c for c in text)
@@ -36,13 +52,21 @@ def contains_any(lowered: Column, words: Sequence[str]) -> Column:
     return matches(lowered, any_of(words))
 
 
+def constants(*values: str) -> str:
+    """The texts as a comma-separated list of SQL literals, for constant arrays and maps."""
+    return ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+
+
 def is_one_of(c: Column, words: Sequence[str]) -> Column:
     return c.isin(list(words))
 
 
-def once(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once per row, however often ``use`` refers to it."""
-    return F.get(F.transform(F.array(value), use), 0)
+def explode_once(df, keep, array: Column, pos: str, value: str):
+    """One row per array element with its position. The outer form plus a test on the position
+    computes the array once; of the inner form the optimizer derives a filter on the array's
+    size, which computes it a second time."""
+    rows = df.select(*keep, F.posexplode_outer(array).alias(pos, value))
+    return rows.filter(F.col(pos).isNotNull()).withColumn(pos, F.col(pos).cast("bigint"))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -64,8 +88,9 @@ def clean_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), kept, ""))
 
 
+@on_value
 def truncate(c: Column, limit: int, tail: str = "...") -> Column:
-    return once(c, lambda t: F.when(F.length(t) > limit, F.concat(F.left(t, F.lit(limit)), F.lit(tail))).otherwise(t))
+    return F.when(F.length(c) > limit, F.concat(F.left(c, F.lit(limit)), F.lit(tail))).otherwise(c)
 
 
 def title_case(c: Column) -> Column:
@@ -85,6 +110,7 @@ def first_match(*candidates: Column) -> Column:
     return F.coalesce(*[blank_to_null(F.trim(c)) for c in candidates])
 
 
+@on_value
 def first_pattern(c: Column, patterns: Sequence[str], longer_than: int = 0) -> Column:
     """Text found by the first pattern that yields more than ``longer_than`` characters."""
     found = [squeeze(F.regexp_extract(c, p, 0)) for p in patterns]
@@ -96,6 +122,7 @@ def longer(c: Column, than: int) -> Column:
     return blank_to_null(c) if than == 0 else once(c, lambda t: F.when(F.length(t) > than, t))
 
 
+@on_value
 def first_label(c: Column, labelled: Sequence[tuple[str, str]]) -> Column:
     """Label of the first pattern that is found."""
     ladder = None
@@ -105,18 +132,15 @@ def first_label(c: Column, labelled: Sequence[tuple[str, str]]) -> Column:
     return ladder
 
 
+@on_value
 def decode_entities(c: Column) -> Column:
     """Character references to characters. Text without "&" is passed through untouched."""
-
-    def decode(text: Column) -> Column:
-        out = text
-        for entity, char in P.ENTITIES[:-1]:
-            out = F.replace(out, F.lit(entity), F.lit(char))
-        out = once(out, lambda t: F.when(F.contains(t, F.lit("&#")), _decode_numeric(t)).otherwise(t))
-        entity, char = P.ENTITIES[-1]
-        return F.when(F.contains(text, F.lit("&")), F.replace(out, F.lit(entity), F.lit(char))).otherwise(text)
-
-    return once(c, decode)
+    out = c
+    for entity, char in P.ENTITIES[:-1]:
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    out = once(out, lambda t: F.when(F.contains(t, F.lit("&#")), _decode_numeric(t)).otherwise(t))
+    entity, char = P.ENTITIES[-1]
+    return F.when(F.contains(c, F.lit("&")), F.replace(out, F.lit(entity), F.lit(char))).otherwise(c)
 
 
 def _decode_numeric(c: Column) -> Column:

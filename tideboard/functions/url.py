@@ -97,6 +97,7 @@ def is_job_link(url: Column) -> Column:
     return F.coalesce(T.contains_any(F.lower(url), U.JOB_LINK_FRAGMENTS), F.lit(False))
 
 
+@T.on_value
 def is_job_url(url: Column) -> Column:
     """Whether a URL looks like one posting. No URL is no evidence against it."""
     u = F.lower(url)

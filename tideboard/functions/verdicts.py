@@ -9,6 +9,7 @@ from tideboard.functions import text as T
 from tideboard.rules import titles as R
 
 
+@T.on_value
 def is_job_title(title: Column) -> Column:
     """Whether a text looks like the title of one posting."""
     raw = F.coalesce(title, F.lit(""))
@@ -52,9 +53,18 @@ def reject_reason(title: Column, url: Column) -> Column:
 
 def strict_reason(title: Column, description: Column) -> Column:
     """Further reasons of the strict rules; NULL when none applies."""
-    t = F.lower(F.coalesce(title, F.lit("")))
-    d = F.lower(F.coalesce(description, F.lit("")))
-    same = (d != "") & (F.lower(T.clean_text(description)) == F.lower(T.clean_text(title)))
+    same = (F.coalesce(description, F.lit("")) != "") & (
+        F.lower(T.clean_text(description)) == F.lower(T.clean_text(title))
+    )
+    lowered = [F.lower(F.coalesce(c, F.lit(""))) for c in (title, description)]
+    both = F.struct(lowered[0].alias("t"), lowered[1].alias("d"))
+    return F.coalesce(
+        F.when(same, "description repeats title"), T.once(both, lambda b: _strict_reason(b["t"], b["d"]))
+    )
+
+
+def _strict_reason(t: Column, d: Column) -> Column:
+    """The strict rules on lower-cased title and description."""
     product = F.contains(d, F.lit("view all")) & (T.word_count(d) < R.PRODUCT_TEXT_MAX_WORDS)
     marketing = T.contains_any(d, R.MARKETING_TEXT) & ~T.contains_any(d, R.JOB_DETAIL_TEXT)
     retail = F.length(d) - F.length(F.replace(d, F.lit("retail"), F.lit("")))
@@ -63,8 +73,7 @@ def strict_reason(title: Column, description: Column) -> Column:
         | F.contains(d, F.lit("view all"))
     )
     return (
-        F.when(same, "description repeats title")
-        .when(T.contains_any(d, R.CATEGORY_TEXT) & T.contains_any(d, R.CATEGORY_COUNT_TEXT), "category text")
+        F.when(T.contains_any(d, R.CATEGORY_COUNT_TEXT) & T.contains_any(d, R.CATEGORY_TEXT), "category text")
         .when(product, "product text")
         .when(T.contains_any(d, R.CONTENT_TEXT), "content text")
         .when(T.contains_any(d, R.SERVICE_TEXT), "service text")

@@ -14,6 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideboard.functions import text as T
 from tideboard.functions import url as U
 from tideboard.operators.windows import dedup_first
 from tideboard.rules import aliases as A
@@ -23,16 +24,6 @@ from tideboard.rules import places as PL
 # Workers get these functions by value, so the package need not be installed on them.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_NULL_PARTS = 4096
-
-
-def _spread_null(key: Column, row: Sequence[str]) -> Column:
-    """The key, with NULL replaced by many values that match nothing, so that NULL keys of an
-    outer join do not meet in one task."""
-    part = F.pmod(F.xxhash64(*[F.col(c) for c in row]), F.lit(_NULL_PARTS))
-    return F.coalesce(key, F.concat(F.lit("\u0000none-"), part))
-
-
 # --- dimensions ----------------------------------------------------------------------------
 
 def location_alias_dim(spark: SparkSession) -> DataFrame:
@@ -98,8 +89,11 @@ def enrich_details(postings: DataFrame, details: DataFrame, key: str = "url") ->
     side = details.filter(F.col(key).isNotNull()).select(
         F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in used]
     )
-    scalars = [c for c, t in postings.dtypes if not t.startswith(("map", "variant"))]
-    joined = postings.withColumn("_key", _spread_null(F.col(key), scalars)).join(side, "_key", "left")
+    # Rows without a key have no detail. They stay out of the join, where NULL keys would all meet
+    # in one task.
+    with_key = postings.filter(F.col(key).isNotNull())
+    with_key = with_key.join(side, with_key[key] == side["_key"], "left").drop("_key")
+    joined = with_key.unionByName(postings.filter(F.col(key).isNull()), allowMissingColumns=True)
 
     def merged(c: str) -> Column:
         old, new = F.col(c), F.col(f"_{c}")
@@ -113,27 +107,33 @@ def enrich_details(postings: DataFrame, details: DataFrame, key: str = "url") ->
             return F.when(empty & (F.size(new) > 0), new).otherwise(old)
         return F.coalesce(F.nullif(old, F.lit("")), F.nullif(new, F.lit("")))
 
-    return joined.withColumns({c: merged(c) for c in used}).drop("_key", *[f"_{c}" for c in used])
+    return joined.withColumns({c: merged(c) for c in used}).drop(*[f"_{c}" for c in used])
 
 
 def match_lexicon(
     df: DataFrame, id_col: str, text: str, lexicon: DataFrame, longest: int = 3, broadcast_lexicon: bool = False
 ) -> DataFrame:
-    """One row per text that names lexicon terms: id and the sorted distinct display forms.
-    Texts become distinct runs of up to ``longest`` words, which meet the terms in a hash join;
-    texts and terms are never compared pair by pair. ``lexicon`` has term (lower case) and shown."""
-    words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}_+#./]+"), lambda w: w != "")
+    """One row per text that names lexicon terms: id and the sorted distinct display forms. Each
+    word of a text meets the terms that begin with it in a hash join, and the words after it
+    decide; texts and terms are never compared pair by pair. ``lexicon`` has term (lower case, at
+    most ``longest`` words) and shown."""
     # A full stop or slash at the edge of a word belongs to the sentence.
-    words = F.filter(F.transform(words, lambda w: F.regexp_replace(w, r"^[./]+|[./]+$", "")), lambda w: w != "")
+    spaced = F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}_+#./]+", " ")
+    words = F.split(F.trim(F.regexp_replace(spaced, r"(^| )[./]+|[./]+(?= |$)", "$1")), " +")
     held = df.select(id_col, words.alias("_words"))
-
-    def runs_of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - (n - 1), F.lit(1)))
-        return F.transform(starts, lambda i: F.array_join(F.slice("_words", i, n), " "))
-
-    runs = F.array_distinct(F.flatten(F.array(*[runs_of(n) for n in range(1, longest + 1)])))
-    terms = F.broadcast(lexicon) if broadcast_lexicon else lexicon
-    hits = held.select(id_col, F.explode(runs).alias("term")).join(terms, "term")
+    n = F.size("_words")
+    shifted = [F.col("_words").alias("w0")] + [
+        F.when(n > i, F.slice("_words", i + 1, F.greatest(n - i, F.lit(0)))).otherwise(F.array().cast("array<string>")).alias(f"w{i}")
+        for i in range(1, longest)
+    ]
+    runs = held.select(id_col, F.explode(F.arrays_zip(*shifted)).alias("r")).select(id_col, "r.*")
+    parts = F.split("term", " ")
+    terms = lexicon.select("shown", *[F.get(parts, i).alias(f"t{i}") for i in range(longest)])
+    terms = F.broadcast(terms) if broadcast_lexicon else terms
+    fits = F.col("w0") == F.col("t0")
+    for i in range(1, longest):
+        fits = fits & (F.col(f"t{i}").isNull() | (F.col(f"t{i}") == F.col(f"w{i}")))
+    hits = runs.join(terms, fits)
     return hits.groupBy(id_col).agg(F.array_sort(F.collect_set("shown")).alias("terms"))
 
 
@@ -275,7 +275,7 @@ def ttl_lookup(
         base.join(long_keys, "_key", "left_anti")
         .groupBy("_key")
         .agg(F.collect_list(F.struct("_us", "_tie", "_empty")).alias("_requests"))
-        .select("_key", F.explode(_fold(ttl)(F.col("_requests"))).alias("r"))
+        .transform(T.explode_once, ["_key"], _fold(ttl)(F.col("_requests")), "_i", "r")
         .select("_key", "r.*")
     )
     chunked = base.join(long_keys, "_key", "left_semi").withColumns(

@@ -97,11 +97,10 @@ FORMAT_STEPS = [
     (r"(?is)profile insights.*?skills.*?do you have experience in.*?yesno", ""),
     (r"(?is)job details.*?job type.*?full-time", ""),
     (r"(?i)find out how your skills align with the job description", ""),
-    (r"([.!?])([A-Z])", "$1 $2"),
-    (r"([a-z])([A-Z])", "$1 $2"),
+    (r"([.!?a-z])([A-Z])", "$1 $2"),
     (r"(Position Title:|Location:|Reports To:|Position Type:)", "\n$1"),
     (r"(ABOUT US|POSITION OVERVIEW|KEY RESPONSIBILITIES|QUALIFICATIONS)", "\n\n$1"),
-    (r"[ \t]+", " "),
+    (r"[ \t]{2,}|\t", " "),
     (r"\n\s*\n\s*\n+", "\n\n"),
 ]
 

@@ -26,15 +26,12 @@ def pages_to_text(pages: DataFrame) -> DataFrame:
 def pages_to_links(pages: DataFrame, drop_chrome: bool = False) -> DataFrame:
     """One row per link: page_id, pos, href, abs_url, anchor."""
     source = H.drop_elements(F.col("html"), H.CHROME_TAGS) if drop_chrome else F.col("html")
-    return (
-        pages.select("page_id", "url", F.posexplode(H.links(source)).alias("pos", "a"))
-        .select(
-            "page_id",
-            F.col("pos").cast("bigint").alias("pos"),
-            F.col("a.href").alias("href"),
-            U.resolve(F.col("url"), F.trim(F.col("a.href"))).alias("abs_url"),
-            F.col("a.anchor").alias("anchor"),
-        )
+    return T.explode_once(pages, ["page_id", "url"], H.links(source), "pos", "a").select(
+        "page_id",
+        "pos",
+        F.col("a.href").alias("href"),
+        U.resolve(F.col("url"), F.trim(F.col("a.href"))).alias("abs_url"),
+        F.col("a.anchor").alias("anchor"),
     )
 
 
@@ -146,6 +143,6 @@ def page_plan(info: DataFrame, max_page: int = R.MAX_PAGE, page_size: int = R.PA
     first = F.col("current_page") + 1
     last = F.least(F.col("total_pages"), F.lit(max_page))
     further = F.when(first <= last, F.sequence(first, F.greatest(first, last)))
-    return info.select("page_id", F.explode(further).alias("page_no")).select(
+    return T.explode_once(info, ["page_id"], further, "_i", "page_no").select(
         "page_id", "page_no", ((F.col("page_no") - 1) * page_size).alias("row_offset")
     )

@@ -37,7 +37,7 @@ def explode_payloads(df: DataFrame, json_col: str = "payload", keep_unparsable:
     entries = F.flatten(F.array(*[entries_under(key, path) for key, path in lists]))
     parsed = df.select(*kept, F.try_parse_json(F.col(json_col)).alias("_doc"))
     rows = (
-        parsed.select(*kept, F.explode(entries).alias("e"))
+        T.explode_once(parsed, kept, entries, "_i", "e")
         .select(*kept, "e.list_key", "e.pos", "e.item")
         .filter(F.startswith(F.schema_of_variant(F.col("item")), F.lit("OBJECT")))
     )
@@ -123,11 +123,8 @@ def explode_embedded_json(pages: DataFrame) -> DataFrame:
         ),
         0,
     )
-    return (
-        pages.filter(F.contains(html, F.lit(CARD_KEY)))
-        .select("page_id", F.posexplode(F.coalesce(in_json, behind_key)).alias("pos", "card"))
-        .withColumn("pos", F.col("pos").cast("bigint"))
-    )
+    with_key = pages.filter(F.contains(html, F.lit(CARD_KEY)))
+    return T.explode_once(with_key, ["page_id"], F.coalesce(in_json, behind_key), "pos", "card")
 
 
 def _code_map(codes: dict[int, str]) -> Column:
