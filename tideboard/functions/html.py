@@ -57,7 +57,8 @@ def element_source(html: Column, tag: str, attribute: str = "", value: str = "",
 
 def element_texts(html: Column, selectors: Sequence[tuple]) -> Column:
     """Array with the text of the first element of every selector, empty where there is none."""
-    return F.transform(F.array(*[element_source(html, *s) for s in selectors]), strip_tags)
+    sources = F.array(*[element_source(html, *s) for s in selectors])
+    return F.transform(sources, lambda source: strip_tags(source))
 
 
 def first_text(html: Column, selectors: Sequence[tuple], longer_than: int = 0) -> Column:
@@ -82,4 +83,4 @@ def links(html: Column) -> Column:
 
 def list_items(html: Column) -> Column:
     """Array of the texts of all list items."""
-    return F.transform(F.regexp_extract_all(html, F.lit(ITEM), F.lit(1)), strip_tags)
+    return F.transform(F.regexp_extract_all(html, F.lit(ITEM), F.lit(1)), lambda item: strip_tags(item))
