@@ -141,7 +141,7 @@ def page_plan(info: DataFrame, max_page: int = R.MAX_PAGE, page_size: int = R.PA
     # Where nothing is left to read the array is NULL and gives no row: a filter would be pushed
     # below the expressions that find the page numbers and make them run twice.
     first = F.col("current_page") + 1
-    last = F.least(F.col("total_pages"), F.lit(max_page))
+    last = F.when(F.col("total_pages").isNotNull(), F.least(F.col("total_pages"), F.lit(max_page)))
     further = F.when(first <= last, F.sequence(first, F.greatest(first, last)))
     return T.explode_once(info, ["page_id"], further, "_i", "page_no").select(
         "page_id", "page_no", ((F.col("page_no") - 1) * page_size).alias("row_offset")
