@@ -48,10 +48,11 @@ def test_ttl_lookup(spark, fold_limit, chunks):
 
 # --- streaks -------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("chunk_seconds", [1, 500, 86_400])
-def test_failure_streak(spark, chunk_seconds):
+@pytest.mark.parametrize("options", [{}, {"window_limit": 0, "chunks": 7}, {"window_limit": 100, "chunks": 40}])
+def test_failure_streak(spark, options):
     rng = random.Random(7)
-    events = [("hot", rng.randrange(0, 3000), i, rng.random() < 0.25) for i in range(600)]
+    # Most events of the hot source fall on a few instants.
+    events = [("hot", rng.choice([5, 5, rng.randrange(0, 3000)]), i, rng.random() < 0.25) for i in range(600)]
     events += [(f"s{i % 5}", rng.randrange(0, 3000), 1000 + i, rng.random() < 0.5) for i in range(200)]
     want, open_streak = {}, {}
     for source, second, i, ok in sorted(events, key=lambda e: (e[0], e[1], e[2])):
@@ -59,10 +60,10 @@ def test_failure_streak(spark, chunk_seconds):
         want[i] = open_streak[source]
     rows = [(s, T0 + dt.timedelta(seconds=t), i, ok) for s, t, i, ok in events]
     df = spark.createDataFrame(rows, "source string, ts timestamp_ntz, event_id bigint, ok boolean")
-    got = wn.failure_streak(df, "source", ["ts", "event_id"], chunk_seconds=chunk_seconds).collect()
+    got = wn.failure_streak(df, "source", ["ts", "event_id"], **options).collect()
     assert {r.event_id: r.streak for r in got} == want
     assert all(r.healthy == (r.streak < 3) for r in got)
-    health = {r.source: r for r in ag.source_health(df, "source", ["ts", "event_id"], chunk_seconds=chunk_seconds).collect()}
+    health = {r.source: r for r in ag.source_health(df, "source", ["ts", "event_id"], **options).collect()}
     assert {s: r.failures for s, r in health.items()} == open_streak
     assert health["hot"].worst_streak == max(want[e[2]] for e in events if e[0] == "hot")
 

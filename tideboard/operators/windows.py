@@ -10,21 +10,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideboard.session import cut_lineage
+
 # Ranks below this bound are limited before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
 _LIMITED_RANK = 1000
-_SALTS = 64
+_PARTS = (4096, 64)
 _BLOCK = 10_000
 
 
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence, n: int, rank: str | None = None) -> DataFrame:
-    """First ``n`` rows of each group. A larger ``n`` is cut in two steps: within salted parts of
-    the group, then within the survivors, which hold the group's first ``n`` rows for sure."""
+    """First ``n`` rows of each group. A larger ``n`` is cut in steps: within many parts of the
+    group, then within fewer parts of what is left. Every step keeps the group's first ``n`` rows
+    for sure, and the last one meets at most 64 times ``n`` rows."""
     out = rank or "_rank"
     if n >= _LIMITED_RANK:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if not dict(df.dtypes)[c].startswith(("map", "variant"))]), F.lit(_SALTS))
-        part = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = df.withColumn("_salt", salt).withColumn("_part", F.row_number().over(part))
-        df = df.filter(F.col("_part") <= n).drop("_salt", "_part")
+        hashed = [c for c, t in df.dtypes if not t.startswith(("map", "variant"))]
+        df = df.withColumn("_hash", F.pmod(F.xxhash64(*hashed), F.lit(_PARTS[0])))
+        for parts in _PARTS:
+            part = df.withColumn("_part", F.col("_hash") % parts)
+            within = Window.partitionBy(*keys, "_part").orderBy(*order)
+            df = part.withColumn("_at", F.row_number().over(within)).filter(F.col("_at") <= n).drop("_at", "_part")
+        df = df.drop("_hash")
     ranked = df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     ranked = ranked.filter(F.col(out) <= n)
     return ranked if rank else ranked.drop(out)
@@ -164,44 +170,57 @@ def failure_streak(
     source: str,
     order: Sequence[str],
     ok: str = "ok",
-    ts: str = "ts",
     threshold: int = 3,
-    chunk_seconds: int = 86_400,
+    window_limit: int = 1_000_000,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Consecutive failures per source up to each event; a success resets to 0. Adds streak and
-    healthy. A source is cut into time chunks that run in parallel; each chunk hands on one row,
-    from which the streak open at its start is computed."""
-    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-    chunk = F.floor(F.timestamp_diff("SECOND", epoch, F.col(ts).cast("timestamp_ntz")) / chunk_seconds)
-    running = (
-        Window.partitionBy(source, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    failed = F.when(~F.col(ok), 1).otherwise(0)
-    local = (
-        events.withColumn("_chunk", chunk)
-        .withColumn("_fails", F.sum(failed).over(running))
-        .withColumn("_at_success", F.max(F.when(F.col(ok), F.col("_fails"))).over(running))
-    )
-    sums = local.groupBy(source, "_chunk").agg(
-        F.max("_fails").alias("_total"), F.max("_at_success").alias("_reset")
+    healthy. Sources with up to ``window_limit`` events are one window each. Longer ones are cut
+    into ranges of (source, order) of equal size, so that neither a hot source nor a hot hour
+    meets in one task; each range hands on one row, from which the streak open at the start of
+    the next one follows."""
+    counts = events.groupBy(source).agg(F.count("*").alias("_n")).filter(F.col("_n") > window_limit).select(source)
+    if not counts.take(1):
+        streaks = _streak(_running_failures(events, [source], order, ok), F.lit(0))
+    else:
+        short = events.join(counts, source, "left_anti")
+        long = events.join(counts, source, "left_semi")
+        streaks = _streak(_running_failures(short, [source], order, ok), F.lit(0)).unionByName(
+            _chunked_streak(long, source, order, ok, chunks)
+        )
+    return streaks.withColumn("healthy", F.col("streak") < threshold)
+
+
+def _running_failures(events: DataFrame, keys: Sequence[str], order: Sequence[str], ok: str) -> DataFrame:
+    """Adds the failures so far, and that number at the last success."""
+    running = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return events.withColumn("_fails", F.sum(F.when(F.col(ok), 0).otherwise(1)).over(running)).withColumn(
+        "_at_success", F.max(F.when(F.col(ok), F.col("_fails"))).over(running)
     )
-    upto = Window.partitionBy(source).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _streak(running: DataFrame, carry: Column) -> DataFrame:
+    """Failures since the last success; without one, those carried in count too."""
+    streak = F.coalesce(F.col("_fails") - F.col("_at_success"), F.col("_fails") + carry)
+    return running.withColumn("streak", streak).drop("_fails", "_at_success")
+
+
+def _chunked_streak(events: DataFrame, source: str, order: Sequence[str], ok: str, chunks: int | None) -> DataFrame:
+    by = [source, *order]
+    ranged = events.repartitionByRange(chunks, *by) if chunks else events.repartitionByRange(*by)
+    # The range bounds come from a sample, so the chunk of a row is fixed by writing it down.
+    labelled = cut_lineage(ranged.withColumn("_chunk", F.spark_partition_id()), "event-chunks")
+    local = _running_failures(labelled, [source, "_chunk"], order, ok)
+    sums = local.groupBy(source, "_chunk").agg(F.max("_fails").alias("_total"), F.max("_at_success").alias("_reset"))
+    before = Window.partitionBy(source).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        sums.withColumn("_upto", F.coalesce(F.sum("_total").over(upto), F.lit(0)))
-        # Failures seen, over all chunks, when the last success of this chunk came.
-        .withColumn("_reset_at", F.col("_upto") + F.col("_reset"))
+        sums.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+        # Failures of the source, over all chunks, when the last success of this chunk came.
+        .withColumn("_reset_at", F.col("_before") + F.col("_reset"))
         .select(
             source,
             "_chunk",
-            (F.col("_upto") - F.coalesce(F.max("_reset_at").over(upto), F.lit(0))).alias("_carry"),
+            (F.col("_before") - F.coalesce(F.max("_reset_at").over(before), F.lit(0))).alias("_carry"),
         )
     )
-    streak = F.when(F.col("_at_success").isNotNull(), F.col("_fails") - F.col("_at_success")).otherwise(
-        F.col("_carry") + F.col("_fails")
-    )
-    return (
-        local.join(carried, [source, "_chunk"])
-        .withColumn("streak", streak)
-        .withColumn("healthy", F.col("streak") < threshold)
-        .drop("_chunk", "_fails", "_at_success", "_carry")
-    )
+    return _streak(local.join(carried, [source, "_chunk"]), F.col("_carry")).drop("_chunk", "_carry")
