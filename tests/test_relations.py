@@ -32,7 +32,7 @@ def cache_by_hand(requests, ttl):
     return out
 
 
-@pytest.mark.parametrize("fold_limit, chunks", [(10_000, 64), (0, 1), (0, 3), (50, 2)])
+@pytest.mark.parametrize("fold_limit, chunks", [(10_000, None), (0, 1), (0, 13), (50, None)])
 def test_ttl_lookup(spark, fold_limit, chunks):
     rng = random.Random(5)
     requests = [(0, rng.randrange(0, 4000), i, rng.random() < 0.1) for i in range(400)]  # one key has most rows
@@ -40,7 +40,7 @@ def test_ttl_lookup(spark, fold_limit, chunks):
     requests += [(9, 60 * i, 3000 + i, False) for i in range(100)]  # exactly one TTL apart: still hits
     rows = [(k, T0 + dt.timedelta(seconds=s), i, e) for k, s, i, e in requests]
     df = spark.createDataFrame(rows, "k bigint, ts timestamp_ntz, event_id bigint, none boolean")
-    got = jn.ttl_lookup(df, "k", 60, empty="none", fold_limit=fold_limit, chunks_of_ttl=chunks).collect()
+    got = jn.ttl_lookup(df, "k", 60, empty="none", fold_limit=fold_limit, chunks=chunks).collect()
     assert {(r.k, r.event_id): (r.is_hit, (r.stored_at - T0).total_seconds()) for r in got} == cache_by_hand(requests, 60)
     rate = ag.cache_hit_rate(jn.ttl_lookup(df, "k", 60, empty="none")).collect()[0]
     assert (rate.requests, rate.hits) == (len(requests), sum(h for h, _ in cache_by_hand(requests, 60).values()))

@@ -414,7 +414,7 @@ def j7(spark, sf_dir):
 @query("j7_ttl_lookup_long_keys", TTL_TWIN)
 def j7_long(spark, sf_dir):
     """Every key treated as too long to fold."""
-    rows = _lookups(spark, sf_dir, fold_limit=0, chunks_of_ttl=4)
+    rows = _lookups(spark, sf_dir, fold_limit=0)
     return rows.select("user_id", "event_id", "is_hit", micros(F.col("stored_at")).alias("stored_us"))
 
 

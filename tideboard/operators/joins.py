@@ -5,13 +5,9 @@ from the caller get no hint: their size decides, and AQE splits hot keys of a sh
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideboard.functions import text as T
@@ -20,9 +16,7 @@ from tideboard.operators.windows import dedup_first
 from tideboard.rules import aliases as A
 from tideboard.rules import lexicons as L
 from tideboard.rules import places as PL
-
-# Workers get these functions by value, so the package need not be installed on them.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from tideboard.session import cut_lineage
 
 # --- dimensions ----------------------------------------------------------------------------
 
@@ -155,73 +149,70 @@ def latest_details(details: DataFrame, key: str, order: Sequence) -> DataFrame:
 
 # --- cache lookup --------------------------------------------------------------------------
 
-def _next_miss(ts: np.ndarray, empty: np.ndarray, ttl: int) -> np.ndarray:
-    """For each request, taken as a miss, the index of the next miss: the first request after its
-    expiry, or simply the next one when an empty result was stored."""
-    after = np.searchsorted(ts, ts + ttl, side="right")
-    return np.where(empty, np.arange(1, len(ts) + 1), after)
-
-
-_NEVER = np.iinfo(np.int64).min
-
-
-def _chunk_steps(ttl: int):
-    """Per chunk: for every expiry with which a chunk can be entered, the expiry at its end. The
-    rows are steps: ``until`` is the exclusive upper end of the entering expiry."""
-
-    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_us", "_tie"], kind="stable")
-        ts, empty = pdf["_us"].to_numpy(), pdf["_empty"].to_numpy()
-        n = len(ts)
-        following = _next_miss(ts, empty, ttl)
-        last = np.where(following < n, following, np.arange(n))
-        while True:  # pointer doubling: ends after log2(longest chain) rounds
-            further = last[last]
-            if np.array_equal(further, last):
-                break
-            last = further
-        # Only requests up to one TTL into the chunk, and the next one, can be its first miss.
-        reach = min(int(np.searchsorted(ts, pdf["_chunk"].iloc[0] * pdf["_width"].iloc[0] + ttl, side="right")), n - 1)
-        first = np.unique(ts[: reach + 1], return_index=True)[1]
-        leave = np.where(empty[last[first]], _NEVER, ts[last[first]] + ttl)
-        keep = np.append(leave[1:] != leave[:-1], True)
-        return pd.DataFrame(
-            {"_key": pdf["_key"].iloc[0], "_chunk": pdf["_chunk"].iloc[0], "until": ts[first][keep], "leave": leave[keep]}
-        )
-
-    return steps
-
-
-def _chunk_entries(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per key: the expiry with which each chunk is entered, from the steps of the chunks before it."""
-    expiry, rows = _NEVER, []
-    for chunk, part in pdf.sort_values(["_chunk", "until"]).groupby("_chunk", sort=True):
-        rows.append((pdf["_key"].iloc[0], chunk, expiry))
-        at = int(np.searchsorted(part["until"].to_numpy(), expiry, side="right"))
-        if at < len(part):
-            expiry = int(part["leave"].iloc[at])
-    return pd.DataFrame(rows, columns=["_key", "_chunk", "_entry"])
-
-
-def _chunk_lookup(ttl: int):
-    """Per chunk: hit or miss of every request, given the entering expiry."""
-
-    def lookup(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_us", "_tie"], kind="stable")
-        ts, empty, entry = pdf["_us"].to_numpy(), pdf["_empty"].to_numpy(), int(pdf["_entry"].iloc[0])
-        n = len(ts)
-        following = _next_miss(ts, empty, ttl)
-        at = int(np.searchsorted(ts, entry, side="right")) if entry != _NEVER else 0
-        stored = np.full(n, entry - ttl if entry != _NEVER else 0)
-        hit = np.ones(n, dtype=bool)
-        while at < n:
-            hit[at] = False
-            until = min(int(following[at]), n)
-            stored[at:until] = ts[at]
-            at = until
-        return pd.DataFrame({"_key": pdf["_key"], "_tie": pdf["_tie"], "_us": ts, "is_hit": hit, "_stored": stored})
-
-    return lookup
+def _following(points: DataFrame, ttl: int, chunks: int | None) -> DataFrame:
+    """For each point (_key, _us): ``_to``, the key's first point after the one's expiry. Points
+    and expiries are laid out in one order and cut into ranges of equal size; a range that has no
+    later point takes the first one of the ranges after it."""
+    both = points.select("_key", F.col("_us").alias("_at"), F.lit(0).alias("_asks"), "_us").unionByName(
+        points.select("_key", (F.col("_us") + ttl).alias("_at"), F.lit(1).alias("_asks"), "_us")
+    )
+    by = ["_key", "_at", "_asks"]
+    ranged = both.repartitionByRange(chunks, *by) if chunks else both.repartitionByRange(*by)
+    # The range bounds come from a sample, so the chunk of a row is fixed by writing it down.
+    labelled = cut_lineage(ranged.withColumn("_chunk", F.spark_partition_id()), "cache-chunks")
+    point = F.when(F.col("_asks") == 0, F.col("_us"))
+    later = Window.partitionBy("_key", "_chunk").orderBy(F.desc("_at"), F.desc("_asks"))
+    later = later.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy("_key").orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = (
+        labelled.groupBy("_key", "_chunk")
+        .agg(F.min(point).alias("_first"))
+        .select("_key", "_chunk", F.min("_first").over(after).alias("_beyond"))
+    )
+    asked = labelled.withColumn("_here", F.min(point).over(later)).filter(F.col("_asks") == 1)
+    return (
+        asked.join(firsts, ["_key", "_chunk"])
+        .select("_key", "_us", F.coalesce("_here", "_beyond").alias("_to"))
+        .filter(F.col("_to").isNotNull())
+    )
+
+
+def _stored_points(points: DataFrame, ttl: int, chunks: int | None) -> DataFrame:
+    """The points at which a key's value is stored: its first point, the first one after that
+    one's expiry, and so on. Each round doubles the known part of every key's sequence, so the
+    number of rounds is the logarithm of its length. Joins are on single points: a hot key's
+    points spread over all tasks."""
+    jump = cut_lineage(_following(points, ttl, chunks), "cache-jumps")
+    found = points.groupBy("_key").agg(F.min("_us").alias("_us"))
+    while jump.take(1):
+        new = found.join(jump, ["_key", "_us"]).select("_key", F.col("_to").alias("_us"))
+        found = cut_lineage(found.unionByName(new), "cache-stored")
+        further = jump.select("_key", F.col("_us").alias("_to"), F.col("_to").alias("_further"))
+        jump = jump.join(further, ["_key", "_to"]).select("_key", "_us", F.col("_further").alias("_to"))
+        jump = cut_lineage(jump, "cache-jumps")
+    return found
+
+
+def _long_lookup(base: DataFrame, ttl: int, chunks: int | None) -> DataFrame:
+    """Outcome of the requests of long keys. A value lives for one TTL, so in time cells of that
+    length a key stores at most once per cell, and a request can only use what was stored in its
+    own cell or the one before."""
+    cell = F.floor(F.col("_us") / ttl).cast("bigint")
+    points = base.filter(~F.col("_empty")).groupBy("_key", "_us").agg(F.min("_tie").alias("_first"))
+    stored = _stored_points(points.select("_key", "_us"), ttl, chunks)
+    stored = stored.join(points, ["_key", "_us"]).select(
+        "_key", cell.alias("_cell"), F.col("_us").alias("_s"), F.col("_first").alias("_s_tie")
+    )
+    earlier = stored.select("_key", (F.col("_cell") + 1).alias("_cell"), F.col("_s").alias("_p"))
+    own = (F.col("_s") < F.col("_us")) | ((F.col("_s") == F.col("_us")) & (F.col("_s_tie") < F.col("_tie")))
+    used = F.when(own, F.col("_s")).otherwise(F.col("_p"))
+    hit = F.coalesce(F.col("_us") - used <= ttl, F.lit(False))
+    return (
+        base.withColumn("_cell", cell)
+        .join(stored, ["_key", "_cell"], "left")
+        .join(earlier, ["_key", "_cell"], "left")
+        .select("_key", "_tie", "_us", hit.alias("is_hit"), F.when(hit, used).otherwise(F.col("_us")).alias("_stored"))
+    )
 
 
 def _fold(ttl: int):
@@ -248,7 +239,7 @@ def ttl_lookup(
     tie: str = "event_id",
     empty: str | None = None,
     fold_limit: int = 1000,
-    chunks_of_ttl: int = 64,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Cache outcome of each request: is_hit and stored_at (when the value it got was stored).
     A value is good until it is older than the TTL, counted from when it was stored, not from its
@@ -256,13 +247,11 @@ def ttl_lookup(
     within a key and orders requests of one instant.
 
     The requests of a key depend on each other in time order. Keys with up to ``fold_limit``
-    requests are folded in one pass. Longer keys are cut into time chunks: chunks run in
-    parallel, each reduced to a step function from entering to leaving expiry; those are followed
-    per key; then the chunks run in parallel again with their true entering expiry."""
+    requests are folded in one pass. For longer keys the instants at which a value is stored are
+    found first, in a logarithmic number of joins; then every request meets those of its time."""
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     micros = F.timestamp_diff("MICROSECOND", epoch, F.col(ts).cast("timestamp_ntz"))
-    ttl, width = ttl_seconds * 1_000_000, ttl_seconds * 1_000_000 * chunks_of_ttl
-    key_type = dict(requests.dtypes)[key]
+    ttl = ttl_seconds * 1_000_000
     base = requests.select(
         F.col(key).alias("_key"),
         micros.alias("_us"),
@@ -271,28 +260,17 @@ def ttl_lookup(
     )
     # At most one row per fold_limit requests, so this side is small against the requests.
     long_keys = base.groupBy("_key").agg(F.count("*").alias("_n")).filter(F.col("_n") > fold_limit).select("_key")
-    short = (
-        base.join(long_keys, "_key", "left_anti")
-        .groupBy("_key")
+    has_long = bool(long_keys.take(1))
+    short = base.join(long_keys, "_key", "left_anti") if has_long else base
+    rows = (
+        short.groupBy("_key")
         .agg(F.collect_list(F.struct("_us", "_tie", "_empty")).alias("_requests"))
         .transform(T.explode_once, ["_key"], _fold(ttl)(F.col("_requests")), "_i", "r")
         .select("_key", "r.*")
     )
-    chunked = base.join(long_keys, "_key", "left_semi").withColumns(
-        {"_chunk": F.floor(F.col("_us") / width).cast("bigint"), "_width": F.lit(width).cast("bigint")}
-    )
-    steps = chunked.groupBy("_key", "_chunk").applyInPandas(
-        _chunk_steps(ttl), f"_key {key_type}, _chunk bigint, until bigint, leave bigint"
-    )
-    entries = steps.groupBy("_key").applyInPandas(_chunk_entries, f"_key {key_type}, _chunk bigint, _entry bigint")
-    long = (
-        chunked.join(entries, ["_key", "_chunk"])
-        .groupBy("_key", "_chunk")
-        .applyInPandas(
-            _chunk_lookup(ttl), f"_key {key_type}, _tie bigint, _us bigint, is_hit boolean, _stored bigint"
-        )
-    )
-    return short.unionByName(long).select(
+    if has_long:
+        rows = rows.unionByName(_long_lookup(base.join(long_keys, "_key", "left_semi"), ttl, chunks))
+    return rows.select(
         F.col("_key").alias(key),
         F.col("_tie").alias(tie),
         F.timestamp_add("MICROSECOND", F.col("_us"), epoch).alias(ts),
