@@ -449,9 +449,12 @@ def j9_flags(spark, sf_dir):
     return wn.page_flags(_searches(spark, sf_dir), ["posting_id"], F.expr("posting_id % 5 <> 3"))
 
 
-@query("j9_duplicate_pages", f"WITH {s.POSTINGS}, {_FLAGS_SQL} SELECT query_id, page_no, n_leading FROM flags WHERE all_seen")
+_TITLE_FLAGS = _FLAGS_SQL.replace(_COARSE, "title")
+
+
+@query("j9_duplicate_pages", f"WITH {s.POSTINGS}, {_TITLE_FLAGS} SELECT query_id, page_no, n_leading FROM flags WHERE all_seen")
 def j9(spark, sf_dir):
-    return wn.duplicate_pages(_searches(spark, sf_dir), ["posting_id"])
+    return wn.duplicate_pages(fx.postings(spark, sf_dir), ["posting_id"], key="title")
 
 
 # --- windows -------------------------------------------------------------------------------

@@ -8,6 +8,8 @@ from tideboard import fixtures as fx
 from tideboard.catalog import sqltext as s
 from tideboard.catalog.extraction import LEVEL_SQL
 from tideboard.functions import html as H
+from tideboard.functions import posting as X
+from tideboard.operators import extract as ex
 from tideboard.rules import pages as R
 from tideboard.rules import titles as TT
 from tideboard.rules import urls as U
@@ -153,6 +155,16 @@ def h2(spark, sf_dir):
     return sp.pages_to_links(_pages(spark, sf_dir))
 
 
+_BODY = s.drop_tags("html", s.CHROME)
+_BODY_LINKS = _LINKS_SQL.replace(f"regexp_extract_all(html, {s.q(H.LINK)})", f"regexp_extract_all({_BODY}, {s.q(H.LINK)})")
+_BODY_LINKS = _BODY_LINKS.replace("FROM pages", "FROM posting_pages")
+
+
+@query("h2_body_links", f"WITH {s.POSTING_PAGES}, {_BODY_LINKS} SELECT page_id, pos, href, anchor FROM links")
+def h2_body(spark, sf_dir):
+    return sp.pages_to_links(fx.posting_pages(spark, sf_dir), drop_chrome=True).select("page_id", "pos", "href", "anchor")
+
+
 @query(
     "h2_job_link",
     f"""WITH {_LINKS_SQL}, marked AS (SELECT page_id, pos, {_ABS} AS abs_url FROM links)
@@ -175,6 +187,34 @@ def h3(spark, sf_dir):
     return sc.cards_to_postings(whole, fx.BOARD_URL).select("page_id", "pos", "title", "company", "location")
 
 
+_CARD = r"(?s)(<div data-jk.*?</span></div>)"
+
+
+def _card_field(name, out, column, empty, operator):
+    """A field read from card source equals the posting's own text where the card shows one."""
+
+    @query(name, f"WITH {s.POSTINGS} SELECT posting_id AS page_id, {column} AS {out} FROM postings WHERE coalesce({column}, '') <> ''")
+    def run(spark, sf_dir):
+        cards = fx.posting_pages(spark, sf_dir).select("page_id", F.regexp_extract("html", _CARD, 1).alias("html"))
+        shown = cards.filter(~F.contains("html", F.lit(empty)))
+        return shown.transform(operator).select("page_id", out)
+
+
+_card_field("x4_location_of_card", "location", "location", 'companyLocation"></div>', lambda d: ex.with_location(d, "html", "location", is_card=True))
+_card_field("x8_salary_of_card", "salary_text", "salary_text", 'salary"></div>', lambda d: ex.with_salary_text(d, "html", "salary_text", is_card=True))
+_card_field("x2_title_of_card", "title", "title", "<h2></h2>", lambda d: d.withColumn("title", X.title_of_card(F.col("html"))))
+
+
+@query(
+    "x11_posted_of_card",
+    f"""WITH {s.POSTINGS} SELECT posting_id AS page_id, CASE WHEN posted_text LIKE 'Posted %' THEN substr(posted_text, 8)
+        WHEN posted_text LIKE 'Active %' THEN substr(posted_text, 8) ELSE posted_text END AS posted FROM postings""",
+)
+def x11_card(spark, sf_dir):
+    cards = fx.posting_pages(spark, sf_dir).select("page_id", F.regexp_extract("html", _CARD, 1).alias("html"))
+    return cards.transform(ex.with_posted_text, "html", "posted", is_card=True).select("page_id", "posted")
+
+
 @query("h3_card_postings")
 def h3_postings(spark, sf_dir):
     cards = sc.pages_to_cards(fx.posting_pages(spark, sf_dir).select("page_id", "html"))

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideboard.functions import text as T
 from tideboard.operators.windows import failure_streak, first_n
 
 
@@ -100,10 +101,8 @@ def crawl_messages(df: DataFrame, site: str = "url") -> DataFrame:
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
     """Distinct values of a column, array elements included, with their number of rows."""
     is_array = dict(df.dtypes)[col].startswith("array")
-    values = F.explode(F.array_distinct(col)) if is_array else F.col(col)
-    return (
-        df.select(values.alias(col)).filter(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))
-    )
+    values = T.explode_once(df, [], F.array_distinct(col), "_i", col) if is_array else df.select(col)
+    return values.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))
 
 
 def field_completeness(df: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:

@@ -120,7 +120,7 @@ def match_lexicon(
         F.when(n > i, F.slice("_words", i + 1, F.greatest(n - i, F.lit(0)))).otherwise(F.array().cast("array<string>")).alias(f"w{i}")
         for i in range(1, longest)
     ]
-    runs = held.select(id_col, F.explode(F.arrays_zip(*shifted)).alias("r")).select(id_col, "r.*")
+    runs = T.explode_once(held, [id_col], F.arrays_zip(*shifted), "_i", "r").select(id_col, "r.*")
     parts = F.split("term", " ")
     terms = lexicon.select("shown", *[F.get(parts, i).alias(f"t{i}") for i in range(longest)])
     terms = F.broadcast(terms) if broadcast_lexicon else terms
