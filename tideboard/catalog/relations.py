@@ -418,6 +418,22 @@ def j7_long(spark, sf_dir):
     return rows.select("user_id", "event_id", "is_hit", micros(F.col("stored_at")).alias("stored_us"))
 
 
+_EMPTY_TWIN = f"""WITH RECURSIVE r AS (SELECT user_id, event_id, ts, event_type = 'signup' AS none,
+      row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    f AS (SELECT user_id, event_id, rn, false AS is_hit, ts AS stored_at, CASE WHEN NOT none THEN ts END AS good FROM r WHERE rn = 1
+      UNION ALL SELECT user_id, event_id, rn, hit, CASE WHEN hit THEN good ELSE ts END, CASE WHEN hit THEN good WHEN NOT none THEN ts END FROM
+        (SELECT r.*, f.good, coalesce(epoch_us(r.ts) - epoch_us(f.good) <= {TTL}000000, false) AS hit FROM r JOIN f ON r.user_id = f.user_id AND r.rn = f.rn + 1))
+    SELECT user_id, event_id, is_hit, epoch_us(stored_at) AS stored_us FROM f"""
+
+
+@query("j7_ttl_lookup_empty_results", _EMPTY_TWIN)
+def j7_empty(spark, sf_dir):
+    """Sign-ups give an empty result; keys with more than 50 requests count as long."""
+    events = fx.table(spark, sf_dir, "events").withColumn("none", F.col("event_type") == "signup")
+    rows = jn.ttl_lookup(events, "user_id", TTL, empty="none", fold_limit=50)
+    return rows.select("user_id", "event_id", "is_hit", micros(F.col("stored_at")).alias("stored_us"))
+
+
 @query(
     "j8_with_fallback",
     f"""WITH {s.POSTINGS} SELECT posting_id, source, query_id, page_no FROM postings WHERE source = 'board_a' UNION ALL

@@ -64,6 +64,19 @@ def s2(spark, sf_dir):
     )
 
 
+@query(
+    "s2_unparsable_payloads",
+    f"""WITH {_ITEMS_SQL} SELECT page_id, pos, CAST(NULL AS VARCHAR) AS error FROM items JOIN postings ON posting_id = page_id
+          WHERE json_type(item) = 'OBJECT' AND company IS NOT NULL
+        UNION ALL SELECT posting_id, NULL, 'payload is not JSON' FROM postings WHERE company IS NULL""",
+)
+def s2_errors(spark, sf_dir):
+    """Payloads of postings without a company are cut off in the middle."""
+    cut = F.when(F.contains("html", F.lit('companyName"></span>')), F.left("payload", F.lit(30))).otherwise(F.col("payload"))
+    pages = fx.posting_pages(spark, sf_dir).select("page_id", cut.alias("payload"))
+    return pl.explode_payloads(pages, keep_unparsable=True).select("page_id", "pos", "error")
+
+
 def title_sql(x: str) -> str:
     t = s.strip(f"lower({x})")
     edge = r"[^\p{L}\p{N}_]"

@@ -74,8 +74,9 @@ def salary_text(text: Column) -> Column:
     return F.when(T.matches(text, r"\d"), T.first_pattern(text, P.SALARY_PATTERNS, longer_than=5))
 
 
-def salary_of_card(card_html: Column) -> Column:
-    """Salary of a card: text beside the apply button, salary elements, then the whole text."""
+def salary_of_card(card_html: Column, text: Column | None = None) -> Column:
+    """Salary of a card: text beside the apply button, salary elements, then the whole text, which
+    may be given if it is at hand."""
     beside_apply = T.squeeze(
         F.regexp_extract(
             card_html,
@@ -93,7 +94,7 @@ def salary_of_card(card_html: Column) -> Column:
     return F.coalesce(
         T.longer(beside_apply, 5),
         T.once(element, lambda e: F.when(T.matches(e, r"(?i)\$|salary|pay") & (F.length(e) > 5), e)),
-        salary_text(H.strip_tags(card_html)),
+        salary_text(H.strip_tags(card_html) if text is None else text),
     )
 
 
@@ -134,13 +135,13 @@ def posted_text(text: Column) -> Column:
     return T.first_pattern(text, patterns, longer_than=2)
 
 
-def posted_of_card(card_html: Column) -> Column:
+def posted_of_card(card_html: Column, text: Column | None = None) -> Column:
     """Posting time of a card: patterns on its text, else a date element that names an age."""
     elements = [("span|div", "class", c) for c in ("date", "posted", "time", "ago")]
     element = H.first_text(card_html, [*elements, ("span|div", "data-testid", "myJobsStateDate")])
     age = r"(?i)ago|posted|today|yesterday|active|just"
     return F.coalesce(
-        posted_text(H.strip_tags(card_html)),
+        posted_text(H.strip_tags(card_html) if text is None else text),
         T.once(element, lambda e: F.when(T.matches(e, age) & (F.length(e) > 2), e)),
     )
 

@@ -135,9 +135,8 @@ def first_label(c: Column, labelled: Sequence[tuple[str, str]]) -> Column:
 @on_value
 def decode_entities(c: Column) -> Column:
     """Character references to characters. Text without "&" is passed through untouched."""
-    out = c
-    for entity, char in P.ENTITIES[:-1]:
-        out = F.replace(out, F.lit(entity), F.lit(char))
+    named = ", ".join(f"struct({constants(entity)} AS name, {constants(char)} AS shown)" for entity, char in P.ENTITIES[:-1])
+    out = F.aggregate(F.expr(f"array({named})"), c, lambda text, e: F.replace(text, e["name"], e["shown"]))
     out = once(out, lambda t: F.when(F.contains(t, F.lit("&#")), _decode_numeric(t)).otherwise(t))
     entity, char = P.ENTITIES[-1]
     return F.when(F.contains(c, F.lit("&")), F.replace(out, F.lit(entity), F.lit(char))).otherwise(c)

@@ -55,7 +55,7 @@ def _elements(html: str) -> list[tuple[int, int, str, str, int]]:
 
 def _fits(element, selector) -> bool:
     tag, attribute, test, wanted = selector
-    if element[2] != tag:
+    if element[2] != tag or attribute not in element[3]:
         return False
     m = re.search(rf"(?:^|\s){attribute}(?:\s*=\s*[\"']([^\"']*)[\"']|(?=\s|$))", element[3])
     if m is None:
@@ -128,24 +128,30 @@ def pages_to_cards(pages: DataFrame) -> DataFrame:
 
 def cards_to_postings(cards: DataFrame, base_url: str = "") -> DataFrame:
     """Posting columns of cards. Only card-sized strings are searched here."""
-    html, text = F.col("html"), F.col("text")
-    return cards.select(
-        *[c for c in cards.columns if c not in ("html", "text", "links")],
+    html, text, first_link = F.col("html"), F.col("text"), F.get("links", 0)
+    kept = [c for c in cards.columns if c not in ("html", "text", "links")]
+    read = cards.select(
+        *kept,
+        "text",
         X.title_of_card(html).alias("title"),
         X.company_of_card(html).alias("company"),
         X.company_url_of_card(html, base_url).alias("company_url"),
         X.location_of_card(html).alias("location"),
         X.description_of_card(html).alias("description"),
-        U.absolute_or_null(F.get("links", 0), base_url).alias("url"),
-        X.salary_of_card(html).alias("salary_range"),
-        X.job_type(text).alias("job_type"),
-        X.posted_of_card(html).alias("posted_date"),
-        X.benefits(text).alias("benefits"),
-        X.requirements(text).alias("requirements"),
-        X.skills(X.description_of_card(html), text).alias("skills"),
-        X.work_mode_of_location(X.location_of_card(html)).alias("remote_type"),
-        X.employment_type(text).alias("employment_type"),
-        X.industry(text).alias("industry"),
-        X.company_size(text).alias("company_size"),
-        U.board_job_id(F.get("links", 0), html).alias("job_id"),
+        U.absolute_or_null(first_link, base_url).alias("url"),
+        X.salary_of_card(html, text).alias("salary_range"),
+        X.posted_of_card(html, text).alias("posted_date"),
+        U.board_job_id(first_link, html).alias("job_id"),
     )
+    return read.withColumns(
+        {
+            "job_type": X.job_type(text),
+            "benefits": X.benefits(text),
+            "requirements": X.requirements(text),
+            "skills": X.skills(F.col("description"), text),
+            "remote_type": X.work_mode_of_location(F.col("location")),
+            "employment_type": X.employment_type(text),
+            "industry": X.industry(text),
+            "company_size": X.company_size(text),
+        }
+    ).drop("text")
