@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -96,28 +96,46 @@ def find_cards(html: str) -> list[str]:
     return [html[elements[i][0] : elements[i][1]] for i in cards]
 
 
+_OUTPUT_CHARS = 32_000_000
+
+
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The page source is the last column; the columns before it go along with every card. Output
+    batches end at a fixed size, however large the pages are."""
     for batch in batches:
-        page_ids, positions, sources = [], [], []
-        for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for pos, card in enumerate(find_cards(html)):
-                page_ids.append(page_id)
+        *kept, html = batch.columns
+        rows, positions, sources, chars = [], [], [], 0
+
+        def cards_so_far() -> pa.RecordBatch:
+            taken = [column.take(pa.array(rows, pa.int32())) for column in kept]
+            return pa.RecordBatch.from_arrays(
+                [*taken, pa.array(positions, pa.int64()), pa.array(sources, pa.string())],
+                names=[*batch.schema.names[:-1], "pos", "html"],
+            )
+
+        for row in range(len(html)):
+            for pos, card in enumerate(find_cards(html[row].as_py())):
+                rows.append(row)
                 positions.append(pos)
                 sources.append(card)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(page_ids, pa.int64()), pa.array(positions, pa.int64()), pa.array(sources, pa.string())],
-            names=["page_id", "pos", "html"],
-        )
-
-
-def pages_to_cards(pages: DataFrame) -> DataFrame:
-    """One row per card: page_id, pos, html, text, links."""
+                chars += len(card)
+            if chars > _OUTPUT_CHARS:
+                yield cards_so_far()
+                rows, positions, sources, chars = [], [], [], 0
+        yield cards_so_far()
+
+
+def pages_to_cards(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per card: page_id, the page columns to keep, pos, html, text, links."""
+    columns = ["page_id", *keep]
+    types = dict(pages.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in columns) + ", pos bigint, html string"
     return (
         pages.filter(F.rlike("html", F.lit(CARD_MARKS)))
-        .select("page_id", "html")
-        .mapInArrow(_batches, "page_id bigint, pos bigint, html string")
+        .select(*columns, "html")
+        .mapInArrow(_batches, schema)
         .select(
-            "page_id",
+            *columns,
             "pos",
             "html",
             H.strip_tags(F.col("html")).alias("text"),

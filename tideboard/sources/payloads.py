@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,8 +93,8 @@ def project_payload(items: DataFrame, company: Column | None = None) -> DataFram
 
 # --- cards embedded in pages ---------------------------------------------------------------
 
-def explode_embedded_json(pages: DataFrame) -> DataFrame:
-    """One row per card: page_id, pos, card. The first JSON script with the card list wins; without
+def explode_embedded_json(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per card: page_id, the page columns to keep, pos, card. The first JSON script with the card list wins; without
     one, the object behind the key in any script is read. Pages without the key never reach a
     pattern: the plain test is pushed to the scan."""
     html = F.col("html")
@@ -124,7 +126,7 @@ def explode_embedded_json(pages: DataFrame) -> DataFrame:
         0,
     )
     with_key = pages.filter(F.contains(html, F.lit(CARD_KEY)))
-    return T.explode_once(with_key, ["page_id"], F.coalesce(in_json, behind_key), "pos", "card")
+    return T.explode_once(with_key, ["page_id", *keep], F.coalesce(in_json, behind_key), "pos", "card")
 
 
 def _code_map(codes: dict[int, str]) -> Column:
