@@ -228,6 +228,13 @@ def test_unions(spark):
     assert [(r.title, r.path_no) for r in rows] == [("x", 0), ("y", 1)]
 
 
+def test_postings_schema(spark):
+    df = st.as_postings(spark.createDataFrame([("t", 7, "x")], "title string, page_no int, other string"))
+    assert df.columns[:3] == ["title", "company", "company_url"] and dict(df.dtypes)["skills"] == "array<string>"
+    row = df.collect()[0]
+    assert (row.title, row.page_no, row.company, row.skills) == ("t", 7, None, None)
+
+
 def test_place_aliases(spark):
     df = spark.createDataFrame([("NYC ",), ("CA",), ("nowhere",), (None,)], "location string")
     got = [(r.kind, r.canonical) for r in jn.join_location_alias(df).collect()]

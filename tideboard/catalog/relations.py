@@ -448,7 +448,7 @@ def j8(spark, sf_dir):
 
 # Searches of this table: the key is coarse, so that pages repeat earlier postings.
 _COARSE = "title || '|' || coalesce(company, '')"
-_FLAGS_SQL = f"""base AS (SELECT posting_id, query_id, page_no, {_COARSE} AS posting_key, posting_id % 5 <> 3 AS fits FROM postings),
+_FLAGS_SQL = f"""base AS (SELECT posting_id, query_id, page_no, {_COARSE} AS posting_key, url IS NOT NULL AS fits FROM postings),
     firsts AS (SELECT *, min(page_no) OVER (PARTITION BY query_id, posting_key) AS first_page,
       row_number() OVER (PARTITION BY query_id, page_no ORDER BY posting_id) AS rn FROM base),
     flags AS (SELECT query_id, page_no, count(*) AS n_rows, count(DISTINCT posting_key) FILTER (WHERE rn <= 5) AS n_leading,
@@ -462,7 +462,7 @@ def _searches(spark, sf_dir):
 
 @query("j9_page_flags", f"WITH {s.POSTINGS}, {_FLAGS_SQL} SELECT * FROM flags")
 def j9_flags(spark, sf_dir):
-    return wn.page_flags(_searches(spark, sf_dir), ["posting_id"], F.expr("posting_id % 5 <> 3"))
+    return wn.page_flags(_searches(spark, sf_dir), ["posting_id"], F.expr("url IS NOT NULL"))
 
 
 _TITLE_FLAGS = _FLAGS_SQL.replace(_COARSE, "title")
@@ -540,7 +540,7 @@ def w2_dedup_first(spark, sf_dir):
 def w3(spark, sf_dir):
     rows = _searches(spark, sf_dir)
     marks = rows.select("query_id", "page_no", F.expr("query_id = 3 AND page_no = 4").alias("is_end")).distinct()
-    cut = wn.cut_pages(rows, ["posting_id"], F.expr("posting_id % 5 <> 3"), marks)
+    cut = wn.cut_pages(rows, ["posting_id"], F.expr("url IS NOT NULL"), marks)
     return cut.select("posting_id", "query_id", "page_no")
 
 
