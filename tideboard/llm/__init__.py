@@ -5,7 +5,7 @@
 
 from importlib import import_module
 
-_PARTS = ("simhash", "fm", "slots", "raking", "kneser")
+_PARTS = ("planes", "simhash", "fm", "slots", "raking", "kneser")
 
 
 def queries():
