@@ -5,7 +5,7 @@
 
 from importlib import import_module
 
-_PARTS = ("planes", "simhash", "fm", "slots", "raking", "kneser")
+_PARTS = ("planes", "urls", "simhash", "fm", "mtree", "pieces", "slots", "chroma", "raking", "kneser")
 
 
 def queries():
