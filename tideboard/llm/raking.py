@@ -45,16 +45,18 @@ PRODUCTION = Mix(
 )
 
 
-def topic(text: Column) -> Column:
-    counts = [
-        sum(((F.length(text) - F.length(F.replace(text, F.lit(e)))) / len(e) for e in endings), F.lit(0.0))
-        for endings in TOPIC_ENDINGS.values()
-    ]
-    best = F.greatest(*counts)
+def with_topic(docs: DataFrame, name: str = "topic") -> DataFrame:
+    """The rows with the topic of their text. The counts are columns of their own first, so that each is taken once."""
+    text = F.col("text")
+    counts = {
+        f"{name} {t}": sum(((F.length(text) - F.length(F.replace(text, F.lit(e)))) / len(e) for e in endings), F.lit(0.0))
+        for t, endings in TOPIC_ENDINGS.items()
+    }
+    best = F.greatest(*map(F.col, (f"`{c}`" for c in counts)))
     out = F.when(F.coalesce(best, F.lit(0.0)) == 0, F.lit(OTHER))
-    for name, n in zip(TOPIC_ENDINGS, counts, strict=True):
-        out = out.when(n == best, F.lit(name))
-    return out
+    for t in TOPIC_ENDINGS:
+        out = out.when(F.col(f"`{name} {t}`") == best, F.lit(t))
+    return docs.withColumns(counts).withColumn(name, out).drop(*counts)
 
 
 def n_words(text: Column) -> Column:
@@ -107,8 +109,8 @@ def cells_of(weighed: DataFrame, mix: Mix) -> tuple[np.ndarray, list[list[str]]]
 
 
 def weighed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
-    narrow = docs.select(
-        "doc_id", "source", "lang", topic(F.col("text")).alias("topic"), n_words(F.col("text")).alias("n_tokens"),
+    narrow = with_topic(docs.select("doc_id", "source", "lang", "text")).select(
+        "doc_id", "source", "lang", "topic", n_words(F.col("text")).alias("n_tokens"),
         uniform(mix.seed, F.col("doc_id")).alias("draw"),
     )
     return narrow.withColumns(
@@ -150,9 +152,10 @@ def sample_documents(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
     matched on id, source, language and topic; a match is null-safe."""
     mixed = staged(mix_documents(docs, mix), "mix-kept")
     named = mixed.filter("kept").select(*(F.col(c).alias(f"kept_{c}") for c in ("doc_id", "source", "lang", "topic"))).distinct()
-    of = {"doc_id": F.col("doc_id"), "source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.col("text"))}
+    own = "topic of the sampled text"
+    of = {"doc_id": F.col("doc_id"), "source": F.col("source"), "lang": F.col("lang"), "topic": F.col(f"`{own}`")}
     match = [named[f"kept_{c}"].eqNullSafe(x) for c, x in of.items()]
-    return docs.join(named, match, "left_semi")
+    return with_topic(docs, own).join(named, match, "left_semi").drop(own)
 
 
 def mix_sql(mix: Mix = PRODUCTION) -> str:
