@@ -161,7 +161,8 @@ class Ratios:
 
 def count_expressions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """order, key, n1, n0: in how many toxic and ordinary documents; labels: doc_id, toxic."""
-    rows = docs.select("doc_id", "text").join(labels, "doc_id").select("text", "toxic")
+    # Labels grow with the documents: both are shuffled at every size.
+    rows = docs.select("doc_id", "text").join(labels.hint("shuffle_hash"), "doc_id").select("text", "toxic")
     counted = rows.mapInArrow(_count, "toxic int, order int, key long, n long")
     of = {f"n{y}": F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)) for y in (0, 1)}
     found = counted.groupBy("order", "key").agg(*(x.alias(c) for c, x in of.items()))
