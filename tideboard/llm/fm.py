@@ -189,6 +189,7 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
         for batch in slices(batches, "text", SLICE_BYTES):
             found = [features(t.as_py(), n.as_py()) for t, n in zip(batch.column("text"), batch.column("n_chars"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.score(found), pa.float64())], ["doc_id", "score"])
+        _bucket.clear()  # workers live on; the words of a task don't
 
     return _text_and_size(docs).select(F.col("doc_id").cast("long"), "text", "n_chars").mapInArrow(score, "doc_id long, score double")
 
@@ -203,6 +204,7 @@ def keep_good(docs: DataFrame, machine: Machine, least: float = 0.5) -> DataFram
             sizes = batch.column("n_chars").to_pylist() if sized else [None] * batch.num_rows
             found = [features(t.as_py(), n) for t, n in zip(batch.column("text"), sizes, strict=True)]
             yield batch.filter(pa.array(shared.value.score(found) >= least))
+        _bucket.clear()
 
     return docs.mapInArrow(keep, docs.schema)
 

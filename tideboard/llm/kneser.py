@@ -102,6 +102,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for at, lists in held.items():
         if lists:
             yield from out(at)
+    _word.clear()  # workers live on; the words of a task don't
 
 
 def slots_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,6 +266,7 @@ def score_documents(docs: DataFrame, ratios: Ratios) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.score(batch.column("text").to_pylist()))], ["doc_id", "score"])
+        _word.clear()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, score double")
 
@@ -276,6 +278,7 @@ def keep_ordinary(docs: DataFrame, ratios: Ratios, most: float = 0.5) -> DataFra
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
             yield batch.filter(pa.array(shared.value.score(batch.column("text").to_pylist()) < most))
+        _word.clear()
 
     return docs.mapInArrow(keep, docs.schema)
 
