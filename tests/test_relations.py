@@ -333,3 +333,15 @@ def test_reports(spark):
 
 def test_experience_codes_cover_the_levels(value):
     assert value(X.experience_level, ["Staff Engineer", "Mid dev", "Jr. dev", "Director", "Dev"]) == ["Senior", "Mid-level", "Entry-level", "Executive", None]
+
+
+def test_page_cut_keeps_rows_without_query(spark):
+    from tideboard.operators import windows as wn
+
+    rows = [(None, 1, None, 1), (None, 1, "k", 2), (None, 3, "m", 3), ("q", 1, "a", 4)]
+    df = spark.createDataFrame(rows, "query_id string, page_no long, posting_key string, pos long")
+    flags = {(r["query_id"], r["page_no"]): r["n_rows"] for r in wn.page_flags(df, ["pos"]).collect()}
+    assert flags == {(None, 1): 2, (None, 3): 1, ("q", 1): 1}
+    assert sorted(r["pos"] for r in wn.cut_pages(df, ["pos"]).collect()) == [1, 2, 4]
+    stops = spark.createDataFrame([("q", 1)], "query_id string, page_no long")
+    assert sorted(r["pos"] for r in wn.before_stop(df, stops).collect()) == [1, 2, 3]

@@ -80,10 +80,10 @@ def card(i, inner=""):
     return f'<div data-jk="{i}" class="c"><div><h2 class="jobTitle"><a href="/v?jk={i}">Role {i}</a></h2></div>{inner}</div>'
 
 
-def test_nested_cards_and_caps():
+def test_nested_and_many_cards():
     assert sc.find_cards("<body>" + card(1, "<p>x</p>") + "<p>out</p>" + card(2) + "</body>") == [card(1, "<p>x</p>"), card(2)]
     assert len(sc.find_cards("".join(card(i) for i in range(25)))) == 25
-    assert len(sc.find_cards("".join(card(i) for i in range(31)))) == 20
+    assert len(sc.find_cards("".join(card(i) for i in range(40)))) == 40
     assert sc.find_cards('<script>var a = "<div data-jk=1>";</script><!-- <div data-jk="2"></div> -->') == []
 
 
@@ -170,3 +170,25 @@ def test_sinks_append_per_source(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2 * rows.count()
     sinks.write_run_report(rows.limit(3), str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r")).count() == 3
+
+
+def test_nested_elements_are_one_card():
+    inner = '<td class="resultContent"><a class="jcs-JobTitle" href="/1">T</a></td>'
+    nested = f'<div class="job_seen_beacon">{inner}</div>'
+    marked = f'<div class="job_seen_beacon"><div data-jk="7">{inner}</div></div>'
+    assert sc.find_cards(nested) == [nested]
+    assert sc.find_cards(marked) == [f'<div data-jk="7">{inner}</div>']
+
+
+def test_positions_of_result_pages(spark):
+    from tideboard.plans.searches import with_page_position
+
+    urls = {
+        "https://b.example/jobs?q=software+engineer&l=Austin%2C+TX": ("software engineer", 1),
+        "https://b.example/jobs?q=c%2B%2B&start=30": ("c++", 3),
+        "https://b.example/find?search=nurse&page=4": ("nurse", 4),
+        "https://b.example/jobs?q=100%": ("100%", 1),
+        "https://b.example/jobs": (None, 1),
+    }
+    rows = with_page_position(spark.createDataFrame([(u,) for u in urls], "url string")).collect()
+    assert {r["url"]: (r["query_id"], r["page_no"]) for r in rows} == urls

@@ -95,6 +95,13 @@ def cap_per_url(
 
 # --- pages ---------------------------------------------------------------------------------
 
+def _on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be NULL: NULL meets NULL."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    match = [left[k].eqNullSafe(named[f"_right_{k}"]) for k in keys]
+    return left.join(named, match, how).drop(*(f"_right_{k}" for k in keys))
+
+
 def page_flags(
     df: DataFrame, order: Sequence, fits: Column | None = None, query="query_id", page="page_no", key="posting_key"
 ) -> DataFrame:
@@ -110,8 +117,7 @@ def page_flags(
         .agg(F.lit(True).alias("_leads"))
     )
     return (
-        page_keys.join(first_page, [query, key])
-        .join(leading, [query, page, key], "left")
+        _on(_on(page_keys, first_page, [query, key]), leading, [query, page, key], "left")
         .groupBy(query, page)
         .agg(
             F.sum("_n").alias("n_rows"),
@@ -137,15 +143,17 @@ def cut_pages(
     query="query_id",
     page="page_no",
     key="posting_key",
+    stop_at_gaps: bool = True,
 ) -> DataFrame:
     """Rows on the pages before the first one that ends a search: a page with only seen postings,
     with at most two postings after page 1, or without a new fitting one; a page marked as the end
-    in ``page_marks`` (query, page, is_end); or a page that is missing."""
+    in ``page_marks`` (query, page, is_end); or, with ``stop_at_gaps``, a page that is missing."""
     flags = page_flags(df, order, fits, query, page, key)
     stops = flags.filter(
         F.col("all_seen") | ((F.col("n_leading") <= 2) & (F.col(page) > 1)) | (F.col("n_new") == 0)
     ).select(query, page)
-    stops = stops.unionByName(missing_pages(flags, query, page))
+    if stop_at_gaps:
+        stops = stops.unionByName(missing_pages(flags, query, page))
     if page_marks is not None:
         stops = stops.unionByName(page_marks.filter("is_end").select(query, page))
     return before_stop(df, stops, query, page)
@@ -154,13 +162,14 @@ def cut_pages(
 def missing_pages(pages: DataFrame, query="query_id", page="page_no") -> DataFrame:
     """Page numbers that follow a given page but are not given themselves."""
     following = pages.select(query, (F.col(page) + 1).alias(page))
-    return following.join(pages.select(query, page), [query, page], "left_anti")
+    given = pages.select(F.col(query).alias("_query"), F.col(page).alias("_page"))
+    return following.join(given, F.col(query).eqNullSafe(F.col("_query")) & (F.col(page) == F.col("_page")), "left_anti")
 
 
 def before_stop(df: DataFrame, stops: DataFrame, query="query_id", page="page_no") -> DataFrame:
-    """Rows on pages before the first stop of their search."""
+    """Rows on pages before the first stop of their search; all rows of a search without one."""
     first_stop = stops.groupBy(query).agg(F.min(page).alias("_stop"))
-    return df.join(first_stop, query).filter(F.col(page) < F.col("_stop")).drop("_stop")
+    return _on(df, first_stop, [query], "left").filter(F.col("_stop").isNull() | (F.col(page) < F.col("_stop"))).drop("_stop")
 
 
 # --- streaks -------------------------------------------------------------------------------

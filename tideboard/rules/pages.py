@@ -60,10 +60,6 @@ FALLBACK_CARDS = [
 ]
 TITLE_LINK_CLASS = "jcs-JobTitle"
 
-# How many cards end the search, and the cap on implausible pages.
-PRIMARY_ENOUGH, FALLBACK_BELOW, FALLBACK_ENOUGH = 10, 5, 15
-CARDS_IMPLAUSIBLE, CARDS_KEPT = 30, 20
-
 # JSON keys of payloads, the first present key of each list wins.
 PAYLOAD_LISTS = ["jobs", "positions", "openings", "postings", "results", "data", "items"]
 PAYLOAD_KEYS = {

@@ -64,35 +64,41 @@ def _fits(element, selector) -> bool:
     return test == "present" or (wanted in value.split() if test == "word" else wanted in value)
 
 
-def find_cards(html: str) -> list[str]:
-    """Card sources of one page: ordered selectors until enough cards are found."""
-    elements = _elements(html)
+def _title_boxes(elements) -> set[int]:
+    """The nearest div around each title link."""
+    out = set()
+    for e in elements:
+        if _fits(e, ("a", "class", "contains", R.TITLE_LINK_CLASS)):
+            at = e[4]
+            while at >= 0 and elements[at][2] != "div":
+                at = elements[at][4]
+            out.add(at)
+    return out - {-1}
 
-    def select(selector):
-        return [i for i, e in enumerate(elements) if _fits(e, selector)]
 
-    hits: list[int] = []
-    for selector in R.PRIMARY_CARDS:
-        found = select(selector)
-        hits += found
-        if len(found) >= R.PRIMARY_ENOUGH:
+def find_cards(html: str) -> list[str]:
+    """Card sources of one page, in page order, however many there are.
+
+    An element's rank is the first selector that it meets: marked cards, then elements named like cards, then the boxes
+    of title links, each family only on pages without the one before. An element that is nested with a card of a better
+    rank, inside or around it, is a part of that card or the list that holds it, and no card of its own."""
+    elements = _elements(html)
+    for family in (R.PRIMARY_CARDS, R.FALLBACK_CARDS):
+        ranks = {i: next((r for r, selector in enumerate(family) if _fits(e, selector)), None) for i, e in enumerate(elements)}
+        ranked = {i: r for i, r in ranks.items() if r is not None}
+        if ranked:
             break
-    if len(hits) < R.FALLBACK_BELOW:
-        for selector in R.FALLBACK_CARDS:
-            found = select(selector)
-            hits += found
-            if found and len(hits) >= R.FALLBACK_ENOUGH:
-                break
-    if not hits:
-        for i in select(("a", "class", "contains", R.TITLE_LINK_CLASS)):
-            parent = elements[i][4]
-            while parent >= 0 and elements[parent][2] != "div":
-                parent = elements[parent][4]
-            if parent >= 0:
-                hits.append(parent)
-    cards = list(dict.fromkeys(hits))
-    if len(cards) > R.CARDS_IMPLAUSIBLE:
-        cards = cards[: R.CARDS_KEPT]
+    else:
+        ranked = dict.fromkeys(_title_boxes(elements), 0)
+    best_around: dict[int, int] = {}  # of the elements with cards inside or around them, the best rank there
+    for i, rank in ranked.items():
+        at = elements[i][4]
+        while at >= 0:
+            if at in ranked:
+                best_around[at] = min(best_around.get(at, rank), rank)
+                best_around[i] = min(best_around.get(i, ranked[at]), ranked[at])
+            at = elements[at][4]
+    cards = sorted(i for i, rank in ranked.items() if best_around.get(i, rank) >= rank)
     return [html[elements[i][0] : elements[i][1]] for i in cards]
 
 

@@ -1,4 +1,5 @@
-SELECT posting_id AS page_id, 'https://www.board-a.example.com/search?q=' || CAST(query_id AS STRING) || '&page=' || CAST(page_no AS STRING) AS url,
+SELECT posting_id AS page_id, 'https://www.board-a.example.com/search?' || CASE WHEN source = 'board_b' THEN 'search=' ELSE 'q=' END || 'software+engineer+' || CAST(query_id AS STRING)
+         || CASE WHEN page_no % 2 = 0 THEN '&l=Austin%2C+TX&start=' || CAST((page_no - 1) * 15 AS STRING) ELSE '&page=' || CAST(page_no AS STRING) END AS url,
        '<html><body><nav><a href="/about">About</a></nav><div data-jk="' || CAST(posting_id AS STRING) || '"><h2 class="jobTitle"><a href="' || coalesce(url, '#') || '">' || title
          || '</a></h2><span class="companyName">' || coalesce(company, '') || '</span><div class="companyLocation">' || coalesce(location, '') || '</div><div class="salary">' || coalesce(salary_text, '')
          || '</div><div class="job-snippet">' || description || '</div><span class="date">' || coalesce(posted_text, '') || '</span></div>'
