@@ -8,6 +8,7 @@ from urllib.parse import urljoin
 import pytest
 from pyspark.sql import functions as F
 
+from tideboard.functions import elements as E
 from tideboard.functions import html as H
 from tideboard.functions import posting as X
 from tideboard.functions import text as T
@@ -159,9 +160,9 @@ def test_requirements(value):
 
 
 def test_detail_items(value):
-    page = "<ul><li>Health insurance</li><li>Free <b>lunch</b> daily</li><li>x</li><li>Health insurance</li><li>Bachelor degree needed</li></ul>"
-    assert value(lambda c: X.benefit_items(H.list_items(c)), [page]) == [["Free lunch daily", "Health insurance"]]
-    assert value(lambda c: X.requirement_items(H.list_items(c)), [page]) == [["Bachelor degree needed"]]
+    page = "<ul class='benefits requirements'><li>Health insurance</li><li>Free <b>lunch</b> daily</li><li>x</li><li>Health insurance</li><li>Bachelor degree needed</li></ul>"
+    assert value(lambda c: X.benefit_items(E.texts(X.detail_parts(c)["benefits"])), [page]) == [["Free lunch daily", "Health insurance"]]
+    assert value(lambda c: X.requirement_items(E.texts(X.detail_parts(c)["requirements"])), [page]) == [["Bachelor degree needed"]]
 
 
 def test_company_size_and_industry(value):

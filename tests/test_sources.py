@@ -39,7 +39,7 @@ def test_payload_projection(spark):
     df = spark.createDataFrame([(1, json.dumps({"jobs": items}))], "id int, payload string")
     got = {r.pos: r for r in pl.project_payload(pl.explode_payloads(df)).collect()}
     assert sorted(got) == [0, 2]
-    assert (got[0].location, got[0].salary_range, got[0].posted_date, len(got[0].description)) == ("Austin, Paris", "1 - 2", "20240105", 500)
+    assert (got[0].location, got[0].salary_range, got[0].posted_date, len(got[0].description)) == ("Austin, Paris", "1 - 2", "20240105", 600)
     assert (got[2].title, got[2].salary_range, got[2].employment_type) == ("Nurse Manager", "10 to 20", "Full-time")
 
 

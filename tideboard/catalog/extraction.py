@@ -10,6 +10,8 @@ from tideboard.operators import extract as op
 from tideboard.rules import aliases as A
 from tideboard.rules import lexicons as L
 from tideboard.rules import patterns as P
+from tideboard.sources import cards as sc
+from tideboard.sources import details as sd
 
 QUERIES, TWINS = {}, {}
 
@@ -62,20 +64,10 @@ def x1(spark, sf_dir):
     return fx.spread(fx.table(spark, sf_dir, "pages")).transform(op.with_company_from_url).select("page_id", "company")
 
 
-@query(
-    "x2_company_of_card",
-    f"""WITH {s.POSTINGS} SELECT posting_id AS page_id,
-        coalesce(company, NULL) AS company, CAST(NULL AS VARCHAR) AS company_url FROM postings WHERE company IS NOT NULL""",
-)
+@query("x2_company_of_card", f"WITH {s.CARDS} SELECT page_id, pos, company, company_url FROM cards")
 def x2(spark, sf_dir):
-    card = F.regexp_extract("html", r"(?s)(<div data-jk.*?</span></div>)", 1)
-    cards = fx.posting_pages(spark, sf_dir).select("page_id", card.alias("html"))
-    # Cards without a company element fall back to other short texts, which unit tests cover.
-    return (
-        cards.filter(~F.contains("html", F.lit('companyName"></span>')))
-        .transform(op.with_company, base_url=fx.BOARD_URL)
-        .select("page_id", "company", F.lit(None).cast("string").alias("company_url"))
-    )
+    cards = sc.pages_to_cards(fx.posting_pages(spark, sf_dir).select("page_id", "html"))
+    return cards.transform(op.with_company, base_url=fx.BOARD_URL).select("page_id", "pos", "company", "company_url")
 
 
 @query("x3_clean_text", f"SELECT doc_id, md5({s.clean('text')}) AS clean_md5, length({s.clean('text')}) AS n_chars FROM documents")
@@ -223,21 +215,17 @@ def formatted_sql(x: str) -> str:
     return s.strip(x)
 
 
-_CUT = f"CASE WHEN length({s.squeeze('line')}) > 1000 THEN {s.squeeze('line')}[:1000] || '...' ELSE {s.squeeze('line')} END"
-query("x13_description_line", _line_sql(40, 6, P.CARD_LINE_STOP_WORDS, "i").replace("{shown}", _CUT))(_description("lines"))
+query("x13_description_line", _line_sql(40, 6, P.CARD_LINE_STOP_WORDS, "i").replace("{shown}", s.squeeze("line")))(_description("lines"))
 query(
     "x13_detail_description_line",
     _line_sql(200, 15, P.DETAIL_LINE_STOP_WORDS, "length(line) DESC, i").replace("{shown}", formatted_sql("line")),
 )(_description("detail"))
 
 
-@query(
-    "x13_description_of_card",
-    f"WITH {s.POSTINGS} SELECT posting_id AS page_id, {s.squeeze('description')} AS description FROM postings",
-)
+@query("x13_description_of_card", f"WITH {s.CARDS} SELECT page_id, pos, {s.squeeze('description')} AS description FROM cards")
 def x13_card(spark, sf_dir):
-    df = fx.posting_pages(spark, sf_dir).transform(op.with_description, "html", "description", "card")
-    return df.select("page_id", "description")
+    cards = sc.pages_to_cards(fx.posting_pages(spark, sf_dir).select("page_id", "html"))
+    return cards.transform(op.with_description, "html", "description", "card").select("page_id", "pos", "description")
 
 
 @query(
@@ -252,7 +240,7 @@ def x14(spark, sf_dir):
 def requirements_sql(x: str) -> str:
     found = " || ".join(f"regexp_extract_all({x}, {s.q(p)}, 1)" for p in P.REQUIREMENT_PATTERNS)
     stripped = f"list_transform({found}, lambda r: {s.strip('r')})"
-    return f"list_filter({stripped}, lambda r: length(r) > 10 AND length(r) < 200)[1:{L.MAX_REQUIREMENTS}]"
+    return f"list_filter({stripped}, lambda r: length(r) > 10 AND length(r) < 200)"
 
 
 @query("x15_requirements", _twin(f"array_to_string({requirements_sql('description')}, '|') AS requirements"))
@@ -262,7 +250,7 @@ def x15(df):
 
 
 _SECTION = "CASE " + " ".join(
-    f"WHEN instr(lower(description), {s.q(h)}) > 0 THEN substr(description, instr(lower(description), {s.q(h)}), 500)"
+    f"WHEN instr(lower(description), {s.q(h)}) > 0 THEN substr(description, instr(lower(description), {s.q(h)}))"
     for h in L.REQUIREMENT_HEADINGS
 ) + " END"
 
@@ -276,7 +264,7 @@ def x15_section(df):
 def _item_page():
     """Each page with its sentences as list items, so that the item operators see real text."""
     return F.concat(
-        F.lit("<ul><li>"), F.regexp_replace(F.col("description"), r"[.:,]\s*", "</li><li>"), F.lit("</li></ul>")
+        F.lit("<ul class='benefits requirements'><li>"), F.regexp_replace(F.col("description"), r"[.:,]\s*", "</li><li>"), F.lit("</li></ul>")
     )
 
 
@@ -312,7 +300,7 @@ def _doubled(term: str) -> str:
     return "".join(c if c.isalnum() else c + c for c in term)
 
 
-@query("x16_skills", _twin(f"array_to_string({skills_sql('description')}[1:{L.MAX_SKILLS}], '|') AS skills"))
+@query("x16_skills", _twin(f"array_to_string({skills_sql('description')}, '|') AS skills"))
 @_postings("skills")
 def x16(df):
     return op.with_skills(df)
@@ -323,7 +311,7 @@ def phrases_sql(x: str, lexicon) -> str:
     return f"list_filter([{', '.join(arms)}], lambda k: k IS NOT NULL)"
 
 
-@query("x17_benefits", _twin(f"array_to_string({phrases_sql('description', L.BENEFITS)}[1:{L.MAX_BENEFITS}], '|') AS benefits"))
+@query("x17_benefits", _twin(f"array_to_string({phrases_sql('description', L.BENEFITS)}, '|') AS benefits"))
 @_postings("benefits")
 def x17(df):
     return op.with_benefits(df, "description")
@@ -344,6 +332,22 @@ def x18(df):
     return op.with_industry(df, "description")
 
 
+@query(
+    "x18_industry_of_page",
+    f"WITH {s.DETAIL_PAGES} SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Health care' END AS industry FROM detail_pages",
+)
+def x18_page(spark, sf_dir):
+    return fx.detail_pages(spark, sf_dir).transform(op.with_industry, "html", is_detail=True).select("page_id", "industry")
+
+
+@query(
+    "x19_company_size_of_page",
+    f"WITH {s.DETAIL_PAGES} SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '51-200' END AS company_size FROM detail_pages",
+)
+def x19_page(spark, sf_dir):
+    return fx.detail_pages(spark, sf_dir).transform(op.with_company_size, "html", is_detail=True).select("page_id", "company_size")
+
+
 SIZE_SQL = s.first_found("description", P.COMPANY_SIZE_PATTERNS)
 
 
@@ -395,3 +399,23 @@ def x22(df):
 @_postings("first_text")
 def h4(df):
     return op.first_match(df, "first_text", [F.col("salary_text"), F.col("employment_text"), F.col("posted_text")])
+
+
+_PAGE_TEXT = s.plain("html")
+_DETAIL_LINE = "'We build tools. ' || substr(p.description, 17) || ' Our people ship every week and care about craft and calm on-call shifts, number ' || p.posting_id || '.'"
+DETAILS_SQL = f"""{s.DETAIL_PAGES}, details AS (SELECT d.url, {SALARY_TEXT_SQL.replace('salary_text', 'page_text')} AS salary_range,
+      {EMPLOYMENT_SQL.replace('employment_text', 'page_text')} AS employment_type, {POSTED_TEXT_SQL.replace('posted_text', 'page_text')} AS posted_date,
+      {formatted_sql(s.squeeze(_DETAIL_LINE))} AS description, ['Free lunch', 'Health insurance for all ' || d.page_id % 50] AS benefits,
+      ['Bachelor degree or ' || (d.page_id % 7 + 2) || ' years of experience', 'Strong knowledge of Python and Docker'] AS requirements, ['Python', 'Docker'] AS skills,
+      CASE WHEN d.page_id % 3 = 0 THEN 'Health care' END AS industry, CASE WHEN d.page_id % 2 = 0 THEN '51-200' END AS company_size
+    FROM (SELECT *, {_PAGE_TEXT} AS page_text FROM detail_pages) d JOIN postings p ON p.posting_id = d.page_id)"""
+
+
+@query(
+    "j4_details_from_pages",
+    f"""WITH {DETAILS_SQL} SELECT * REPLACE (array_to_string(benefits, '|') AS benefits, array_to_string(requirements, '|') AS requirements,
+        array_to_string(skills, '|') AS skills) FROM details""",
+)
+def details_of_pages(spark, sf_dir):
+    details = sd.pages_to_details(fx.detail_pages(spark, sf_dir))
+    return details.withColumns({c: F.array_join(c, "|") for c in ("benefits", "requirements", "skills")})

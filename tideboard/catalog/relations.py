@@ -244,7 +244,7 @@ def f13(spark, sf_dir):
     return fl.filter_cards(fx.posting_pages(spark, sf_dir).select("page_id", card.alias("html"))).select("page_id")
 
 
-_SHOWN = "lower(text)[:200]"
+_SHOWN = "lower(text)"
 
 
 @query(
@@ -326,7 +326,7 @@ _DETAIL_TEXT = (
         SELECT posting_id, coalesce(t.employment_type, d.employment_type) AS employment_type, d.industry, d.company_size,
           CASE WHEN length(d.detail_text) > 100 THEN d.detail_text ELSE t.description END AS description,
           array_to_string(CASE WHEN len(t.requirements) = 0 AND len(d.requirements) > 0 THEN d.requirements ELSE t.requirements END, '|') AS requirements,
-          array_to_string(CASE WHEN len({skills_sql('t.description')}[1:10]) < 3 AND len(d.skills) > 0 THEN d.skills ELSE {skills_sql('t.description')}[1:10] END, '|') AS skills
+          array_to_string(CASE WHEN len({skills_sql('t.description')}) < 3 AND len(d.skills) > 0 THEN d.skills ELSE {skills_sql('t.description')} END, '|') AS skills
         FROM typed t LEFT JOIN details d ON t.url = d.url""",
 )
 def j4(spark, sf_dir):
@@ -362,14 +362,14 @@ def _lexicon_sql(source, id_col, text):
 @query("j5_match_lexicon", f"WITH {_lexicon_sql('documents', 'doc_id', 'text')}")
 def j5(spark, sf_dir):
     docs = fx.spread(fx.table(spark, sf_dir, "documents")).select("doc_id", "text")
-    hits = jn.match_lexicon(docs, "doc_id", "text", jn.skills_dim(spark), broadcast_lexicon=True)
+    hits = jn.match_lexicon(docs, "doc_id", "text", jn.skills_dim(spark))
     return hits.withColumn("terms", F.array_join("terms", "|"))
 
 
 @query("j5_match_lexicon_postings", f"WITH {s.POSTINGS}, {_lexicon_sql('postings', 'posting_id', 'description')}")
 def j5_postings(spark, sf_dir):
     rows = fx.postings(spark, sf_dir).select("posting_id", "description")
-    hits = jn.match_lexicon(rows, "posting_id", "description", jn.skills_dim(spark), broadcast_lexicon=True)
+    hits = jn.match_lexicon(rows, "posting_id", "description", jn.skills_dim(spark))
     return hits.withColumn("terms", F.array_join("terms", "|"))
 
 
@@ -495,7 +495,7 @@ def w1_titles(spark, sf_dir):
 
 @query(
     "w1_dedup_documents",
-    """SELECT doc_id, md5(text) AS text_md5 FROM (SELECT *, row_number() OVER (PARTITION BY lower(text[:50]) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""",
+    """SELECT doc_id, md5(text) AS text_md5 FROM (SELECT *, row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""",
 )
 def w1_documents(spark, sf_dir):
     docs = wn.dedup_text_start(fx.spread(fx.table(spark, sf_dir, "documents")), "text", ["doc_id"])

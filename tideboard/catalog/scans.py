@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 from tideboard import fixtures as fx
 from tideboard.catalog import sqltext as s
-from tideboard.catalog.extraction import LEVEL_SQL
+from tideboard.catalog.extraction import (
+    EMPLOYMENT_SQL, INDUSTRY_SQL, LEVEL_SQL, SIZE_SQL, phrases_sql, requirements_sql, skills_sql,
+)
 from tideboard.functions import html as H
 from tideboard.functions import posting as X
 from tideboard.operators import extract as ex
+from tideboard.rules import aliases as A
+from tideboard.rules import lexicons as L
 from tideboard.rules import pages as R
 from tideboard.rules import titles as TT
 from tideboard.rules import urls as U
@@ -188,50 +192,54 @@ def h2_job(spark, sf_dir):
     return sp.with_job_link(_pages(spark, sf_dir)).select("page_id", "job_link")
 
 
+def _cards(spark, sf_dir):
+    return sc.pages_to_cards(fx.posting_pages(spark, sf_dir).select("page_id", "html"))
+
+
 @query(
     "h3_pages_to_cards",
-    f"""WITH {s.POSTINGS} SELECT posting_id AS page_id, CAST(0 AS BIGINT) AS pos, {s.squeeze('title')} AS title, company,
-        {s.squeeze('location')} AS location FROM postings WHERE company IS NOT NULL AND location IS NOT NULL""",
+    f"WITH {s.CARDS} SELECT page_id, pos, {s.squeeze('title')} AS title, company, {s.squeeze('location')} AS location FROM cards",
 )
 def h3(spark, sf_dir):
-    cards = sc.pages_to_cards(fx.posting_pages(spark, sf_dir).select("page_id", "html"))
-    # Empty company or place elements fall back to other short texts; unit tests cover those.
-    whole = cards.filter(~F.contains("html", F.lit('companyName"></span>')) & ~F.contains("html", F.lit('companyLocation"></div>')))
-    return sc.cards_to_postings(whole, fx.BOARD_URL).select("page_id", "pos", "title", "company", "location")
+    cards = sc.cards_to_postings(_cards(spark, sf_dir), fx.BOARD_URL)
+    return cards.select("page_id", "pos", "title", "company", "location")
 
 
-_CARD = r"(?s)(<div data-jk.*?</span></div>)"
-
-
-def _card_field(name, out, column, empty, operator):
+def _card_field(name, out, column, operator):
     """A field read from card source equals the posting's own text where the card shows one."""
 
-    @query(name, f"WITH {s.POSTINGS} SELECT posting_id AS page_id, {column} AS {out} FROM postings WHERE coalesce({column}, '') <> ''")
+    @query(name, f"WITH {s.CARDS} SELECT page_id, pos, {column} AS {out} FROM cards")
     def run(spark, sf_dir):
-        cards = fx.posting_pages(spark, sf_dir).select("page_id", F.regexp_extract("html", _CARD, 1).alias("html"))
-        shown = cards.filter(~F.contains("html", F.lit(empty)))
-        return shown.transform(operator).select("page_id", out)
+        return _cards(spark, sf_dir).transform(operator).select("page_id", "pos", out)
 
 
-_card_field("x4_location_of_card", "location", "location", 'companyLocation"></div>', lambda d: ex.with_location(d, "html", "location", is_card=True))
-_card_field("x8_salary_of_card", "salary_text", "salary_text", 'salary"></div>', lambda d: ex.with_salary_text(d, "html", "salary_text", is_card=True))
-_card_field("x2_title_of_card", "title", "title", "<h2></h2>", lambda d: d.withColumn("title", X.title_of_card(F.col("html"))))
+_card_field("x4_location_of_card", "location", "location", lambda d: ex.with_location(d, "html", "location", is_card=True))
+_card_field("x8_salary_of_card", "salary_text", "salary_text", lambda d: ex.with_salary_text(d, "html", "salary_text", is_card=True))
+_card_field("x2_title_of_card", "title", "title", lambda d: d.withColumn("title", X.title_of_card(F.col("html"))))
+_POSTED = """CASE WHEN posted_text LIKE 'Posted %' THEN substr(posted_text, 8)
+    WHEN posted_text LIKE 'Active %' THEN substr(posted_text, 8) ELSE posted_text END"""
+_card_field("x11_posted_of_card", "posted", _POSTED, lambda d: ex.with_posted_text(d, "html", "posted", is_card=True))
 
 
-@query(
-    "x11_posted_of_card",
-    f"""WITH {s.POSTINGS} SELECT posting_id AS page_id, CASE WHEN posted_text LIKE 'Posted %' THEN substr(posted_text, 8)
-        WHEN posted_text LIKE 'Active %' THEN substr(posted_text, 8) ELSE posted_text END AS posted FROM postings""",
-)
-def x11_card(spark, sf_dir):
-    cards = fx.posting_pages(spark, sf_dir).select("page_id", F.regexp_extract("html", _CARD, 1).alias("html"))
-    return cards.transform(ex.with_posted_text, "html", "posted", is_card=True).select("page_id", "posted")
+def _of_text(sql: str, column: str) -> str:
+    return sql.replace(column, "card_text")
+
+
+_CARD_SKILLS = f"CASE WHEN len({skills_sql('description')}) > 0 THEN {skills_sql('description')} ELSE {skills_sql('card_text')} END"
 
 
-@query("h3_card_postings")
+@query(
+    "h3_card_postings",
+    f"""WITH {s.CARDS} SELECT page_id, pos, {s.squeeze('title')} AS title, company, company_url, {s.squeeze('location')} AS location,
+        {s.squeeze('description')} AS description, url, salary_text AS salary_range, {_POSTED} AS posted_date, job_id,
+        {s.ladder("lower(card_text)", [(n, w) for w, n in A.JOB_TYPES])} AS job_type, array_to_string({phrases_sql('card_text', L.BENEFITS)}, '|') AS benefits,
+        array_to_string({requirements_sql('card_text')}, '|') AS requirements, array_to_string({_CARD_SKILLS}, '|') AS skills,
+        CASE WHEN lower(location) LIKE '%remote%' AND lower(location) LIKE '%hybrid%' THEN 'Hybrid' WHEN lower(location) LIKE '%remote%' THEN 'Remote'
+          WHEN location <> '' THEN 'On-site' END AS remote_type, {_of_text(EMPLOYMENT_SQL, 'employment_text')} AS employment_type,
+        {_of_text(INDUSTRY_SQL, 'description')} AS industry, {_of_text(SIZE_SQL, 'description')} AS company_size FROM cards""",
+)
 def h3_postings(spark, sf_dir):
-    cards = sc.pages_to_cards(fx.posting_pages(spark, sf_dir).select("page_id", "html"))
-    postings = sc.cards_to_postings(cards, fx.BOARD_URL)
+    postings = sc.cards_to_postings(_cards(spark, sf_dir), fx.BOARD_URL)
     lists = [c for c, t in postings.dtypes if t.startswith("array")]
     return postings.withColumns({c: F.array_join(c, "|") for c in lists})
 
@@ -239,13 +247,15 @@ def h3_postings(spark, sf_dir):
 def _title_candidates():
     shown = s.drop_tags("html", s.HIDDEN)
     any_tag = "[a-z][a-z0-9]*"
+    classes = lambda *names: [(any_tag, rf'\bclass="[^"]*{n}[^"]*"') for n in names]
     selectors = [
         (any_tag, r'\bdata-automation-id="[^"]*jobTitle[^"]*"'),
         (any_tag, r'\bdata-testid="[^"]*job[^"]*"'),
-        (any_tag, r'\bclass="[^"]*(?:job-title|jobTitle)[^"]*"'),
+        (any_tag, r'\bdata-testid="[^"]*title[^"]*"'),
+        *classes("job-title", "jobTitle", "JobTitle", "position-title", "opening-title"),
         ("h1", ""), ("h2", ""), ("h3", ""), ("h4", ""), ("h5", ""),
-        ("a", r'\bhref="[^"]*(?:job|position)[^"]*"'),
-        (any_tag, r'\bclass="[^"]*title[^"]*"'),
+        *[("a", rf'\bhref="[^"]*{n}[^"]*"') for n in ("job", "position", "career")],
+        *classes("title", "job", "position"),
         ("a", ""),
     ]
     for tag, attribute in selectors:
@@ -255,7 +265,7 @@ def _title_candidates():
 
 @query(
     "h5_pages_to_title",
-    f"""WITH c AS (SELECT page_id, unnest([{', '.join(_title_candidates())}]) AS title, unnest(range(11)) AS i FROM pages)
+    f"""WITH c AS (SELECT page_id, unnest([{', '.join(_title_candidates())}]) AS title, unnest(range(20)) AS i FROM pages)
         SELECT page_id, title FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(title) DESC, i) AS rn
           FROM c WHERE length(title) BETWEEN 3 AND 200) WHERE rn = 1""",
 )
@@ -269,11 +279,11 @@ def _classify_sql(source: str) -> str:
     h = "lower(html)"
     return f"""page_id,
         CASE WHEN {has(h, R.MODAL_MARKS)} THEN 'modal_first'
-          WHEN {has(h, R.SEARCH_MARKS)} AND instr({h}[:{R.SEARCH_PREFIX}], 'job') = 0 THEN 'search_first'
+          WHEN {has(h, R.SEARCH_MARKS)} AND instr({h}, 'job') = 0 THEN 'search_first'
           WHEN {has(h, R.FILTER_MARKS)} THEN 'filter_required' ELSE 'direct_listing' END AS page_type,
         CASE WHEN {has(h, R.NUMBERED_MARKS)} THEN 'numbered' WHEN {has(h, R.LOAD_MORE_MARKS)} THEN 'load_more'
           WHEN {has(h, R.SCROLL_MARKS)} THEN 'infinite_scroll' ELSE 'none' END AS pagination_type,
-        {has(v + f'[:{R.LANDING_PREFIX}]', R.LANDING_MARKS)} AS is_landing,
+        {has(v, R.LANDING_MARKS)} AS is_landing,
         {has(h, R.EMPTY_MARKS)} AS is_empty, {has(v, R.END_MARKS)} AS is_end,
         ({has('html', R.CHALLENGE_MARKS)} OR (instr(html, {s.q(R.CHALLENGE_PAIR[0])}) > 0 AND instr(html, {s.q(R.CHALLENGE_PAIR[1])}) > 0))
           AND NOT {has('html', R.RESULT_MARKS)} AS is_blocked,
@@ -308,7 +318,7 @@ def h7(spark, sf_dir):
 
 @query(
     "h8_page_plan",
-    f"""WITH {s.POSTINGS}, n AS (SELECT posting_id, least({R.MAX_PAGE}, CAST(2 + query_id % 9 AS BIGINT)) AS last FROM postings)
+    f"""WITH {s.POSTINGS}, n AS (SELECT posting_id, CAST(2 + query_id % 9 AS BIGINT) AS last FROM postings)
         SELECT posting_id AS page_id, p AS page_no, (p - 1) * {R.PAGE_SIZE} AS row_offset
         FROM (SELECT posting_id, unnest(range(2, last + 1)) AS p FROM n)""",
 )

@@ -12,6 +12,7 @@ from tideboard.session import fresh_path, has_shared_folder
 _VIEWS = Path(__file__).with_name("views")
 POSTINGS_SQL = (_VIEWS / "postings.sql").read_text()
 POSTING_PAGES_SQL = (_VIEWS / "posting_pages.sql").read_text()
+DETAIL_PAGES_SQL = (_VIEWS / "detail_pages.sql").read_text()
 
 BOARD = "board-a.example.com"
 BOARD_URL = "https://www.board-a.example.com"
@@ -68,6 +69,16 @@ def posting_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(derive, spark, sf_dir, "posting-pages")
 
 
+def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of each posting URL: page_id, url, html."""
+
+    def derive() -> DataFrame:
+        postings(spark, sf_dir).createOrReplaceTempView("postings")
+        return spark.sql(DETAIL_PAGES_SQL)
+
+    return staged(derive, spark, sf_dir, "detail-pages")
+
+
 def page_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page run per event: url, success, count, elapsed_seconds and the columns of a site record."""
     k = F.get_json_object("props", "$.k").cast("bigint")

@@ -15,7 +15,6 @@ HIDDEN_TAGS = ("script", "style")
 # Opening tag and body of one element without a nested element of the same kind.
 LINK = r"(?is)<a\b[^>]*?\bhref\s*=\s*(?:\"[^\"]*\"|'[^']*')[^>]*>.*?</a\s*>"
 HREF = r"(?is)^<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"
-ITEM = r"(?is)<li\b[^>]*>(.*?)</li\s*>"
 
 
 def drop_elements(html: Column, tags: Sequence[str]) -> Column:
@@ -42,30 +41,6 @@ def text_lines(html: Column, drop: Sequence[str] = HIDDEN_TAGS) -> Column:
     return F.filter(lines, lambda line: line != "")
 
 
-def element_source(html: Column, tag: str, attribute: str = "", value: str = "", word: bool = False) -> Column:
-    """Source inside the first element with this tag (a pattern such as ``span|div``) whose
-    attribute contains the value; empty when there is none. ``word`` asks for a whole class name."""
-    if not attribute:
-        opening = rf"<(?:{tag})\b[^>]*>"
-    elif not value:
-        opening = rf"<(?:{tag})\b[^>]*\b{attribute}\s*=[^>]*>"
-    else:
-        inner = rf"(?:[^\"]*\s)?{value}(?:\s[^\"]*)?" if word else rf"[^\"]*{value}[^\"]*"
-        opening = rf"<(?:{tag})\b[^>]*\b{attribute}=\"{inner}\"[^>]*>"
-    return F.regexp_extract(html, rf"(?is){opening}(.*?)</(?:{tag})\s*>", 1)
-
-
-def element_texts(html: Column, selectors: Sequence[tuple]) -> Column:
-    """Array with the text of the first element of every selector, empty where there is none."""
-    sources = F.array(*[element_source(html, *s) for s in selectors])
-    return F.transform(sources, lambda source: strip_tags(source))
-
-
-def first_text(html: Column, selectors: Sequence[tuple], longer_than: int = 0) -> Column:
-    """First of the selected texts with more characters than that."""
-    return F.get(F.filter(element_texts(html, selectors), lambda t: F.length(t) > longer_than), 0)
-
-
 def attribute_value(html: Column, attribute: str) -> Column:
     return T.blank_to_null(F.regexp_extract(html, rf"(?is)\b{attribute}\s*=\s*[\"']([^\"']*)[\"']", 1))
 
@@ -79,8 +54,3 @@ def links(html: Column) -> Column:
             T.decode_entities(F.regexp_extract(a, HREF, 1)).alias("href"), strip_tags(a).alias("anchor")
         ),
     )
-
-
-def list_items(html: Column) -> Column:
-    """Array of the texts of all list items."""
-    return F.transform(F.regexp_extract_all(html, F.lit(ITEM), F.lit(1)), lambda item: strip_tags(item))

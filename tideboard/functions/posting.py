@@ -7,33 +7,67 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tideboard.functions import elements as E
 from tideboard.functions import html as H
 from tideboard.functions import text as T
 from tideboard.rules import aliases as A
 from tideboard.rules import lexicons as L
 from tideboard.rules import patterns as P
+from tideboard.rules import selectors as S
 
 HOURS_PER_YEAR = 2080
 
 
+def card_parts(card_html: Column) -> Column:
+    """The elements of a card that its fields are read from, found in one scan of the source."""
+    return E.parts(
+        card_html,
+        {
+            "title": E.first(S.CARD_TITLE),
+            "company": E.first(S.CARD_COMPANY),
+            "location": E.first(S.CARD_LOCATION),
+            "salary": E.first(S.CARD_SALARY),
+            "posted": E.first(S.CARD_POSTED),
+            "description": E.first(S.CARD_DESCRIPTION),
+        },
+    )
+
+
+def detail_parts(html: Column) -> Column:
+    """The elements of a posting's own page that its fields are read from, found in one scan of the source."""
+    return E.parts(
+        html,
+        {
+            "salary": E.every(S.DETAIL_SALARY),
+            "salary_boxes": E.every(S.DETAIL_SALARY_BOXES, "span|div"),
+            "posted": E.first(S.DETAIL_POSTED),
+            "description": E.first(S.DETAIL_DESCRIPTION),
+            "benefits": E.every(S.DETAIL_BENEFITS, "li|span|div"),
+            "requirements": E.every(S.DETAIL_REQUIREMENTS, "li|p|div"),
+            "skills": E.every(S.DETAIL_SKILLS),
+            "industry": E.first(S.DETAIL_INDUSTRY),
+            "size": E.first(S.DETAIL_SIZE),
+        },
+    )
+
+
+def _part(card_html: Column, parts: Column | None, name: str) -> Column:
+    return (card_parts(card_html) if parts is None else parts)[name]
+
+
 # --- place and work mode -------------------------------------------------------------------
 
 def location_in_text(text: Column) -> Column:
     return T.first_pattern(text, P.LOCATION_PATTERNS)
 
 
-def location_of_card(card_html: Column) -> Column:
+def location_of_card(card_html: Column, parts: Column | None = None) -> Column:
     """Location of a card: the location elements first, then a short text that looks like a place."""
-    elements = [
-        ("div", "data-testid", "text-location"),
-        ("div", "class", "companyLocation", True),
-        ("div|span", "class", "location"),
-    ]
     place_like = F.filter(
         H.text_lines(card_html),
         lambda line: (F.length(line) < 100) & T.matches(line, r",|(?i:remote)|CA|NY|TX|FL|WA"),
     )
-    return F.coalesce(H.first_text(card_html, elements), F.get(place_like, 0))
+    return F.coalesce(E.first_text(_part(card_html, parts, "location")), F.get(place_like, 0))
 
 
 def work_mode_in_text(text: Column) -> Column:
@@ -74,7 +108,7 @@ def salary_text(text: Column) -> Column:
     return F.when(T.matches(text, r"\d"), T.first_pattern(text, P.SALARY_PATTERNS, longer_than=5))
 
 
-def salary_of_card(card_html: Column, text: Column | None = None) -> Column:
+def salary_of_card(card_html: Column, text: Column | None = None, parts: Column | None = None) -> Column:
     """Salary of a card: text beside the apply button, salary elements, then the whole text, which
     may be given if it is at hand."""
     beside_apply = T.squeeze(
@@ -85,12 +119,7 @@ def salary_of_card(card_html: Column, text: Column | None = None) -> Column:
             1,
         )
     )
-    elements = [
-        ("div|span", "data-testid", "attribute_snippet_test_salary"),
-        ("div|span", "class", "salary"),
-        ("div|span", "class", "compensation"),
-    ]
-    element = H.first_text(card_html, elements)
+    element = E.first_text(_part(card_html, parts, "salary"))
     return F.coalesce(
         T.longer(beside_apply, 5),
         T.once(element, lambda e: F.when(T.matches(e, r"(?i)\$|salary|pay") & (F.length(e) > 5), e)),
@@ -98,6 +127,15 @@ def salary_of_card(card_html: Column, text: Column | None = None) -> Column:
     )
 
 
+def salary_of_page(text: Column, parts: Column) -> Column:
+    """Salary of a detail page: the first in its text, else an element that names an amount and what it is for."""
+    named = F.filter(
+        F.concat(E.texts(parts["salary_boxes"]), E.texts(parts["salary"])),
+        lambda e: F.contains(e, F.lit("$")) & T.contains_any(F.lower(e), S.SALARY_ELEMENT_WORDS) & (F.length(e) > 5),
+    )
+    return F.coalesce(salary_text(text), F.get(named, 0))
+
+
 @T.on_value
 def salary_bounds(text: Column) -> Column:
     """Struct (salary_min, salary_max, salary_period). Bounds are yearly; hourly pay counts a
@@ -135,15 +173,20 @@ def posted_text(text: Column) -> Column:
     return T.first_pattern(text, patterns, longer_than=2)
 
 
-def posted_of_card(card_html: Column, text: Column | None = None) -> Column:
+def posted_of_card(card_html: Column, text: Column | None = None, parts: Column | None = None) -> Column:
     """Posting time of a card: patterns on its text, else a date element that names an age."""
-    elements = [("span|div", "class", c) for c in ("date", "posted", "time", "ago")]
-    element = H.first_text(card_html, [*elements, ("span|div", "data-testid", "myJobsStateDate")])
+    in_text = posted_text(H.strip_tags(card_html) if text is None else text)
+    return F.coalesce(in_text, _age(_part(card_html, parts, "posted")))
+
+
+def _age(found: Column) -> Column:
     age = r"(?i)ago|posted|today|yesterday|active|just"
-    return F.coalesce(
-        posted_text(H.strip_tags(card_html) if text is None else text),
-        T.once(element, lambda e: F.when(T.matches(e, age) & (F.length(e) > 2), e)),
-    )
+    return F.get(F.filter(E.texts(found), lambda e: T.matches(e, age) & (F.length(e) > 2)), 0)
+
+
+def posted_of_page(text: Column, parts: Column) -> Column:
+    """Posting time of a detail page: patterns on its text, else a date element that names an age."""
+    return F.coalesce(posted_text(text), _age(parts["posted"]))
 
 
 @T.on_value
@@ -194,10 +237,10 @@ def _best_lines(lines: Column, min_length: int, min_words: int, stop_words: Sequ
     )
 
 
-def description_line(lines: Column) -> Column:
-    """First line of a list card that reads like a description."""
-    found = F.get(_best_lines(lines, 40, 6, P.CARD_LINE_STOP_WORDS), 0)
-    return T.truncate(T.squeeze(found), 1000)
+def description_line(lines: Column, limit: int | None = None) -> Column:
+    """First line of a list card that reads like a description, cut only where a limit is given."""
+    found = T.squeeze(F.get(_best_lines(lines, 40, 6, P.CARD_LINE_STOP_WORDS), 0))
+    return found if limit is None else T.truncate(found, limit)
 
 
 def detail_description_line(lines: Column) -> Column:
@@ -210,12 +253,19 @@ def detail_description_line(lines: Column) -> Column:
     )
 
 
-def description_of_card(card_html: Column) -> Column:
-    elements = [("div", "class", "job-snippet", True)]
-    elements += [("div|span", "class", c) for c in ("snippet", "summary", "description", "preview")]
-    first = H.first_text(card_html, elements, 15)
-    from_element = T.truncate(F.regexp_replace(first, P.DESCRIPTION_LABEL, ""), 1000)
-    return F.coalesce(from_element, description_line(H.text_lines(card_html)))
+def description_of_card(card_html: Column, parts: Column | None = None, limit: int | None = None) -> Column:
+    """Description of a card: the description elements, else a line that reads like one. Cut only where a limit is given."""
+    first = F.regexp_replace(E.first_text(_part(card_html, parts, "description"), 15), P.DESCRIPTION_LABEL, "")
+    from_element = first if limit is None else T.truncate(first, limit)
+    return F.coalesce(from_element, description_line(H.text_lines(card_html), limit))
+
+
+def description_of_page(html: Column, parts: Column | None = None) -> Column:
+    """Description of a detail page: the first description element with over 100 characters, formatted, else the longest
+    line of the page that reads like one."""
+    found = F.transform(E.texts((detail_parts(html) if parts is None else parts)["description"]), formatted_description)
+    whole = F.get(F.filter(found, lambda t: F.length(t) > 100), 0)
+    return F.coalesce(whole, detail_description_line(H.text_lines(html)))
 
 
 def formatted_description(text: Column) -> Column:
@@ -228,7 +278,7 @@ def formatted_description(text: Column) -> Column:
 
 @T.on_value
 def requirements(text: Column) -> Column:
-    """Up to five sentences that state requirements."""
+    """All sentences that state requirements."""
     found = F.flatten(
         F.array(
             *[
@@ -237,16 +287,15 @@ def requirements(text: Column) -> Column:
             ]
         )
     )
-    fitting = F.filter(found, lambda r: (F.length(r) > 10) & (F.length(r) < 200))
-    return F.slice(fitting, 1, L.MAX_REQUIREMENTS)
+    return F.filter(found, lambda r: (F.length(r) > 10) & (F.length(r) < 200))
 
 
-def requirement_section(text: Column) -> Column:
-    """500 characters from the first requirements heading on, in the order of the heading list."""
+def requirement_section(text: Column, limit: int | None = None) -> Column:
+    """The text from the first requirements heading on, in the order of the heading list. Cut only where a limit is given."""
     lowered = F.lower(text)
+    length = F.length(text) if limit is None else F.lit(limit)
     found = [
-        F.when(F.instr(lowered, h) > 0, F.substring(text, F.instr(lowered, h), F.lit(500)))
-        for h in L.REQUIREMENT_HEADINGS
+        F.when(F.instr(lowered, h) > 0, F.substring(text, F.instr(lowered, h), length)) for h in L.REQUIREMENT_HEADINGS
     ]
     return T.clean_text(F.coalesce(*found))
 
@@ -294,7 +343,7 @@ def terms_in(text: Column, lexicon: Sequence[tuple[str, str]]) -> Column:
     return F.transform(in_order, lambda term: F.try_element_at(shown, term))
 
 
-def skills(description: Column, whole_text: Column | None = None, limit: int | None = L.MAX_SKILLS) -> Column:
+def skills(description: Column, whole_text: Column | None = None, limit: int | None = None) -> Column:
     """Skills named in the description, else in the whole text."""
     found = terms_in(description, L.SKILLS)
     if whole_text is not None:
@@ -310,7 +359,7 @@ def _phrases_in(text: Column, lexicon: Sequence[tuple[str, str]]) -> Column:
     return F.transform(found, lambda term: F.try_element_at(shown, term))
 
 
-def benefits(text: Column, limit: int | None = L.MAX_BENEFITS) -> Column:
+def benefits(text: Column, limit: int | None = None) -> Column:
     found = _phrases_in(text, L.BENEFITS)
     return found if limit is None else F.slice(found, 1, limit)
 
@@ -319,10 +368,16 @@ def industry(text: Column) -> Column:
     return T.first_label(F.lower(text), [(shown, T.escape(term)) for term, shown in L.INDUSTRIES])
 
 
-def industry_of_page(html: Column) -> Column:
-    """Industry element of a detail page, 4 to 99 characters long."""
-    found = H.first_text(html, [("div", "class", "company-info"), ("span|div", "class", "industry")])
-    return T.once(found, lambda f: F.when((F.length(f) > 3) & (F.length(f) < 100), f))
+def industry_of_page(html: Column, found: Column | None = None) -> Column:
+    """Industry element of a detail page, 4 to 99 characters long. ``found`` are the elements, if they are at hand."""
+    found = E.parts(html, {"industry": E.first(S.DETAIL_INDUSTRY)})["industry"] if found is None else found
+    return F.get(F.filter(E.texts(found), lambda t: (F.length(t) > 3) & (F.length(t) < 100)), 0)
+
+
+def company_size_of_page(html: Column, found: Column | None = None) -> Column:
+    """Company size element of a detail page: the first that names a size."""
+    found = E.parts(html, {"size": E.first(S.DETAIL_SIZE)})["size"] if found is None else found
+    return F.get(F.filter(E.texts(found), lambda t: T.contains_any(F.lower(t), S.COMPANY_SIZE_WORDS)), 0)
 
 
 def company_size(text: Column) -> Column:
@@ -331,52 +386,37 @@ def company_size(text: Column) -> Column:
 
 # --- company and title of a card -----------------------------------------------------------
 
-def company_of_card(card_html: Column) -> Column:
+def company_of_card(card_html: Column, parts: Column | None = None) -> Column:
     """Company of a card: the company elements first, then a short text without job words."""
-    elements = [
-        ("span|a", "data-testid", "company-name"),
-        ("span", "class", "companyName", True),
-        ("span|div|a", "class", r"company(?!Location)"),
-        ("span|div|a", "class", "jcs-CompanyLink"),
-        ("a", "aria-label", "hiring"),
-    ]
     noise = r"(?i)days ago|hours ago|just posted|salary|\$|remote|full|part|time"
     plain = F.filter(
         H.text_lines(card_html),
         lambda line: (F.length(line) > 3) & (F.length(line) < 50) & ~T.matches(line, noise),
     )
-    return F.coalesce(H.first_text(card_html, elements, 1), F.get(plain, 1))
+    return F.coalesce(E.first_text(_part(card_html, parts, "company"), 1), F.get(plain, 1))
 
 
-def company_url_of_card(card_html: Column, base: str) -> Column:
-    """First link of a card that leads to a company or employer page."""
-    found = F.filter(
+def company_url_of_card(card_html: Column, base: str, parts: Column | None = None) -> Column:
+    """Link of a card to its company: the link that the company element is or holds, else the first link that names a
+    company or employer page."""
+    element = F.get(F.filter(_part(card_html, parts, "company"), lambda p: F.length(p["text"]) > 1), 0)
+    named = F.filter(
         F.transform(H.links(card_html), lambda a: a["href"]), lambda h: T.matches(h, r"(?i)company|employer")
     )
-    href = F.get(found, 0)
-    return F.when(F.startswith(href, F.lit("http")), href).otherwise(F.concat(F.lit(base), href))
+    found = F.coalesce(T.blank_to_null(element["link"]), F.get(named, 0))
+    return T.once(found, lambda h: F.when(F.startswith(h, F.lit("http")), h).otherwise(F.concat(F.lit(base), h)))
 
 
-def title_of_card(card_html: Column) -> Column:
+def title_of_card(card_html: Column, parts: Column | None = None) -> Column:
     """Title of a card without badges."""
-    elements = [("h2", "class", "jobTitle"), ("a", "data-jk"), ("span", "title"), ("a", "class", "jcs-JobTitle"), ("h2",)]
-    first = H.first_text(card_html, elements, 3)
+    first = E.first_text(_part(card_html, parts, "title"), 3)
     return T.strip_space(F.regexp_replace(first, P.TITLE_BADGES, ""))
 
 
-def page_title(html: Column) -> Column:
-    """Title of an element or page: the longest of the selector hits, else the first fitting
-    line, else the opening of the text up to a separator."""
-    selectors = [
-        ("[a-z][a-z0-9]*", "data-automation-id", "jobTitle"),
-        ("[a-z][a-z0-9]*", "data-testid", "job"),
-        ("[a-z][a-z0-9]*", "class", "(?:job-title|jobTitle)"),
-        ("h1", "", ""), ("h2", "", ""), ("h3", "", ""), ("h4", "", ""), ("h5", "", ""),
-        ("a", "href", "(?:job|position)"),
-        ("[a-z][a-z0-9]*", "class", "title"),
-        ("a", "", ""),
-    ]
-    candidates = T.once(H.drop_elements(html, H.HIDDEN_TAGS), lambda shown: H.element_texts(shown, selectors))
+def page_title(html: Column, opening_chars: int | None = None) -> Column:
+    """Title of an element or page: the longest of the selector hits, else the first fitting line, else the text up to
+    a separator, of which ``opening_chars`` may limit the part that is looked at."""
+    candidates = E.texts(E.parts(html, {"title": E.first(S.PAGE_TITLE)})["title"])
     fitting = F.filter(candidates, lambda t: F.length(t).between(3, 200))
     longest = F.aggregate(
         fitting,
@@ -387,6 +427,7 @@ def page_title(html: Column) -> Column:
         H.text_lines(html),
         lambda line: F.length(line).between(5, 200) & ((F.upper(line) != line) | (T.word_count(line) >= 2)),
     )
-    start = F.trim(F.left(H.visible_text(html, H.HIDDEN_TAGS), F.lit(100)))
+    shown = H.visible_text(html, H.HIDDEN_TAGS)
+    start = shown if opening_chars is None else F.trim(F.left(shown, F.lit(opening_chars)))
     opening = T.longer(F.regexp_extract(start, r"^(.*?)(?:\. | - | \| |$)", 1), 2)
     return F.coalesce(longest, F.get(lines, 0), opening)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideboard.functions import html as H
+from tideboard.functions import elements as E
 from tideboard.functions import posting as X
 from tideboard.functions import text as T
 from tideboard.functions import url as U
@@ -27,8 +27,11 @@ def with_company_from_url(df, url="url", out="company"):
 
 def with_company(df, html="html", out="company", base_url=""):
     """Company name and company URL of a card."""
-    return df.withColumns(
-        {out: X.company_of_card(F.col(html)), f"{out}_url": X.company_url_of_card(F.col(html), base_url)}
+    source, parts = F.col(html), F.col("_parts")
+    return (
+        df.withColumn("_parts", X.card_parts(source))
+        .withColumns({out: X.company_of_card(source, parts), f"{out}_url": X.company_url_of_card(source, base_url, parts)})
+        .drop("_parts")
     )
 
 
@@ -76,9 +79,9 @@ def with_posted_at(df, text="posted_date", out="posted_at", as_of: str | Column
 
 
 def with_description(df, source="text", out="description", kind="lines"):
-    """``kind``: "lines" and "detail" read plain text, "card" reads card HTML."""
-    if kind == "card":
-        return df.withColumn(out, X.description_of_card(F.col(source)))
+    """``kind``: "lines" and "detail" read plain text, "card" reads card HTML and "page" the HTML of a detail page."""
+    if kind in ("card", "page"):
+        return df.withColumn(out, (X.description_of_card if kind == "card" else X.description_of_page)(F.col(source)))
     lines = F.filter(F.transform(F.split(F.col(source), "\n"), T.strip_space), lambda line: line != "")
     read = X.detail_description_line if kind == "detail" else X.description_line
     return df.withColumn(out, read(lines))
@@ -94,26 +97,27 @@ def with_requirements(df, source="text", out="requirements", kind="sentences"):
     read = {
         "sentences": X.requirements,
         "section": lambda t: F.array_compact(F.array(T.blank_to_null(X.requirement_section(t)))),
-        "items": lambda h: X.requirement_items(H.list_items(h)),
+        "items": lambda h: X.requirement_items(E.texts(X.detail_parts(h)["requirements"])),
     }[kind]
     return df.withColumn(out, read(c))
 
 
-def with_skills(df, description="description", text=None, out="skills", limit: int | None = 10):
+def with_skills(df, description="description", text=None, out="skills", limit: int | None = None):
     return df.withColumn(out, X.skills(F.col(description), None if text is None else F.col(text), limit))
 
 
-def with_benefits(df, source="text", out="benefits", is_detail=False, limit: int | None = 8):
+def with_benefits(df, source="text", out="benefits", is_detail=False, limit: int | None = None):
     c = F.col(source)
-    return df.withColumn(out, X.benefit_items(H.list_items(c)) if is_detail else X.benefits(c, limit))
+    items = lambda: X.benefit_items(E.texts(X.detail_parts(c)["benefits"]))
+    return df.withColumn(out, items() if is_detail else X.benefits(c, limit))
 
 
 def with_industry(df, source="text", out="industry", is_detail=False):
     return df.withColumn(out, (X.industry_of_page if is_detail else X.industry)(F.col(source)))
 
 
-def with_company_size(df, text="text", out="company_size"):
-    return df.withColumn(out, X.company_size(F.col(text)))
+def with_company_size(df, text="text", out="company_size", is_detail=False):
+    return df.withColumn(out, (X.company_size_of_page if is_detail else X.company_size)(F.col(text)))
 
 
 def with_absolute_url(df, base: str, url="url", out="url"):

@@ -222,16 +222,17 @@ def filter_cards(cards: DataFrame, html="html") -> DataFrame:
     c = F.col(html)
     return cards.filter(
         T.matches(c, r"(?i)^\s*<[^>]*\bdata-jk=")
-        | T.matches(c, r"(?is)<a\b[^>]*class=\"[^\"]*(?:jcs-JobTitle|jobTitle)|<h[23]\b[^>]*>\s*<a\b")
-        | T.matches(c, r"(?i)<(?:span|div|a)\b[^>]*class=\"[^\"]*company")
-        | T.matches(c, r"(?i)<(?:span|div)\b[^>]*class=\"[^\"]*location")
-        | T.matches(c, r"(?i)^\s*<[^>]*class=\"[^\"]*(?:job|result|listing|card)")
+        | T.matches(c, r"(?is)<a\b[^>]*class\s*=\s*[\"']?[^\"'>]*(?:jcs-JobTitle|jobTitle)|<h[23]\b[^>]*>\s*<a\b")
+        | T.matches(c, r"(?i)<(?:span|div|a)\b[^>]*class\s*=\s*[\"']?[^\"'>]*company")
+        | T.matches(c, r"(?i)<(?:span|div)\b[^>]*class\s*=\s*[\"']?[^\"'>]*location")
+        | T.matches(c, r"(?i)^\s*<[^>]*class\s*=\s*[\"']?[^\"'>]*(?:job|result|listing|card)")
     )
 
 
-def prefilter_elements(df: DataFrame, text="text") -> DataFrame:
-    """Drops list headers, tiny controls and short texts without a sign of a posting."""
-    shown = F.lower(F.left(F.col(text), F.lit(200)))
+def prefilter_elements(df: DataFrame, text="text", chars: int | None = None) -> DataFrame:
+    """Drops list headers, tiny controls and short texts without a sign of a posting. ``chars`` limits the part of the
+    text that is looked at."""
+    shown = F.lower(F.col(text) if chars is None else F.left(F.col(text), F.lit(chars)))
     lines = F.size(F.split(shown, "\n"))
     header = T.contains_any(shown, R.HEADER_MARKS) & (lines < 3)
     marked = T.contains_any(shown, R.ELEMENT_JOB_MARKS)

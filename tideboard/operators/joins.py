@@ -105,12 +105,14 @@ def enrich_details(postings: DataFrame, details: DataFrame, key: str = "url") ->
 
 
 def match_lexicon(
-    df: DataFrame, id_col: str, text: str, lexicon: DataFrame, longest: int = 3, broadcast_lexicon: bool = False
+    df: DataFrame, id_col: str, text: str, lexicon: DataFrame, longest: int | None = None
 ) -> DataFrame:
     """One row per text that names lexicon terms: id and the sorted distinct display forms. Each
     word of a text meets the terms that begin with it in a hash join, and the words after it
-    decide; texts and terms are never compared pair by pair. ``lexicon`` has term (lower case, at
-    most ``longest`` words) and shown."""
+    decide; texts and terms are never compared pair by pair. ``lexicon`` has term (lower case) and
+    shown; ``longest`` is the number of words of its longest term, counted here if it is not given."""
+    if longest is None:
+        longest = lexicon.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
     # A full stop or slash at the edge of a word belongs to the sentence.
     spaced = F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}_+#./]+", " ")
     words = F.split(F.trim(F.regexp_replace(spaced, r"(^| )[./]+|[./]+(?= |$)", "$1")), " +")
@@ -123,7 +125,6 @@ def match_lexicon(
     runs = T.explode_once(held, [id_col], F.arrays_zip(*shifted), "_i", "r").select(id_col, "r.*")
     parts = F.split("term", " ")
     terms = lexicon.select("shown", *[F.get(parts, i).alias(f"t{i}") for i in range(longest)])
-    terms = F.broadcast(terms) if broadcast_lexicon else terms
     fits = F.col("w0") == F.col("t0")
     for i in range(1, longest):
         fits = fits & (F.col(f"t{i}").isNull() | (F.col(f"t{i}") == F.col(f"w{i}")))

@@ -48,9 +48,10 @@ def dedup_titles(df: DataFrame, order: Sequence) -> DataFrame:
     return dedup_first(keyed, ["_title", "_company"], order).drop("_title", "_company")
 
 
-def dedup_text_start(df: DataFrame, text: str, order: Sequence, chars: int = 50) -> DataFrame:
-    """First row per opening of a text."""
-    keyed = df.withColumn("_start", F.lower(F.left(F.col(text), F.lit(chars))))
+def dedup_text_start(df: DataFrame, text: str, order: Sequence, chars: int | None = None) -> DataFrame:
+    """First row per text without regard to case, or per its first ``chars`` characters."""
+    start = F.col(text) if chars is None else F.left(F.col(text), F.lit(chars))
+    keyed = df.withColumn("_start", F.lower(start))
     return dedup_first(keyed, ["_start"], order).drop("_start")
 
 

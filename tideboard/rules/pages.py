@@ -8,14 +8,12 @@ NUMBERED_MARKS = ["pagination", "page-item"]
 LOAD_MORE_MARKS = ["load more", "show more"]
 SCROLL_MARKS = ["infinite-scroll", "lazy-load", "scroll-load"]
 
-# Visible text of landing pages, looked for in the first 1000 characters.
+# Visible text of landing pages.
 LANDING_MARKS = [
     "work at", "life at", "join our team", "why work",
     "explore careers", "learn about", "our culture",
     "meet the team", "see our teams", "our values",
 ]
-LANDING_PREFIX = 1000
-SEARCH_PREFIX = 2000
 
 # Texts of pages without results, and of pages past the last result.
 EMPTY_MARKS = [
@@ -72,5 +70,5 @@ PAYLOAD_KEYS = {
     "posted_date": ["postedDate", "createdAt", "publishedAt", "datePosted"],
 }
 
-# Page loop limits.
-MAX_PAGE, PAGE_SIZE = 19, 15
+# Fixed value: results of a page.
+PAGE_SIZE = 15

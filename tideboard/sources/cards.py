@@ -3,7 +3,6 @@ Python: a tag scan per page, fed by Arrow batches, and only for pages that carry
 
 from __future__ import annotations
 
-import re
 import sys
 from collections.abc import Iterator, Sequence
 
@@ -12,6 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideboard.functions import elements as E
 from tideboard.functions import html as H
 from tideboard.functions import posting as X
 from tideboard.functions import text as T
@@ -22,56 +22,18 @@ from tideboard.rules import pages as R
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(R)
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)\b([^>]*)>")
-_HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)")
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-
 # Opening tags of every selector, as one cheap test in the scan.
 CARD_MARKS = r"(?i)\bdata-jk\b|job_seen_beacon|resultContent|jobsearch-|data-testid|" + R.TITLE_LINK_CLASS
 
 
-def _elements(html: str) -> list[tuple[int, int, str, str, int]]:
-    """(start, end, tag, attributes, index of the parent) of every element, in page order."""
-    blanked = _HIDDEN.sub(lambda m: " " * len(m.group()), html)
-    found: list[list] = []
-    open_tags: list[int] = []
-    for m in _TAG.finditer(blanked):
-        tag = m.group(2).lower()
-        if m.group(1):
-            depth = next((d for d in range(len(open_tags) - 1, -1, -1) if found[open_tags[d]][2] == tag), None)
-            if depth is not None:
-                for i in open_tags[depth:]:
-                    found[i][1] = m.start()
-                found[open_tags[depth]][1] = m.end()
-                del open_tags[depth:]
-            continue
-        found.append([m.start(), len(html), tag, m.group(3), open_tags[-1] if open_tags else -1])
-        if tag in _VOID or m.group(3).endswith("/"):
-            found[-1][1] = m.end()
-        else:
-            open_tags.append(len(found) - 1)
-    return [tuple(f) for f in found]
-
-
-def _fits(element, selector) -> bool:
-    tag, attribute, test, wanted = selector
-    if element[2] != tag or attribute not in element[3]:
-        return False
-    m = re.search(rf"(?:^|\s){attribute}(?:\s*=\s*[\"']([^\"']*)[\"']|(?=\s|$))", element[3])
-    if m is None:
-        return False
-    value = m.group(1) or ""
-    return test == "present" or (wanted in value.split() if test == "word" else wanted in value)
-
-
-def _title_boxes(elements) -> set[int]:
+def _title_boxes(page: E.Page) -> set[int]:
     """The nearest div around each title link."""
     out = set()
-    for e in elements:
-        if _fits(e, ("a", "class", "contains", R.TITLE_LINK_CLASS)):
-            at = e[4]
-            while at >= 0 and elements[at][2] != "div":
-                at = elements[at][4]
+    for i in range(len(page)):
+        if page.fits(i, ("a", "class", "contains", R.TITLE_LINK_CLASS)):
+            at = page.parents[i]
+            while at >= 0 and page.tags[at] != "div":
+                at = page.parents[at]
             out.add(at)
     return out - {-1}
 
@@ -82,24 +44,24 @@ def find_cards(html: str) -> list[str]:
     An element's rank is the first selector that it meets: marked cards, then elements named like cards, then the boxes
     of title links, each family only on pages without the one before. An element that is nested with a card of a better
     rank, inside or around it, is a part of that card or the list that holds it, and no card of its own."""
-    elements = _elements(html)
+    page = E.Page(html)
     for family in (R.PRIMARY_CARDS, R.FALLBACK_CARDS):
-        ranks = {i: next((r for r, selector in enumerate(family) if _fits(e, selector)), None) for i, e in enumerate(elements)}
+        ranks = {i: next((r for r, selector in enumerate(family) if page.fits(i, selector)), None) for i in range(len(page))}
         ranked = {i: r for i, r in ranks.items() if r is not None}
         if ranked:
             break
     else:
-        ranked = dict.fromkeys(_title_boxes(elements), 0)
+        ranked = dict.fromkeys(_title_boxes(page), 0)
     best_around: dict[int, int] = {}  # of the elements with cards inside or around them, the best rank there
     for i, rank in ranked.items():
-        at = elements[i][4]
+        at = page.parents[i]
         while at >= 0:
             if at in ranked:
                 best_around[at] = min(best_around.get(at, rank), rank)
                 best_around[i] = min(best_around.get(i, ranked[at]), ranked[at])
-            at = elements[at][4]
+            at = page.parents[at]
     cards = sorted(i for i, rank in ranked.items() if best_around.get(i, rank) >= rank)
-    return [html[elements[i][0] : elements[i][1]] for i in cards]
+    return [html[page.starts[i] : page.ends[i]] for i in cards]
 
 
 _OUTPUT_CHARS = 32_000_000
@@ -152,19 +114,19 @@ def pages_to_cards(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 def cards_to_postings(cards: DataFrame, base_url: str = "") -> DataFrame:
     """Posting columns of cards. Only card-sized strings are searched here."""
-    html, text, first_link = F.col("html"), F.col("text"), F.get("links", 0)
+    html, text, parts, first_link = F.col("html"), F.col("text"), F.col("parts"), F.get("links", 0)
     kept = [c for c in cards.columns if c not in ("html", "text", "links")]
-    read = cards.select(
+    read = cards.withColumn("parts", X.card_parts(html)).select(
         *kept,
         "text",
-        X.title_of_card(html).alias("title"),
-        X.company_of_card(html).alias("company"),
-        X.company_url_of_card(html, base_url).alias("company_url"),
-        X.location_of_card(html).alias("location"),
-        X.description_of_card(html).alias("description"),
+        X.title_of_card(html, parts).alias("title"),
+        X.company_of_card(html, parts).alias("company"),
+        X.company_url_of_card(html, base_url, parts).alias("company_url"),
+        X.location_of_card(html, parts).alias("location"),
+        X.description_of_card(html, parts).alias("description"),
         U.absolute_or_null(first_link, base_url).alias("url"),
-        X.salary_of_card(html, text).alias("salary_range"),
-        X.posted_of_card(html, text).alias("posted_date"),
+        X.salary_of_card(html, text, parts).alias("salary_range"),
+        X.posted_of_card(html, text, parts).alias("posted_date"),
         U.board_job_id(first_link, html).alias("job_id"),
     )
     return read.withColumns(

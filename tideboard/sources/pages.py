@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideboard.functions import elements as E
 from tideboard.functions import html as H
 from tideboard.functions import posting as X
 from tideboard.functions import text as T
 from tideboard.functions import url as U
 from tideboard.rules import pages as R
+from tideboard.rules import selectors as S
 from tideboard.schema import PAGE_SCHEMA
 
 
@@ -46,16 +48,21 @@ def pages_to_title(pages: DataFrame, out: str = "title") -> DataFrame:
     return pages.withColumn(out, X.page_title(F.col("html")))
 
 
-def classify_pages(pages: DataFrame) -> DataFrame:
-    """Labels of each page: page_type, pagination_type and the flags is_landing, is_empty, is_end,
-    is_blocked, has_job_terms."""
+def _start(c: Column, chars: int | None) -> Column:
+    return c if chars is None else F.left(c, F.lit(chars))
+
+
+def classify_pages(pages: DataFrame, landing_chars: int | None = None, search_chars: int | None = None) -> DataFrame:
+    """Labels of each page: page_type, pagination_type and the flags is_landing, is_empty, is_end, is_blocked,
+    has_job_terms. Whole pages are read; the two limits make the landing marks count in the first visible characters
+    only, and a page a search page if "job" is missing in the first characters of its source."""
     html = F.col("html")
     source = F.lower(html)
     visible = F.lower(H.visible_text(html, H.HIDDEN_TAGS))
     challenge = T.contains_any(html, R.CHALLENGE_MARKS) | (
         F.contains(html, F.lit(R.CHALLENGE_PAIR[0])) & F.contains(html, F.lit(R.CHALLENGE_PAIR[1]))
     )
-    starts_without_job = ~F.contains(F.left(source, F.lit(R.SEARCH_PREFIX)), F.lit("job"))
+    starts_without_job = ~F.contains(_start(source, search_chars), F.lit("job"))
     return pages.select(
         "page_id",
         F.when(T.contains_any(source, R.MODAL_MARKS), "modal_first")
@@ -68,7 +75,7 @@ def classify_pages(pages: DataFrame) -> DataFrame:
         .when(T.contains_any(source, R.SCROLL_MARKS), "infinite_scroll")
         .otherwise("none")
         .alias("pagination_type"),
-        T.contains_any(F.left(visible, F.lit(R.LANDING_PREFIX)), R.LANDING_MARKS).alias("is_landing"),
+        T.contains_any(_start(visible, landing_chars), R.LANDING_MARKS).alias("is_landing"),
         T.contains_any(source, R.EMPTY_MARKS).alias("is_empty"),
         T.contains_any(visible, R.END_MARKS).alias("is_end"),
         (challenge & ~T.contains_any(html, R.RESULT_MARKS)).alias("is_blocked"),
@@ -76,26 +83,16 @@ def classify_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def _pagination(html: Column) -> Column:
-    container = F.regexp_extract(
-        html,
-        r"(?is)<(?:div|nav|ul)\b[^>]*(?:class=\"[^\"]*(?:pagination|paging|page-navigation)|role=\"navigation\""
-        r"|aria-label=\"[^\"]*pagination)[^>]*>(.*?)</(?:div|nav|ul)\s*>",
-        1,
-    )
-    return F.regexp_extract_all(container, F.lit(r"(?is)<(?:a|button)\b[^>]*>.*?</(?:a|button)\s*>"), F.lit(0))
-
-
 def pagination_info(pages: DataFrame) -> DataFrame:
-    """Page numbers offered by the first pagination element of each page."""
+    """Page numbers offered by the first pagination element of each page, in the order of the container rules. Pages
+    without the mark of a container are not scanned."""
 
     def read(e: Column) -> Column:
-        """Label, page number and opening tag of one control."""
-        label = H.strip_tags(e)
+        """Label, page number and opening tag of one control; all quotes of the tag as double ones."""
         return F.struct(
-            F.lower(label).alias("label"),
-            F.regexp_extract(label, r"^(\d{1,9})$", 1).try_cast("int").alias("number"),
-            F.lower(F.regexp_extract(e, r"(?s)^<[^>]*>", 0)).alias("opening"),
+            F.lower(e["text"]).alias("label"),
+            F.regexp_extract(e["text"], r"^(\d{1,9})$", 1).try_cast("int").alias("number"),
+            F.regexp_replace(F.lower(e["opening"]), r"=\s*(?:'([^']*)'|([^\s\"'>]+))", '="$1$2"').alias("opening"),
         )
 
     def is_current(e: Column) -> Column:
@@ -109,7 +106,7 @@ def pagination_info(pages: DataFrame) -> DataFrame:
         return T.matches(e["label"], "prev|<") | T.matches(e["opening"], r'aria-label="[^"]*prev')
 
     def summary(controls: Column) -> Column:
-        numbered = F.filter(controls, lambda e: e["number"].between(1, 999))
+        numbered = F.filter(controls, lambda e: e["number"] >= 1)
         numbers = F.array_sort(F.array_distinct(F.transform(numbered, lambda e: e["number"])))
         current = F.element_at(F.concat(F.array(F.lit(1)), F.transform(F.filter(numbered, is_current), lambda e: e["number"])), -1)
         return F.struct(
@@ -119,10 +116,10 @@ def pagination_info(pages: DataFrame) -> DataFrame:
             F.exists(controls, is_prev).alias("has_prev"),
         )
 
+    marked = F.when(T.matches(F.col("html"), r"(?i)paginat|paging|page-navigation|navigation"), F.col("html"))
+    controls = E.parts(marked, {"controls": E.in_one(S.PAGINATION, S.CONTROL_TAGS, S.PAGINATION_WORDS)})["controls"]
     info = F.col("info")
-    return pages.select(
-        "page_id", T.once(F.transform(_pagination(F.col("html")), read), summary).alias("info")
-    ).select(
+    return pages.select("page_id", T.once(F.transform(controls, read), summary).alias("info")).select(
         "page_id",
         F.when(F.size(info["page_numbers"]) > 0, "numbered")
         .when(info["has_next"], "next_only")
@@ -136,12 +133,13 @@ def pagination_info(pages: DataFrame) -> DataFrame:
     )
 
 
-def page_plan(info: DataFrame, max_page: int = R.MAX_PAGE, page_size: int = R.PAGE_SIZE) -> DataFrame:
-    """One row per further page to read: page_id, page_no and the row offset of that page."""
+def page_plan(info: DataFrame, max_page: int | None = None, page_size: int = R.PAGE_SIZE) -> DataFrame:
+    """One row per further page to read, up to ``max_page`` where one is given: page_id, page_no and the row offset of
+    that page."""
     # Where nothing is left to read the array is NULL and gives no row: a filter would be pushed
     # below the expressions that find the page numbers and make them run twice.
     first = F.col("current_page") + 1
-    last = F.when(F.col("total_pages").isNotNull(), F.least(F.col("total_pages"), F.lit(max_page)))
+    last = F.when(F.col("total_pages").isNotNull(), F.least(F.col("total_pages"), F.lit(max_page).cast("int")))
     further = F.when(first <= last, F.sequence(first, F.greatest(first, last)))
     return T.explode_once(info, ["page_id"], further, "_i", "page_no").select(
         "page_id", "page_no", ((F.col("page_no") - 1) * page_size).alias("row_offset")

@@ -80,7 +80,7 @@ def project_payload(items: DataFrame, company: Column | None = None) -> DataFram
             T.clean_text(text["title"]).alias("title"),
             (company if company is not None else F.lit(None).cast("string")).alias("company"),
             T.blank_to_null(T.clean_text(_as_text(value["location"]))).alias("location"),
-            T.blank_to_null(T.clean_text(F.left(text["description"], F.lit(500)))).alias("description"),
+            T.blank_to_null(T.clean_text(text["description"])).alias("description"),
             text["url"].alias("url"),
             text["employment_type"].alias("employment_type"),
             F.when(is_object, pay_range).otherwise(T.blank_to_null(text["salary_range"])).alias("salary_range"),
@@ -160,7 +160,7 @@ def project_board_cards(cards: DataFrame, base_url: str = "") -> DataFrame:
         F.filter(card["benefits"], lambda b: F.map_contains_key(_code_map(L.CARD_BENEFITS), b["name"])),
         lambda b: F.try_element_at(_code_map(L.CARD_BENEFITS), b["name"]),
     )
-    skills = F.slice(X.terms_in(card["shortDescription"], L.CARD_SKILLS), 1, L.MAX_SKILLS)
+    skills = X.terms_in(card["shortDescription"], L.CARD_SKILLS)
     none = F.lit(None)
     return cards.filter(F.coalesce(card["title"], F.lit("")) != "").select(
         *[c for c in cards.columns if c != "card"],
@@ -174,7 +174,7 @@ def project_board_cards(cards: DataFrame, base_url: str = "") -> DataFrame:
         none.cast("string").alias("job_type"),
         F.coalesce(iso_day, posted).alias("posted_date"),
         X.experience_level(card["title"]).alias("experience_level"),
-        F.when(F.size(benefit_names) > 0, F.slice(benefit_names, 1, L.MAX_BENEFITS)).alias("benefits"),
+        F.when(F.size(benefit_names) > 0, benefit_names).alias("benefits"),
         none.cast("array<string>").alias("requirements"),
         F.when(F.size(skills) > 0, skills).alias("skills"),
         _code_name(card["locationTypes"], L.CARD_WORK_MODES, L.CARD_WORK_MODE_DEFAULT).alias("remote_type"),
