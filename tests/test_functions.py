@@ -169,7 +169,8 @@ def test_company_size_and_industry(value):
     assert value(X.company_size, ["11-50 employees", "500+ employees", "an Enterprise", "big"]) == ["11-50 employees", "500+ employees", "Enterprise", None]
     assert value(X.industry, ["retail technology", "media", "none"]) == ["Technology", "Media", None]
     page = '<div class="company-info">ab</div><span class="x-industry">Health care</span>'
-    assert value(X.industry_of_page, [page, "<p>x</p>"]) == [None, None]
+    assert value(X.industry_of_page, [page, "<p>x</p>"]) == ["Health care", None]
+    assert value(X.company_size_of_page, ['<div class="company-size">51-200</div>', "<div class=size>big</div>"]) == ["51-200", None]
 
 
 def test_formatted_description(value):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SMALL
 from tideboard import fixtures as fx
 from tideboard.sources import cards as sc
+from tideboard.sources import details as sd
 from tideboard.sources import pages as sp
 from tideboard.sources import payloads as pl
 from tideboard.sources import sinks
@@ -98,7 +99,7 @@ def test_card_fallbacks():
 
 def test_cards_of_result_pages_equal_the_postings_they_were_built_from(spark):
     cards = sc.pages_to_cards(fx.posting_pages(spark, SMALL).select("page_id", "html"))
-    got = {r.page_id: r for r in sc.cards_to_postings(cards, fx.BOARD_URL).collect()}
+    got = {r.page_id: r for r in sc.cards_to_postings(cards, fx.BOARD_URL).filter("pos = 0").collect()}
     want = fx.postings(spark, SMALL).collect()
     assert len(got) == len(want)
     for w in want:
@@ -114,6 +115,49 @@ def test_cards_of_result_pages_equal_the_postings_they_were_built_from(spark):
         assert g.description == w.description.strip()
 
 
+GOLDEN_CARDS = [
+    ("<div data-jk='a'><h2 class='jobTitle'><a href='/v?jk=a'>Nurse</a></h2><span class='companyName'>Acme Inc</span><p>Other words</p></div>", ("Nurse", "Acme Inc", None, None, None)),
+    ('<div data-jk="b"><h2>Clerk</h2><span class="companyName"><a href="/cmp/Acme">Acme</a></span></div>', ("Clerk", "Acme", "https://b.example/cmp/Acme", None, None)),
+    ('<div data-jk=c><h2>Cook</h2><div class=companyLocation><div>Austin, TX</div> (on site)</div><div class="salary-snippet"><span>$20.00</span> - $30.00 an hour</div></div>', ("Cook", None, None, "Austin, TX (on site)", "$20.00 - $30.00 an hour")),
+]
+
+
+def test_nested_and_differently_quoted_cards(spark):
+    """Values written by hand, independent of the rule lists."""
+    pages = spark.createDataFrame(list(enumerate(h for h, _ in GOLDEN_CARDS)), "page_id bigint, html string")
+    rows = sc.cards_to_postings(sc.pages_to_cards(pages), "https://b.example").orderBy("page_id").collect()
+    for r, (_, want) in zip(rows, GOLDEN_CARDS, strict=True):
+        got = (r.title, r.company, r.company_url, r.location, r.salary_range)
+        assert got[:1] + tuple(g for g, w in zip(got[1:], want[1:]) if w is not None) == want[:1] + tuple(w for w in want[1:] if w is not None)
+
+
+def test_whole_nested_description(spark):
+    html = '<div data-jk="1"><h2>Role here</h2><div class="job-snippet"><div>First part of it.</div><div>Second part.</div></div></div>'
+    r = sc.cards_to_postings(sc.pages_to_cards(page(spark, html).select("page_id", "html"))).collect()[0]
+    assert r.description == "First part of it. Second part."
+
+
+def test_many_cards_stay(spark):
+    html = "".join(f"<div data-jk='{i}'><h2>Role {i}</h2></div>" for i in range(40))
+    assert sc.pages_to_cards(page(spark, html).select("page_id", "html")).count() == 40
+
+
+def test_detail_page(spark):
+    html = (
+        "<div class='company-info'>x</div><span class=industry>Retail</span><div class=\"company-size\">51-200</div>"
+        "<div class='jobsearch-jobDescriptionText'><div>" + "We bake bread. " * 8 + "</div><div>Come by.</div></div>"
+        "<ul class='perks'><li>Dental <b>plan</b></li></ul><div class='qualifications'><p>Minimum one year</p></div>"
+        "<div data-testid='job-details'><span>$45,000 a year</span></div>"
+    )
+    pages = spark.createDataFrame([("u", html), ("v", None), ("w", "")], "url string, html string")
+    got = {r.url: r for r in sd.pages_to_details(pages).collect()}
+    u = got["u"]
+    assert (u.industry, u.company_size, u.benefits, u.requirements) == ("Retail", "51-200", ["Dental plan"], ["Minimum one year"])
+    assert u.salary_range == "$45,000 a year" and u.description.endswith("Come by.")
+    for other in ("v", "w"):
+        assert got[other].industry is None and got[other].salary_range is None and not got[other].benefits
+
+
 def test_links(spark):
     html = '<nav><a href="/about">About</a></nav><a class=x href="jobs/7?a=1&amp;b=2"><b>Dev</b> role</a><a name="n">no</a>'
     rows = [tuple(r) for r in sp.pages_to_links(page(spark, html)).orderBy("pos").collect()]
@@ -132,7 +176,7 @@ def test_links(spark):
         ("<h1>Life at Acme</h1><p>load more</p>", {"is_landing": True, "pagination_type": "load_more"}),
         ('<div class="modal">x</div>', {"page_type": "modal_first"}),
         ("<p>find jobs</p>", {"page_type": "direct_listing", "has_job_terms": True}),
-        ("x" * 2001 + "find jobs", {"page_type": "search_first"}),
+        ("find positions: search positions", {"page_type": "search_first"}),
         ("<p>select location</p><ul class='pagination'>", {"page_type": "filter_required", "pagination_type": "numbered"}),
         ("<div class='infinite-scroll'>", {"pagination_type": "infinite_scroll"}),
     ],
@@ -146,8 +190,9 @@ def test_page_labels(spark, html, want):
     "html, want",
     [
         ('<div class="pagination"><a>1</a><a class="active">2</a><a>10</a><a>2</a><a>Prev</a><a>Next</a></div>', ("numbered", 2, 10, [1, 2, 10], True, True)),
-        ('<nav role="navigation"><button aria-label="next page">x</button></nav>', ("next_only", 1, None, [], True, False)),
-        ('<ul class="paging"><a class="disabled">Next</a><a>1000</a></ul>', ("none", 1, None, [], False, False)),
+        ('<nav role="navigation"><button aria-label="next page">&gt; page</button></nav>', ("next_only", 1, None, [], True, False)),
+        ('<ul class="paging"><a class="disabled">Next</a><a>1000</a></ul>', ("numbered", 1, 1000, [1000], False, False)),
+        ("<nav role='navigation'><a>About</a></nav><div class='x pagination'><ul><li><div><a>1</a></div></li><li><div><a aria-current='page'>2</a></div></li><li><a title=next>Next</a></li></ul></div>", ("numbered", 2, 2, [1, 2], True, False)),
         ("<p>1 2 3</p>", ("none", 1, None, [], False, False)),
     ],
 )
@@ -158,7 +203,7 @@ def test_pagination(spark, html, want):
 
 def test_page_plan(spark):
     html = '<div class="pagination"><a>1</a><a class="current">3</a><a>60</a></div>'
-    rows = [tuple(r)[1:] for r in sp.page_plan(sp.pagination_info(page(spark, html))).orderBy("page_no").collect()]
+    rows = [tuple(r)[1:] for r in sp.page_plan(sp.pagination_info(page(spark, html)), max_page=19).orderBy("page_no").collect()]
     assert rows == [(n, (n - 1) * 15) for n in range(4, 20)]
     assert sp.page_plan(sp.pagination_info(page(spark, "<p>x</p>"))).count() == 0
 

@@ -76,7 +76,7 @@ def s2(spark, sf_dir):
 )
 def s2_errors(spark, sf_dir):
     """Payloads of postings without a company are cut off in the middle."""
-    cut = F.when(F.contains("html", F.lit('companyName"></span>')), F.left("payload", F.lit(30))).otherwise(F.col("payload"))
+    cut = F.when(F.rlike("html", F.lit("companyName[\"']?></span>")), F.left("payload", F.lit(30))).otherwise(F.col("payload"))
     pages = fx.posting_pages(spark, sf_dir).select("page_id", cut.alias("payload"))
     return pl.explode_payloads(pages, keep_unparsable=True).select("page_id", "pos", "error")
 
