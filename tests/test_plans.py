@@ -16,10 +16,10 @@ from tideboard.sources import payloads as pl
 # Cards, elements of pages and detail pages are read by the tag scan.
 WITH_PYTHON = (
     "h3_", "h5_", "h7_", "h8_", "x2_", "x4_location_of_card", "x8_salary_of_card", "x11_posted_of_card", "x13_description_of_card",
-    "x15_requirement_items", "x17_benefit_items", "x18_industry_of_page", "x19_company_size_of_page", "j4_details", "j4_from_pages",
+    "x15_requirement_items", "x17_benefit_items", "x18_industry_of_page", "x19_company_size_of_page", "j4_details", "j4_from_pages", "e1_with_details",
 )
 # These run when they are called: they write a table or a stream and return what was written.
-EAGER = ("t1_", "t2_", "t3_", "t4_", "s6_", "s7_", "e1_", "e2_")
+EAGER = ("t1_", "t2_", "t3_", "t4_", "s6_", "s7_", "e1_board_search_from_pages")
 
 
 def plan(df):

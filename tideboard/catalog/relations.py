@@ -43,9 +43,9 @@ def typed(spark, sf_dir):
     return fx.postings(spark, sf_dir).transform(ex.typed_postings, fx.BOARD).withColumn("pos", F.col("posting_id"))
 
 
-_MODE_SQL = """CASE WHEN lower(location) LIKE '%remote%' AND lower(location) LIKE '%hybrid%' THEN 'Hybrid'
+MODE_SQL = """CASE WHEN lower(location) LIKE '%remote%' AND lower(location) LIKE '%hybrid%' THEN 'Hybrid'
     WHEN lower(location) LIKE '%remote%' THEN 'Remote' WHEN location <> '' THEN 'On-site' END"""
-TYPED = f"""{s.POSTINGS}, typed AS (SELECT *, {_MODE_SQL} AS remote_type, {EMPLOYMENT_SQL} AS employment_type,
+TYPED = f"""{s.POSTINGS}, typed AS (SELECT *, {MODE_SQL} AS remote_type, {EMPLOYMENT_SQL} AS employment_type,
     {LEVEL_SQL} AS experience_level, {bounds_sql('salary_text')}, {posted_at_sql('posted_text')} AS posted_at,
     {key_sql()} AS posting_key, {requirements_sql('description')} AS requirements FROM postings)"""
 

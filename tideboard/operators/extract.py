@@ -9,6 +9,7 @@ from tideboard.functions import elements as E
 from tideboard.functions import posting as X
 from tideboard.functions import text as T
 from tideboard.functions import url as U
+from tideboard.operators import joins as jn
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -137,27 +138,46 @@ def with_posting_key(df, board_domain: str, out="posting_key"):
     return df.withColumn(out, key)
 
 
-def typed_postings(df: DataFrame, board_domain: str, as_of: str | Column = AS_OF) -> DataFrame:
-    """All fields of raw posting rows (title, company, location, salary_text, employment_text,
-    posted_text, description, url) in one projection."""
+def searchable_postings(
+    df: DataFrame, board_domain: str, as_of: str | Column = AS_OF, details: DataFrame | None = None
+) -> DataFrame:
+    """The key of raw posting rows and the fields that search criteria look at, in one projection. With ``details``,
+    empty fields are filled from the detail pages before amounts and times are read from them."""
+    read = df.withColumns(
+        {
+            "salary_range": X.salary_text(F.col("salary_text")),
+            "employment_type": X.employment_type(F.col("employment_text")),
+            "posted_date": X.posted_text(F.col("posted_text")),
+            "remote_type": X.work_mode_of_location(F.col("location")),
+            "experience_level": X.experience_level(F.col("title")),
+        }
+    )
+    if details is not None:
+        read = jn.enrich_details(read, details)
     return (
-        df.withColumns(
-            {
-                "salary_range": X.salary_text(F.col("salary_text")),
-                "employment_type": X.employment_type(F.col("employment_text")),
-                "posted_date": X.posted_text(F.col("posted_text")),
-                "remote_type": X.work_mode_of_location(F.col("location")),
-                "experience_level": X.experience_level(F.col("title")),
-                "skills": X.skills(F.col("description")),
-                "requirements": X.requirements(F.col("description")),
-                "benefits": X.benefits(F.col("description")),
-                "industry": X.industry(F.col("description")),
-                "company_size": X.company_size(F.col("description")),
-                "job_id": U.board_job_id(F.col("url")),
-            }
-        )
-        .transform(with_salary_bounds)
+        read.transform(with_salary_bounds)
         .transform(with_posted_at, as_of=as_of)
         .transform(with_posting_key, board_domain)
         .drop("salary_text", "employment_text", "posted_text")
     )
+
+
+def described_postings(df: DataFrame, description: str = "description") -> DataFrame:
+    """The fields that are read from descriptions, and the board's id."""
+    text = F.col(description)
+    return df.withColumns(
+        {
+            "skills": X.skills(text),
+            "requirements": X.requirements(text),
+            "benefits": X.benefits(text),
+            "industry": X.industry(text),
+            "company_size": X.company_size(text),
+            "job_id": U.board_job_id(F.col("url")),
+        }
+    )
+
+
+def typed_postings(df: DataFrame, board_domain: str, as_of: str | Column = AS_OF) -> DataFrame:
+    """All fields of raw posting rows (title, company, location, salary_text, employment_text,
+    posted_text, description, url) in one projection."""
+    return searchable_postings(df, board_domain, as_of).transform(described_postings)
