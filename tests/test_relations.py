@@ -48,14 +48,15 @@ def test_ttl_lookup(spark, fold_limit, chunks):
 
 # --- streaks -------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("options", [{}, {"window_limit": 0, "chunks": 7}, {"window_limit": 100, "chunks": 40}])
+@pytest.mark.parametrize("options", [{}, {"chunks": 7}, {"chunks": 40}])
 def test_failure_streak(spark, options):
     rng = random.Random(7)
     # Most events of the hot source fall on a few instants.
     events = [("hot", rng.choice([5, 5, rng.randrange(0, 3000)]), i, rng.random() < 0.25) for i in range(600)]
+    events += [(None, rng.randrange(0, 3000), 2000 + i, rng.random() < 0.3) for i in range(300)]
     events += [(f"s{i % 5}", rng.randrange(0, 3000), 1000 + i, rng.random() < 0.5) for i in range(200)]
     want, open_streak = {}, {}
-    for source, second, i, ok in sorted(events, key=lambda e: (e[0], e[1], e[2])):
+    for source, second, i, ok in sorted(events, key=lambda e: (e[0] or "", e[1], e[2])):
         open_streak[source] = 0 if ok else open_streak.get(source, 0) + 1
         want[i] = open_streak[source]
     rows = [(s, T0 + dt.timedelta(seconds=t), i, ok) for s, t, i, ok in events]

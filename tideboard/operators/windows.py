@@ -181,23 +181,13 @@ def failure_streak(
     order: Sequence[str],
     ok: str = "ok",
     threshold: int = 3,
-    window_limit: int = 1_000_000,
     chunks: int | None = None,
 ) -> DataFrame:
     """Consecutive failures per source up to each event; a success resets to 0. Adds streak and
-    healthy. Sources with up to ``window_limit`` events are one window each. Longer ones are cut
-    into ranges of (source, order) of equal size, so that neither a hot source nor a hot hour
-    meets in one task; each range hands on one row, from which the streak open at the start of
-    the next one follows."""
-    counts = events.groupBy(source).agg(F.count("*").alias("_n")).filter(F.col("_n") > window_limit).select(source)
-    if not counts.take(1):
-        streaks = _streak(_running_failures(events, [source], order, ok), F.lit(0))
-    else:
-        short = events.join(counts, source, "left_anti")
-        long = events.join(counts, source, "left_semi")
-        streaks = _streak(_running_failures(short, [source], order, ok), F.lit(0)).unionByName(
-            _chunked_streak(long, source, order, ok, chunks)
-        )
+    healthy. Events are cut into ranges of (source, order) of equal size, so that neither a hot
+    source nor a hot hour meets in one task; each range hands on one row, from which the streak
+    open at the start of the next one follows. Events without a source are one source."""
+    streaks = _chunked_streak(events, source, order, ok, chunks)
     return streaks.withColumn("healthy", F.col("streak") < threshold)
 
 
@@ -233,4 +223,4 @@ def _chunked_streak(events: DataFrame, source: str, order: Sequence[str], ok: st
             (F.col("_before") - F.coalesce(F.max("_reset_at").over(before), F.lit(0))).alias("_carry"),
         )
     )
-    return _streak(local.join(carried, [source, "_chunk"]), F.col("_carry")).drop("_chunk", "_carry")
+    return _streak(_on(local, carried, [source, "_chunk"]), F.col("_carry")).drop("_chunk", "_carry")
