@@ -197,6 +197,77 @@ def test_ratios_by_hand():
     assert [len(p) for p in pairs] == [3, 0, 0, 1]
 
 
+def plain_parts(texts, toxic):
+    """Parts of pairs, words and stems by dictionaries, all of them."""
+    counts = [[Counter(), Counter()] for _ in range(3)]
+    for text, y in zip(texts, toxic, strict=True):
+        for order, found in enumerate(plain_expressions(text)):
+            counts[order][y].update(set(found))
+    kept = {x for x in {*counts[2][0], *counts[2][1]} if counts[2][0][x] + counts[2][1][x] >= kneser.PAIR_CUT}
+    counts[2] = [Counter({x: n for x, n in c.items() if x in kept}) for c in counts[2]]
+    odds = [math.log((sum(c[1].values()) + 1) / (sum(c[0].values()) + 1)) for c in counts]
+
+    def topped(order, x, prior):
+        n0, n1 = counts[order][0][x], counts[order][1][x]
+        share, n = 1 / (1 + math.exp(-prior)), n0 + n1
+        beyond = n1 - n * share
+        part = math.copysign(max(0, abs(beyond) - kneser.DISCOUNT * math.sqrt(n * share + 1)), beyond)
+        most = min(max(n * share + part, 0), n)
+        return math.log((most + kneser.SHARED * share) / (n - most + kneser.SHARED * (1 - share)))
+
+    ratio = {}
+    for order in range(3):
+        for x in {*counts[order][0], *counts[order][1]}:
+            given = ratio.get((1, x[0]), 0.0) if order == 2 else 0.0
+            lower = ratio[order - 1, x[1] if order == 2 else x[:5]] if order else 0.0
+            ratio[order, x] = topped(order, x, lower + given + odds[order]) - given - odds[order]
+    return ratio
+
+
+def plain_expressions(text):
+    words = text.split()
+    pairs = set(zip(["", *words], words, strict=False))
+    return [x[1][:5] for x in pairs], [x[1] for x in pairs], list(pairs)
+
+
+def plain_evidence(text, ratio):
+    got = [next((ratio[o, x] for o, x in ((2, pair), (1, pair[1]), (0, pair[1][:5])) if (o, x) in ratio), 0.0) for pair in plain_expressions(text)[2]]
+    return sum(got) / max(1, len(got))
+
+
+@pytest.mark.parametrize("hot", [kneser.HOT_PARTS, 3, 0])
+def test_evidence_equals_plain_models(spark, hot):
+    """Whether its part travels or is joined, no expression is lost."""
+    rng = np.random.default_rng(4)
+    marked = [["bad phrase here", "sour", "gloom"], ["fine phrase there", "sweet", "bright"]]
+    texts, toxic = [], []
+    for i in range(1500):
+        y = int(rng.random() < 0.3)
+        words = [f"w{k}" for k in rng.integers(0, 300, 12)] + [marked[1 - y][k] for k in rng.integers(0, 3, 2)]
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        toxic.append(y)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).cache()
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    model = kneser.train(docs, labels, hot=hot)
+    assert (model.others.count() > 0) == (hot < 100)
+    counted = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 > 1]
+    ratio = plain_parts([texts[i] for i in counted], [toxic[i] for i in counted])
+    got = {r["doc_id"]: r["a"] for r in kneser.evidence(docs, model, ["doc_id"]).collect()}
+    assert got == pytest.approx({i: plain_evidence(t, ratio) for i, t in enumerate(texts)}, abs=1e-9)
+    scores = {r["doc_id"]: r["score"] for r in kneser.score_documents(docs, model).collect()}
+    assert {r["doc_id"] for r in kneser.keep_ordinary(docs, model).collect()} == {i for i, x in scores.items() if x < 0.5}
+
+
+def test_words_share_no_part(spark):
+    """The two words had one 32-bit number, and so one slot, before."""
+    texts = [("nykpnlqn", "mrqepvcu")[i % 2] for i in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(600)], "doc_id long, toxic int")
+    scores = {r["doc_id"]: r["score"] for r in kneser.score_documents(docs, kneser.train(docs, labels)).collect()}
+    assert all(x > 0.9 if i % 2 == 0 else x < 0.1 for i, x in scores.items())
+
+
 # --- pieces
 
 def segmentations(word, v):
