@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 from tests.conftest import SMALL
-from tideboard.llm import fm, kneser, pieces, planes, raking, simhash
+from tideboard.llm import copies, fm, kneser, pieces, planes, raking, simhash
 from tideboard.llm.common import table
 
 LONG = "wordy " * 60_000
@@ -142,6 +142,61 @@ def test_links_lose_nothing_in_crowds(spark):
     assert roots[10] == roots[10_000]
 
 
+# --- near copies
+
+def plain_copies(rows):
+    """doc_id to the least reachable over pairs of similarity 0.8, over all pairs."""
+    sets = []
+    for _, text in rows:
+        words = (text or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(least.get(find(k), i), i)
+    return {i: least[find(k)] for k, (i, _) in enumerate(rows)}
+
+
+def test_edited_copies_are_found(spark):
+    rng = np.random.default_rng(8)
+    line = " ".join(f"common{k}" for k in range(12))
+    rows = [(0, ""), (1, None), (2, "short"), (3, "Short")]
+    for k in range(30):
+        words = [*line.split(), *(f"w{x}" for x in rng.integers(0, 400, rng.integers(30, 200)))]
+        rows.append((100 + 20 * k, " ".join(words)))
+        for step in range(1, 8):  # edited one by one, some past the bound, some from the copy before
+            if step % 3 == 0:
+                words = rows[-1][1].split()
+            changed = list(words)
+            for at in rng.integers(0, len(words), step):
+                changed[at] = f"x{rng.integers(0, 1000)}"
+            rows.append((100 + 20 * k + step, " ".join(changed)))
+    found = {r["doc_id"]: r["component_id"] for r in copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = plain_copies(rows)
+    assert found == want and 30 < len(set(want.values())) < 200
+
+
+def test_stage_drops_edited_copies(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(200)]
+    edited = [*words[:50], "one", *words[51:120], "two", *words[121:]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited)), (3, "another text")], "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()} == {1, 3}
+    assert copies.near_copies(docs.limit(0)).count() == 0
+
+
 # --- factorisation machine
 
 def test_pairs_by_the_sum_of_squares():

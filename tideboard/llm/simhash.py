@@ -10,7 +10,7 @@ where a cell has 65 members at most and sharing one is the exact condition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +25,26 @@ CROWD = 128  # members of a coarse cell; above, the finest grid takes over
 SLICE_BYTES = 4 << 20
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """Unsigned 64-bit SimHash of word shingles; without words, zero."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Of each run of so many words, in order; of all words where there are fewer."""
     tokens = (text or "").encode("utf-8", "replace").lower().split()  # bytes: only A-Z, space and \x09-\x0D count
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     last = max(1, len(tokens) - words + 1)
     joined, size = b" ".join(tokens), list(map(len, tokens))
     starts = np.zeros(len(tokens) + 1, np.int64)
     np.cumsum(np.asarray(size) + 1, out=starts[1:])
     ends = (starts[min(words, len(tokens)) :] - 1)[:last].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:last].tolist(), ends, strict=True)), np.uint64, last)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:last].tolist(), ends, strict=True)), np.uint64, last)
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """Unsigned 64-bit SimHash of word shingles; without words, zero."""
+    hashes = shingle_hashes(text, words)
+    last = len(hashes)
+    if not last:
+        return 0
     ones = np.zeros(64, np.int64)
     for k in range(0, last, 1 << 16):
         bits = np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -120,6 +128,17 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
 
 
+def named(rows: DataFrame, classes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """The rows (doc_id, key) with the component_id of their class. Classes: key, least doc_id; roots: node, root."""
+    rooted = classes.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = roots.select("root").distinct()
+    # Only linked classes need a name from others; the rest keep their own least id.
+    other = rooted.join(linked, "root").join(names, "root").select(key, "component_id")
+    mapped = classes.join(other, key, "left").select(key, F.coalesce("component_id", "least").alias("component_id"))
+    return rows.join(mapped, key).select("doc_id", key, "component_id")
+
+
 def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc_id, fp, component_id of every document; component_id is the least doc_id reachable over links.
 
@@ -129,19 +148,13 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     prints = staged(fingerprints(docs), "simhash-fingerprints")
     classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     roots = staged(components(links(classes.select("fp"), crowd)), "simhash-roots")
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = roots.select("root").distinct()
-    # Only linked classes need a name from others; the rest keep their own least id.
-    other = rooted.join(linked, "root").join(named, "root").select("fp", "component_id")
-    mapped = classes.join(other, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(mapped, "fp").select("doc_id", "fp", "component_id")
+    return named(prints, classes, roots, "fp")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that name their component; all columns. Rows without a doc_id stay: nothing can be said of them.
+def keep_one(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """The documents that name their component as found; all columns. Rows without a doc_id stay: nothing can be said of them.
     Of rows that repeat a doc_id one stays."""
-    found = staged(near_duplicates(docs), "simhash-kept").filter(F.col("doc_id") == F.col("component_id"))
+    found = staged(find(docs), "simhash-kept").filter(F.col("doc_id") == F.col("component_id"))
     counted = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     alone, more = (counted.filter(c).select("doc_id") for c in (F.col("n") == 1, F.col("n") > 1))
     return (
