@@ -180,6 +180,33 @@ def test_recordings(spark):
     assert chroma.search_recordings(df.limit(0)).count() == 0
 
 
+def test_shared_passages_are_found(spark):
+    """Beginnings, middles and two passages at one offset, with other sound around them."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 25, 90).astype(float)
+
+    def other(n):
+        return rng.integers(0, 25, n).astype(float)
+
+    shared = {
+        1: (0, np.concatenate([base[:24], other(40)])),
+        2: (20, np.concatenate([other(15), base[20:50], other(20)])),
+        3: (0, np.concatenate([base[:30], other(30), base[60:]])),
+    }
+    rows = [(0, chroma.notes_to_pcm(base).tobytes())] + [(i, chroma.notes_to_pcm(x).tobytes()) for i, (_, x) in shared.items()]
+    rows += [(i, chroma.notes_to_pcm(other(90)).tobytes()) for i in range(4, 8)]
+    got = chroma.search_recordings(spark.createDataFrame(rows, "rec_id long, pcm binary")).filter("kind = 'match'").collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["class_id"], []).append((r["offset"], r["run_start"], r["run_end"]))
+        assert r["overlap"] == r["run_end"] - r["run_start"] and r["bit_errors"] <= chroma.MOST_ERRORS
+    assert any(o == 0 and a == 0 and b >= 8 for o, a, b in found[1])
+    assert any(o == 5 and a <= 20 and b >= 34 for o, a, b in found[2])
+    assert any(o == 0 and a == 0 and 14 <= b < 60 for o, a, b in found[3])
+    assert any(o == 0 and 30 < a <= 60 and b >= 74 for o, a, b in found[3])
+    assert set(found) == {1, 2, 3}
+
+
 # --- pipeline
 
 def test_pipeline_keeps_what_its_stages_keep(spark):

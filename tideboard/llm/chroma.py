@@ -3,8 +3,8 @@
 A recording is cut into overlapping frames; each frame's spectrum is folded onto the twelve pitch classes. Sixteen
 filters compare sums over neighbouring rectangles of the frames by pitch classes, each sum four looks into an integral
 image; each comparison is two Gray-coded bits, and the bits at a place make a packed 32-bit integer. Two recordings are
-aligned by counting, for each difference of places, how many of their integers agree, and judged by the share of bits
-that differ over the stretch that overlaps there.
+aligned by counting, for each difference of places, how many of their integers agree. Wherever enough do, the runs of
+places are found in which few bits differ; what lies around a run doesn't count against it.
 """
 
 from __future__ import annotations
@@ -83,26 +83,69 @@ def fingerprint(signal: np.ndarray, rate: int = RATE) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Alignment:
+    """A run of places, ``start`` to before ``end`` of a, that match those of b ``offset`` lower."""
+
     offset: int
     hits: int
-    overlap: int
+    start: int
+    end: int
     errors: float
 
-
-def align(a: np.ndarray, b: np.ndarray) -> Alignment | None:
-    """The difference of places (of a less of b) at which most integers agree, the smallest of equals; None if none do."""
+    @property
+    def overlap(self) -> int:
+        return self.end - self.start
+
+
+def runs(bits: np.ndarray, hits: int, overlap: int, errors: float) -> list[tuple[int, int]]:
+    """From the bits that differ at each place: disjoint runs with a share of at most ``errors``, ``hits`` places
+    without any and ``overlap`` places; each is the best that is left, where a place counts by how far it is below the
+    share."""
+    total = np.concatenate([[0.0], np.cumsum(32 * errors + 1e-9 - bits)])
+    agree = np.concatenate([[0], np.cumsum(bits == 0)])
+    found, open_ = [], [(0, len(bits))]
+    while open_:
+        low, high = open_.pop()
+        if high - low < overlap or agree[high] - agree[low] < hits:
+            continue
+        held = total[low : high + 1]
+        gains = held - np.minimum.accumulate(held)
+        end = int(gains.argmax())
+        if gains[end] <= 0:
+            continue
+        start = int(held[: end + 1].argmin())
+        if end - start >= overlap and agree[low + end] - agree[low + start] >= hits:
+            found.append((low + start, low + end))
+        open_ += [(low, low + start), (low + end, high)]
+    return found
+
+
+def alignments(a: np.ndarray, b: np.ndarray, hits: int = LEAST_HITS, overlap: int = LEAST_OVERLAP, errors: float = MOST_ERRORS) -> list[Alignment]:
+    """The matching runs of all differences of places (of a less of b) at which ``hits`` integers agree, the best first.
+    A run is left out if a better one at another difference meets it in a and in b: held and repeated notes match
+    themselves a little further on."""
     order = np.argsort(b, kind="stable")
     left, right = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
     counts = right - left
-    if not counts.sum():
-        return None
     i = np.repeat(np.arange(len(a)), counts)
     j = order[np.repeat(left - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))]
-    votes = np.bincount(i - j + len(b))
-    offset = int(votes.argmax()) - len(b)
-    first, last = max(0, offset), min(len(a), offset + len(b))
-    bits = np.bitwise_count(a[first:last] ^ b[first - offset : last - offset]).sum()
-    return Alignment(offset, int(votes.max()), last - first, float(bits) / (32 * (last - first)))
+    offsets, votes = np.unique(i - j, return_counts=True)
+    found = []
+    for offset in offsets[votes >= hits].tolist():
+        first, last = max(0, offset), min(len(a), offset + len(b))
+        bits = np.bitwise_count(a[first:last] ^ b[first - offset : last - offset]).astype(np.int64)
+        for start, end in runs(bits, hits, overlap, errors):
+            wrong, agree = int(bits[start:end].sum()), int((bits[start:end] == 0).sum())
+            found.append((32 * errors * (end - start) - wrong, Alignment(offset, agree, first + start, first + end, wrong / (32 * (end - start)))))
+    out: list[Alignment] = []
+    for _, x in sorted(found, key=lambda f: (-f[0], abs(f[1].offset), f[1].offset, f[1].start)):
+        if not any(x.start < y.end and y.start < x.end and x.start - x.offset < y.end - y.offset and y.start - y.offset < x.end - x.offset for y in out):
+            out.append(x)
+    return out
+
+
+def align(a: np.ndarray, b: np.ndarray) -> Alignment | None:
+    """The best matching run; None if there is none."""
+    return next(iter(alignments(a, b)), None)
 
 
 def fingerprint_recordings(recordings: DataFrame) -> DataFrame:
@@ -123,17 +166,18 @@ def fingerprint_recordings(recordings: DataFrame) -> DataFrame:
 
 
 def matches(prints: DataFrame, every: int = EVERY, block: int = QUERY_BLOCK, hits: int = LEAST_HITS, overlap: int = LEAST_OVERLAP, errors: float = MOST_ERRORS) -> DataFrame:
-    """query_class, match_class, offset, hits, overlap, bit_errors between classes of equal fingerprints.
+    """query_class, match_class, offset, run_start, run_end, hits, overlap, bit_errors between classes of equal
+    fingerprints; a row for each run, whose places in the query class start at run_start and end before run_end.
 
     Classes are named by their least id. Queries are the classes with a recording whose id divides by ``every``, in
-    blocks of a fixed size against all classes; each class looks its integers up in the block's own. A match agrees in
-    ``hits`` integers at one offset, overlaps by ``overlap`` there and differs in at most ``errors`` of the bits."""
+    blocks of a fixed size against all classes; each class looks its integers up in the block's own. A run agrees in
+    ``hits`` integers, is ``overlap`` places long and differs in at most ``errors`` of the bits."""
     spark = prints.sparkSession
     classes = prints.filter("rec_id IS NOT NULL AND length(prints) > 0").groupBy("prints")
     classes = staged(classes.agg(F.min("rec_id").alias("class_id"), F.max((F.col("rec_id") % every == 0).cast("int")).alias("asked")), "chroma-classes")
     queries = classes.filter("asked = 1")
     parts = -(-queries.count() // block)
-    schema = "query_class long, match_class long, offset int, hits int, overlap int, bit_errors double"
+    schema = "query_class long, match_class long, offset int, run_start int, run_end int, hits int, overlap int, bit_errors double"
     out = None
     for k in range(parts):
         rows = queries.filter(F.pmod(F.xxhash64("class_id"), F.lit(parts)) == k).select("class_id", "prints").collect()  # about block rows
@@ -147,7 +191,7 @@ def matches(prints: DataFrame, every: int = EVERY, block: int = QUERY_BLOCK, hit
         def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own, values, of, places = sent.value
             for batch in batches:
-                found: list[list] = [[] for _ in range(6)]
+                found: list[list] = [[] for _ in range(8)]
                 for class_id, raw in zip(batch.column("class_id").to_pylist(), batch.column("prints").to_pylist(), strict=True):
                     b = np.frombuffer(raw, "<u4")
                     left = np.searchsorted(values, b, "left")
@@ -155,11 +199,10 @@ def matches(prints: DataFrame, every: int = EVERY, block: int = QUERY_BLOCK, hit
                     at = np.repeat(left - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
                     votes, agree = np.unique(of[at] << 32 | (places[at] - np.repeat(np.arange(len(b)), counts) + (1 << 31)), return_counts=True)
                     for q in np.unique(votes[agree >= hits] >> 32).tolist():  # those that agree often enough at one offset
-                        found_at = align(own[q][1], b) if own[q][0] != class_id else None
-                        if found_at and found_at.overlap >= overlap and found_at.errors <= errors:
-                            for column, v in zip(found, (own[q][0], class_id, found_at.offset, found_at.hits, found_at.overlap, found_at.errors), strict=True):
+                        for x in alignments(own[q][1], b, hits, overlap, errors) if own[q][0] != class_id else []:
+                            for column, v in zip(found, (own[q][0], class_id, x.offset, x.start, x.end, x.hits, x.overlap, x.errors), strict=True):
                                 column.append(v)
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+                kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
 
         part = classes.select("class_id", "prints").mapInArrow(look, schema)
@@ -168,17 +211,17 @@ def matches(prints: DataFrame, every: int = EVERY, block: int = QUERY_BLOCK, hit
 
 
 def search_recordings(recordings: DataFrame, every: int = EVERY) -> DataFrame:
-    """kind, rec_id, class_id, offset, hits, overlap, bit_errors.
+    """kind, rec_id, class_id, offset, run_start, run_end, hits, overlap, bit_errors.
 
     A row of kind "member" for each recording: its class, named by the least id of the same fingerprint; null for
-    recordings without fingerprint (null, empty, too short). A row of kind "match" for each alignment of a query class
+    recordings without fingerprint (null, empty, too short). A row of kind "match" for each matching run of a query class
     (rec_id) with another class (class_id): those of classes with an id that divides by ``every``, against all.
     Repeated rows have a member row each; rows without id are members but never name a class."""
     prints = staged(fingerprint_recordings(recordings), "chroma-prints")
     named = prints.filter("length(prints) > 0").groupBy("prints").agg(F.min("rec_id").alias("class_id"))
-    blank = [F.lit(None).cast(t).alias(c) for c, t in (("offset", "int"), ("hits", "int"), ("overlap", "int"), ("bit_errors", "double"))]
+    blank = [F.lit(None).cast(t).alias(c) for c, t in (("offset", "int"), ("run_start", "int"), ("run_end", "int"), ("hits", "int"), ("overlap", "int"), ("bit_errors", "double"))]
     members = prints.join(named, "prints", "left").select(F.lit("member").alias("kind"), "rec_id", "class_id", *blank)
-    found = matches(prints, every).select(F.lit("match").alias("kind"), F.col("query_class").alias("rec_id"), F.col("match_class").alias("class_id"), "offset", "hits", "overlap", F.round("bit_errors", 6).alias("bit_errors"))
+    found = matches(prints, every).select(F.lit("match").alias("kind"), F.col("query_class").alias("rec_id"), F.col("match_class").alias("class_id"), "offset", "run_start", "run_end", "hits", "overlap", F.round("bit_errors", 6).alias("bit_errors"))
     return members.unionByName(found)
 
 
