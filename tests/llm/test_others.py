@@ -149,6 +149,26 @@ def test_maps_are_edited(spark, tmp_path):
         slots.rebalance(grown, sizes, 3)
 
 
+def test_documents_are_sharded_again(spark, tmp_path):
+    path = f"file://{tmp_path}/map"
+    docs = spark.createDataFrame([(i, "t" * (i % 90)) for i in range(4000)], "doc_id long, text string")
+    first = {r["doc_id"]: r for r in slots.shard_documents(docs.filter("doc_id < 2000"), 8, 512, path).collect()}
+    rows = slots.shard_documents(docs, 10, 512, path).collect()
+    again = {r["doc_id"]: r for r in rows}
+    assert len(rows) == len(again) == 4000 and {r["map_version"] for r in rows} == {2}
+    places, loads = {}, Counter()
+    for r in rows:
+        places.setdefault(r["shard"], []).append(r["slot"])
+        loads[r["shard"]] += r["size"]
+    assert len(places) == 10 and all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert max(loads.values()) < 1.1 * sum(loads.values()) / 10
+    stayed = sum(first[i]["shard"] == again[i]["shard"] for i in first)
+    assert stayed > 0.6 * len(first)
+    assert slots.load_map(spark, path).version == 2 and slots.load_map(spark, path, 1).n_shards == 8
+    with pytest.raises(ValueError):
+        slots.shard_documents(docs, 10, 256, path)
+
+
 # --- chroma
 
 def tune(seed, n=64):

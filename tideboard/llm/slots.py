@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,13 +100,26 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Slot
     return SlotMap(version, 1 + max(r["shard"] for r in rows), tuple(r["shard"] for r in rows))
 
 
+def stored_map(spark: SparkSession, path: str) -> SlotMap | None:
+    """The last version stored; None where there is no map yet."""
+    try:
+        stored = spark.read.schema(MAP_SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    version = stored.agg(F.max("version")).first()[0]
+    return None if version is None else load_map(spark, path, version)
+
+
 def shard_documents(
     docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, map_path: str | None = None
 ) -> DataFrame:
     """Shard, and place in the shard, of every document: doc_id, size, text_crc32, shard, slot, virtual_slot, map_version.
 
     Size: UTF-8 bytes of the text plus 16; null text: 16. Hashed are doc_id and the text's crc32, so neither copies of a
-    text nor documents without an id meet in one slot. The map is fitted to bytes and appended to ``map_path``.
+    text nor documents without an id meet in one slot. The map is fitted to bytes and stored at ``map_path``; where
+    one is stored, its last version is rebalanced to the bytes and shards of now and appended as the next version.
     ``slot`` counts the rows of a shard from 0 without gaps: by virtual slot, then doc_id (nulls first), crc32, size;
     rows equal in all of them take neighbouring places. An empty table gives no rows. Other columns are not read.
     """
@@ -114,8 +128,11 @@ def shard_documents(
     narrow = docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     records = staged(with_slot(narrow, ["doc_id", "text_crc32"], n_slots), "slot-records")
     sizes, rows = slot_stats(records, n_slots)
-    slot_map = fit_map(sizes, n_shards)
     path = map_path or fresh_path(spark, "slot-map")
+    old = stored_map(spark, path) if map_path else None
+    if old and len(old.shards) != n_slots:
+        raise ValueError("a map can't change its number of slots")
+    slot_map = rebalance(old, sizes, n_shards) if old else fit_map(sizes, n_shards)
     spark.createDataFrame(map_rows(slot_map, sizes, rows), MAP_SCHEMA).coalesce(1).write.mode("append").parquet(path)
     stored = spark.read.schema(MAP_SCHEMA).parquet(path).filter(F.col("version") == slot_map.version)
     dim = stored.select(F.col("slot").alias("virtual_slot"), "shard", "row_offset", F.col("version").alias("map_version"))
