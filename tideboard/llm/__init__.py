@@ -5,7 +5,7 @@
 
 from importlib import import_module
 
-_PARTS = ("planes", "urls", "simhash", "fm", "mtree", "pieces", "slots", "chroma", "raking", "kneser")
+_PARTS = ("planes", "urls", "simhash", "fm", "mtree", "pieces", "slots", "chroma", "raking", "kneser", "trie", "vertical", "bond")
 
 
 def queries():
