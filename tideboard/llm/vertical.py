@@ -6,31 +6,39 @@ separately and summed per pair.
 
 Which pairs are counted: two similar sets share one of the first shingles of each (as many as either may miss, and one).
 Where few sets share such a shingle, those that size and position allow are compared. Where many do, all are compared
-with the most central of them, the leader. Links make components, and only pairs across components matter after that:
-by the triangle inequality a set far from the leader is similar only to sets that aren't close to it either; and of two
-sets close to the leader, one of which isn't linked with it, both miss one of its shingles or share one that it hasn't
-(else the overlap would be largest with the leader itself). These shared differences are the next, smaller groups.
+with the most central of them, the leader. Links make components, and only pairs across components matter after that.
+By the triangle inequality, a set far from the leader is similar only to sets that aren't close to it either. Sets close
+to it are told apart by what they miss of it or have beside it, their difference. Of two similar ones, not both linked
+with the leader, the differences overlap by a bound that follows from the sizes; so they share one of the first parts of
+each difference, and these are the next, smaller groups. Where a smaller group's leader brings few components together,
+the group has no centre, and what the bounds leave of its pairs across components is counted.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideboard.llm.common import slices, staged, table
 from tideboard.llm.simhash import SLICE_BYTES, components, named, shingle_hashes
 
+# Workers get these functions by value, so the package need not be installed on them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 WORDS, PERCENT = 5, 80
 FRAGMENTS = 4
 COUNTERS = 1 << 18  # of shingles by hash, over all documents; the order they give decides the work, never the result
-CROWD = 32  # sets of a group that are compared with each other; above, a leader comes first
+CROWD = 64  # sets of a group that are compared with each other; above, a leader comes first
 FOLLOWERS = 256  # sets that meet one copy of a leader's segments
 KEY = "decimal(38,0)"
+ABOUT = 1e-6  # bounds are whole numbers, or apart by more than this
 
 
 # --- sets and their order
@@ -93,12 +101,12 @@ def _few(size: int, percent: int) -> int:
 
 
 def first_shingles(docs: DataFrame, words: int, percent: int, counts) -> DataFrame:
-    """key, set_id, size, place: the first shingles of every set, and where in the set's order they are."""
+    """key, set_id, size, rest: the first shingles of every set, and how many of the set's order begin there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, done = counts.value, set()
         for batch in slices(batches, "text", SLICE_BYTES):
-            found, ids, sizes, places = [], [], [], []
+            found, ids, sizes, rests = [], [], [], []
             sets = [set_of(x.as_py(), words) for x in batch.column("text")]
             of = _set_ids(sets)
             for i, (x, set_id) in enumerate(zip(sets, of.to_pylist(), strict=True)):
@@ -109,13 +117,13 @@ def first_shingles(docs: DataFrame, words: int, percent: int, counts) -> DataFra
                     found.append(x[order])
                     ids.append(np.full(few, i))
                     sizes.append(np.full(few, len(x), np.int32))
-                    places.append(np.arange(few, dtype=np.int32))
+                    rests.append(len(x) - np.arange(few, dtype=np.int32))
             if found:
                 columns = [pa.array(np.concatenate(found).view(np.int64)), of.take(pa.array(np.concatenate(ids)))]
-                columns += [pa.array(np.concatenate(c)) for c in (sizes, places)]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "set_id", "size", "place"])
+                columns += [pa.array(np.concatenate(c)) for c in (sizes, rests)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "set_id", "size", "rest"])
 
-    return docs.select("text").mapInArrow(run, f"key long, set_id {KEY}, size int, place int").distinct()
+    return docs.select("text").mapInArrow(run, f"key long, set_id {KEY}, size int, rest int").distinct()
 
 
 def segments(docs: DataFrame, words: int, counts, ends: np.ndarray) -> DataFrame:
@@ -143,11 +151,6 @@ def segments(docs: DataFrame, words: int, counts, ends: np.ndarray) -> DataFrame
 
 # --- overlaps
 
-def needed(a: Column, b: Column, percent: int) -> Column:
-    """The least overlap with which sets of these sizes are similar."""
-    return F.ceil((a + b) * percent / (100 + percent) - F.lit(1e-9))
-
-
 def similar(overlap: Column, a: Column, b: Column, percent: int) -> Column:
     return 100 * overlap >= percent * (a + b - overlap)
 
@@ -170,23 +173,46 @@ def overlaps(pairs: DataFrame, cut: DataFrame) -> DataFrame:
     return partial.distinct().groupBy("a", "b", *others).agg(F.sum("part").alias("overlap"))
 
 
-def differences(pairs: DataFrame, cut: DataFrame) -> DataFrame:
-    """set_id, size, key, centre: for each pair, keys of the shingles that a has and b hasn't, or the reverse."""
-    sides = F.array(*(F.struct(F.lit(k).alias("side"), F.array_except(x, y).alias("of")) for k, (x, y) in enumerate((("of_a", "of_b"), ("of_b", "of_a")))))
-    each = _met(pairs, cut).select("a", "b", "size_a", "centre", F.explode(sides).alias("s"))
-    each = each.select("a", "b", "size_a", "centre", "s.side", F.explode("s.of").alias("shingle"))
-    return each.select(F.xxhash64("b", "side", "shingle").alias("key"), F.col("a").alias("set_id"), F.col("size_a").alias("size"), "centre").distinct()
+def differences(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
+    """key, set_id, size, rest, share, centre: for each pair of a set and a leader (a, b, size_a, size_b, overlap) the first
+    parts of the difference: shingles that the set has beside the leader, then those it misses.
+
+    Similar sets x and y need an overlap of t (|x| + |y|), t = percent / (100 + percent). With leader l, misses A and
+    additions B, they have |l| - |Ax| - |Ay| and what their differences share. So the differences share no less than
+    share(x) + share(y), where share(x) = t |x| + |Ax| - |l| / 2. The leader's own share is the least there is; a set is
+    linked with the leader if both shares add up to no more than 0."""
+    t = percent / (100 + percent)
+    sides = {"added": F.array_except("of_a", "of_b"), "missed": F.array_except("of_b", "of_a")}
+    each = _met(pairs.select("a", "b", "size_a", "size_b", "overlap"), cut)
+    lists = (F.sort_array(F.collect_set(F.struct("fragment", F.sort_array(x).alias("of")))).alias(c) for c, x in sides.items())
+    each = each.groupBy("a", "b", "size_a", "size_b", "overlap").agg(*lists)
+    parts = [F.transform(F.flatten(F.col(f"{c}.of")), lambda x, k=k: F.struct(F.lit(k).alias("side"), x.alias("shingle"))) for k, c in enumerate(sides)]
+    each = each.select("a", "b", "size_a", "size_b", "overlap", F.posexplode(F.concat(*parts)).alias("at", "part"))
+    least = F.col("size_b") / 2 - t * F.col("size_b")  # minus the leader's share
+    each = each.withColumn("rest", F.col("size_a") + F.col("size_b") - 2 * F.col("overlap") - F.col("at"))
+    each = each.withColumn("share", t * F.col("size_a") + F.col("size_b") / 2 - F.col("overlap"))
+    each = each.withColumn("linked", F.col("share") <= least + ABOUT)
+    each = each.withColumn("strong", F.col("rest") > F.col("share") + least - ABOUT)
+    # Of two sets one isn't linked. Its share is above the leader's bound, so the other one's rest must be too.
+    each = each.filter(F.col("strong") | (~F.col("linked") & (F.col("rest") >= F.col("share") - least - ABOUT)))
+    each = each.select(
+        F.xxhash64("b", "part").alias("key"), F.col("a").alias("set_id"), F.col("size_a").alias("size"), "rest", "share", "linked", "strong",
+        (2 * F.col("overlap") - F.col("size_a") - F.col("size_b")).alias("centre"),
+    )
+    each = staged(each, "vertical-differences")
+    # What is left of a set that isn't strong meets linked sets only.
+    meets = each.filter("linked").select("key").distinct()
+    return each.filter("strong").unionByName(each.filter("NOT strong").join(meets, "key", "left_semi")).drop("linked", "strong")
 
 
 # --- links
 
 def _pairs(x: DataFrame, y: DataFrame, percent: int, *more: Column) -> DataFrame:
-    """Pairs of a group that size, and position where it is known, allow; larger id first."""
+    """Pairs of a group that size and position allow; larger id first."""
     x, y = (g.select("key", *(F.col(c).alias(f"{c}_{k}") for c in g.columns if c != "key")) for g, k in ((x, "x"), (y, "y")))
     fits = F.least("size_x", "size_y") * 100 >= F.greatest("size_x", "size_y") * percent
-    # At the first shingle that two sets share they can share no more than what follows in each.
-    rest = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
-    may = fits & F.coalesce(rest >= needed(F.col("size_x"), F.col("size_y"), percent), F.lit(True))
+    # At the first part that two sets share they can share no more than begins there in each.
+    may = fits & (F.least("rest_x", "rest_y") >= F.col("share_x") + F.col("share_y") - ABOUT)
     for c in more:
         may = may & c
     swap = F.col("set_id_x") < F.col("set_id_y")
@@ -203,10 +229,12 @@ def _links(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
     return counted.filter(similar(F.col("overlap"), F.col("size_a"), F.col("size_b"), percent)).select("a", "b")
 
 
-def _leaders(groups: DataFrame) -> DataFrame:
-    """key, leader, size_b: of each group the most central set."""
-    best = groups.groupBy("key").agg(F.max(F.struct("centre", "set_id", "size")).alias("best"))
-    return best.select("key", F.col("best.set_id").alias("leader"), F.col("best.size").alias("leader_size"))
+def _led(groups: DataFrame) -> DataFrame:
+    """The groups with the most central set of each: leader, leader_size, and leader_root where roots are known."""
+    named_by = [c for c in ("set_id", "size", "root") if c in groups.columns]
+    best = groups.groupBy("key").agg(F.max(F.struct("centre", *named_by)).alias("best"))
+    leaders = best.select("key", *(F.col(f"best.{c}").alias("leader" if c == "set_id" else f"leader_{c}") for c in named_by))
+    return staged(groups.join(leaders, "key"), "vertical-led")
 
 
 def _stars(groups: DataFrame) -> DataFrame:
@@ -215,16 +243,16 @@ def _stars(groups: DataFrame) -> DataFrame:
     return joined.select(F.col("set_id").alias("a"), F.col("leader").alias("b"), F.col("size").alias("size_a"), F.col("leader_size").alias("size_b")).distinct()
 
 
-def _rooted(groups: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The groups in which more than one component is left, with the root of each set, and all roots."""
-    roots = staged(components(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "vertical-roots")
-    rooted = groups.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    return rooted.join(mixed, "key"), roots
+def _roots(links: DataFrame) -> DataFrame:
+    ordered = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return staged(components(ordered), "vertical-roots")
 
 
-def _led(groups: DataFrame) -> DataFrame:
-    return groups.join(_leaders(groups), "key")
+def _mixed(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """The groups in which more than one component is left, with the root of each set."""
+    rooted = groups.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    return rooted.join(mixed, "key")
 
 
 def _crowds(groups: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
@@ -243,7 +271,8 @@ def set_roots(docs: DataFrame, read: DataFrame, words: int, percent: int, crowd:
     """node, root: the sets that are linked with others, and the least of each component."""
     found = shingle_counts(read)
     counts = docs.sparkSession.sparkContext.broadcast(np.minimum(found, (1 << 32) - 1).astype(np.uint32))
-    small, large = _crowds(first_shingles(docs, words, percent, counts), crowd)
+    filed = first_shingles(docs, words, percent, counts).withColumn("share", F.col("size") * (percent / (100 + percent)))
+    small, large = _crowds(filed, crowd)
 
     # Only sets that share a first shingle are cut; the text of one is that of its least document.
     shared = small.unionByName(large).groupBy("set_id", "size").agg(F.count(F.lit(1)).alias("shared"))
@@ -257,28 +286,33 @@ def set_roots(docs: DataFrame, read: DataFrame, words: int, percent: int, crowd:
     # A set is central if few of its first shingles are in no other set.
     few = F.col("size") - F.ceil(F.col("size") * percent / 100 - F.lit(1e-9)) + 1
     groups = _led(large.join(shared.select("set_id", (F.col("shared") - few).cast("long").alias("centre")), "set_id"))
-    near = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
-    links = links.unionByName(staged(_links(_stars(groups).filter(near), cut, percent), "vertical-links"))
+    both = F.col("size_a") + F.col("size_b") - F.col("overlap")
+    is_linked = similar(F.col("overlap"), F.col("size_a"), F.col("size_b"), percent)
+    stars = staged(overlaps(_stars(groups), cut), "vertical-stars")
+    links = links.unionByName(stars.filter(is_linked).select("a", "b"))
     while True:
-        live, roots = _rooted(groups, links)
-        live = staged(live, "vertical-live")
+        roots = _roots(links)
+        live = staged(_mixed(groups, roots), "vertical-live")
         if live.isEmpty():
             return roots
-        stars = staged(overlaps(_stars(live), cut), "vertical-stars")
-        both = F.col("size_a") + F.col("size_b") - F.col("overlap")
-        links = links.unionByName(stars.filter(similar(F.col("overlap"), F.col("size_a"), F.col("size_b"), percent)).select("a", "b"))
-        # Similar sets differ in their distance from the leader by less than 100 - percent.
-        is_far = 100 * F.col("overlap") < (3 * percent - 200) * both
-        is_loose = 100 * F.col("overlap") <= (2 * percent - 100) * both
-        judged = stars.select(F.col("a").alias("set_id"), F.col("b").alias("leader"), is_far.alias("far"), is_loose.alias("loose"))
-        judged = live.join(judged, ["set_id", "leader"])
-        far = _pairs(judged.filter("far"), judged.filter("loose"), percent, F.col("root_x") != F.col("root_y"))
+        led = live.join(stars.withColumnsRenamed({"a": "set_id", "b": "leader"}), ["set_id", "leader"])
+        # Similar sets differ in their distance from the leader by no more than 100 - percent.
+        is_far, is_loose = (100 * F.col("overlap") < (3 * percent - 200) * both), (100 * F.col("overlap") <= (2 * percent - 100) * both)
+        far = _pairs(led.filter(is_far), led.filter(is_loose), percent, F.col("root_x") != F.col("root_y"))
         links = links.unionByName(staged(_links(far, cut, percent), "vertical-links"))
-        close = stars.filter(~is_far).withColumn("centre", 2 * F.col("overlap") - F.col("size_a") - F.col("size_b"))
-        small, large = _crowds(differences(close, cut).withColumn("place", F.lit(None).cast("int")), crowd)
-        apart = staged(_rooted(small, links)[0], "vertical-apart")
-        links = links.unionByName(staged(_links(_pairs(apart, apart, percent, _apart()), cut, percent), "vertical-links"))
-        groups = _led(large)
+        close = led.filter(~is_far).select(F.col("set_id").alias("a"), F.col("leader").alias("b"), "size_a", "size_b", "overlap").distinct()
+        small, large = _crowds(differences(close, cut, percent), crowd)
+        groups = _led(_mixed(large, roots))
+        stars = staged(overlaps(_stars(groups), cut), "vertical-stars")
+        links = links.unionByName(stars.filter(is_linked).select("a", "b"))
+        outside = F.col("root") != F.col("leader_root")
+        judged = groups.join(stars.withColumnsRenamed({"a": "set_id", "b": "leader"}), ["set_id", "leader"])
+        judged = judged.groupBy("key").agg(F.count_if(outside).alias("apart"), F.count_if(outside & is_linked).alias("met"))
+        slow = F.col("met") * 4 < F.col("apart")
+        direct = _mixed(small, roots).unionByName(groups.join(judged.filter(slow), "key", "left_semi"), allowMissingColumns=True)
+        direct = staged(direct.select("key", "set_id", "size", "rest", "share", "root"), "vertical-apart")
+        links = links.unionByName(staged(_links(_pairs(direct, direct, percent, _apart()), cut, percent), "vertical-links"))
+        groups = groups.join(judged.filter(~slow), "key", "left_semi").drop("root", "leader_root")
 
 
 def near_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, crowd: int = CROWD) -> DataFrame:
@@ -306,7 +340,8 @@ def op12_vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TWINS = {
     "op12_vertical": r"""
-WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'),
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'),
     lambda w: w <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM d),
