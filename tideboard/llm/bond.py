@@ -67,7 +67,7 @@ def _matrix(group: pa.Table) -> np.ndarray:
 
 def _parted(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """The rows dealt evenly into parts of about ``most`` rows of one dimension, and dim, parts."""
-    sizes = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts"))
+    sizes = staged(rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts")), "bond-sizes")
     return rows.join(sizes, "dim").withColumn("part", F.pmod("row_key", F.col("parts"))).drop("parts"), sizes
 
 
@@ -268,9 +268,9 @@ def hard_negatives(
     blocks = staged(blocks, "bond-blocks")
     anchors = rows.filter(F.col("vec_id") % every == 0)
     none = F.expr("CAST(array() AS array<struct<vec_id: bigint, score: bigint>>)")
-    found = _first(scan(blocks, parts, anchors.withColumn("positives", none), positives), positives)
+    found = staged(_first(scan(blocks, parts, anchors.withColumn("positives", none), positives), positives), "bond-positives")
     own = found.groupBy(F.col("anchor_key").alias("row_key"), F.col("anchor_id").alias("vec_id")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "score"))).alias("positives"))
-    wanted = scan(blocks, parts, anchors.join(own, ["row_key", "vec_id"]), negatives, low, high)
+    wanted = scan(blocks, parts, staged(anchors.join(own, ["row_key", "vec_id"]), "bond-wanted"), negatives, low, high)
     return _first(wanted, negatives).select(
         "anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")
     )

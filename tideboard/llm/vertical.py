@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideboard.llm.common import slices, staged, table
-from tideboard.llm.simhash import SLICE_BYTES, components, named, shingle_hashes
+from tideboard.llm.simhash import SLICE_BYTES, components, named
 
 # Workers get these functions by value, so the package need not be installed on them.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -38,13 +38,41 @@ COUNTERS = 1 << 18  # of shingles by hash, over all documents; the order they gi
 CROWD = 64  # sets of a group that are compared with each other; above, a leader comes first
 FOLLOWERS = 256  # sets that meet one copy of a leader's segments
 KEY = "decimal(38,0)"
+KEPT_WORDS = 1 << 20
+MARKS = 1 << 24  # bits of a Bloom filter of the sets that are compared; more of them only make more sets be cut
 ABOUT = 1e-6  # bounds are whole numbers, or apart by more than this
 
 
 # --- sets and their order
 
-def set_of(text: str | None, words: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, words))
+class Words(dict):
+    """64-bit hashes of words, kept for as long as they are not too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word, 3)
+        return found
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def set_of(text: str | None, words: int, known: Words) -> np.ndarray:
+    """Sorted hashes of the different shingles. A shingle's hash is made of those of its words, in order."""
+    tokens = (text or "").encode("utf-8", "replace").lower().split()  # bytes: only A-Z, space and \x09-\x0D count
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    hashed = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+    n = min(words, len(tokens))
+    last = len(tokens) - n + 1
+    out = np.full(last, n, np.uint64)
+    for k in range(n):
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + hashed[k : k + last])
+    return np.unique(out)
 
 
 def _set_ids(sets: list[np.ndarray]) -> pa.Array:
@@ -60,10 +88,10 @@ def read_sets(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, set_id, size of every document, and in rows of their own bucket, n: how often hashed shingles occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
+        counts, known = np.zeros(COUNTERS, np.int64), Words()
         names = ["doc_id", "set_id", "size", "bucket", "n"]
         for batch in slices(batches, "text", SLICE_BYTES):
-            sets = [set_of(x.as_py(), words) for x in batch.column("text")]
+            sets = [set_of(x.as_py(), words, known) for x in batch.column("text")]
             flat = np.concatenate([np.zeros(0, np.uint64), *sets])
             counts += np.bincount((flat % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
             sizes = np.array([len(x) for x in sets], np.int32)
@@ -101,13 +129,14 @@ def _few(size: int, percent: int) -> int:
 
 
 def first_shingles(docs: DataFrame, words: int, percent: int, counts) -> DataFrame:
-    """key, set_id, size, rest: the first shingles of every set, and how many of the set's order begin there."""
+    """key, set_id, size, rest: the first shingles of every set, and how many of the set's order begin there. Sets that
+    are in several tasks are repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, done = counts.value, set()
+        ranks, done, known = counts.value, set(), Words()
         for batch in slices(batches, "text", SLICE_BYTES):
             found, ids, sizes, rests = [], [], [], []
-            sets = [set_of(x.as_py(), words) for x in batch.column("text")]
+            sets = [set_of(x.as_py(), words, known) for x in batch.column("text")]
             of = _set_ids(sets)
             for i, (x, set_id) in enumerate(zip(sets, of.to_pylist(), strict=True)):
                 few = _few(len(x), percent)
@@ -123,18 +152,31 @@ def first_shingles(docs: DataFrame, words: int, percent: int, counts) -> DataFra
                 columns += [pa.array(np.concatenate(c)) for c in (sizes, rests)]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "set_id", "size", "rest"])
 
-    return docs.select("text").mapInArrow(run, f"key long, set_id {KEY}, size int, rest int").distinct()
+    return docs.select("text").mapInArrow(run, f"key long, set_id {KEY}, size int, rest int")
 
 
-def segments(docs: DataFrame, words: int, counts, ends: np.ndarray) -> DataFrame:
-    """set_id, fragment, shingles: every set, cut along the order; each fragment has a row, empty or not."""
+def marks(sets: DataFrame) -> np.ndarray:
+    """A bit for the end of each set_id: MARKS bits, whatever the number of sets."""
+    at = sets.select((F.col("set_id") % MARKS).cast("long").alias("at"))
+    words = at.select(F.floor(F.col("at") / 32).alias("word"), F.expr("shiftleft(1L, cast(at % 32 AS int))").alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(MARKS // 32, np.uint32)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def segments(docs: DataFrame, words: int, counts, ends: np.ndarray, marked) -> DataFrame:
+    """set_id, fragment, shingles: the marked sets, cut along the order; each fragment has a row, empty or not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, done = counts.value, set()
+        ranks, bits, done, known = counts.value, marked.value, set(), Words()
         for batch in slices(batches, "text", SLICE_BYTES):
-            sets = [set_of(x.as_py(), words) for x in batch.column("text")]
+            sets = [set_of(x.as_py(), words, known) for x in batch.column("text")]
             of, cut, ids = _set_ids(sets), [], []
-            for i, (x, set_id) in enumerate(zip(sets, of.to_pylist(), strict=True)):
+            at = np.frombuffer(of.buffers()[1], np.uint64)[::2] % np.uint64(MARKS)
+            held = bits[(at // np.uint64(32)).astype(np.int64)] >> (at % np.uint64(32)).astype(np.uint32) & 1
+            for i in np.flatnonzero(held).tolist():
+                x, set_id = sets[i], of[i].as_py()
                 if set_id not in done:
                     done.add(set_id)
                     part = np.searchsorted(ends, ranks[(x % np.uint64(COUNTERS)).astype(np.int64)])
@@ -269,20 +311,21 @@ def _apart() -> Column:
 
 def set_roots(docs: DataFrame, read: DataFrame, words: int, percent: int, crowd: int = CROWD) -> DataFrame:
     """node, root: the sets that are linked with others, and the least of each component."""
-    found = shingle_counts(read)
-    counts = docs.sparkSession.sparkContext.broadcast(np.minimum(found, (1 << 32) - 1).astype(np.uint32))
-    filed = first_shingles(docs, words, percent, counts).withColumn("share", F.col("size") * (percent / (100 + percent)))
+    found, context = shingle_counts(read), docs.sparkSession.sparkContext
+    counts = context.broadcast(np.minimum(found, (1 << 32) - 1).astype(np.uint32))
+    filed = first_shingles(docs, words, percent, counts)
+    met = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    filed = filed.join(met, "key", "left_semi").distinct().withColumn("share", F.col("size") * (percent / (100 + percent)))
     small, large = _crowds(filed, crowd)
 
-    # Only sets that share a first shingle are cut; the text of one is that of its least document.
-    shared = small.unionByName(large).groupBy("set_id", "size").agg(F.count(F.lit(1)).alias("shared"))
-    shared = staged(shared, "vertical-shared")
-    read_by = read.filter("bucket IS NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(shared, "set_id", "left_semi")
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    texts = texts.join(read_by.select("doc_id").distinct(), "doc_id", "left_semi").unionByName(texts.filter("doc_id IS NULL"))
-    cut = staged(segments(texts, words, counts, fragment_ends(found)), "vertical-segments")
+    # Only sets that are compared are cut.
+    few = staged(_pairs(small, small, percent, F.col("set_id_x") > F.col("set_id_y")), "vertical-few")
+    compared = few.select(F.col("a").alias("set_id")).unionByName(few.select(F.col("b").alias("set_id"))).unionByName(large.select("set_id"))
+    cut = segments(docs, words, counts, fragment_ends(found), context.broadcast(marks(compared)))
+    cut = staged(cut, "vertical-segments")
 
-    links = staged(_links(_pairs(small, small, percent, F.col("set_id_x") > F.col("set_id_y")), cut, percent), "vertical-links")
+    links = staged(_links(few, cut, percent), "vertical-links")
+    shared = small.unionByName(large).groupBy("set_id", "size").agg(F.count(F.lit(1)).alias("shared"))
     # A set is central if few of its first shingles are in no other set.
     few = F.col("size") - F.ceil(F.col("size") * percent / 100 - F.lit(1e-9)) + 1
     groups = _led(large.join(shared.select("set_id", (F.col("shared") - few).cast("long").alias("centre")), "set_id"))
