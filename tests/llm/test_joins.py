@@ -191,7 +191,8 @@ def test_partial_overlaps_add_up(spark):
     counts = vertical.shingle_counts(vertical.read_sets(docs, 3).cache())
     ends = vertical.fragment_ends(counts)
     sent = spark.sparkContext.broadcast(counts.astype(np.uint32))
-    cut = vertical.segments(docs, 3, sent, ends).dropDuplicates(["set_id", "fragment"]).cache()
+    every = spark.sparkContext.broadcast(np.full(vertical.MARKS // 32, (1 << 32) - 1, np.uint32))
+    cut = vertical.segments(docs, 3, sent, ends, every).dropDuplicates(["set_id", "fragment"]).cache()
     sets = {}
     for r in cut.collect():
         sets.setdefault(r["set_id"], []).extend(r["shingles"])

@@ -17,7 +17,8 @@ the group has no centre, and what the bounds leave of its pairs across component
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,18 +62,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def set_of(text: str | None, words: int, known: Words) -> np.ndarray:
-    """Sorted hashes of the different shingles. A shingle's hash is made of those of its words, in order."""
-    tokens = (text or "").encode("utf-8", "replace").lower().split()  # bytes: only A-Z, space and \x09-\x0D count
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    hashed = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
-    n = min(words, len(tokens))
-    last = len(tokens) - n + 1
-    out = np.full(last, n, np.uint64)
-    for k in range(n):
+def _joined(hashed: np.ndarray, words: int) -> np.ndarray:
+    """A hash for each run of so many words, made of the words' hashes in order."""
+    last = len(hashed) - words + 1
+    out = np.full(max(0, last), words, np.uint64)
+    for k in range(words if last > 0 else 0):
         out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + hashed[k : k + last])
-    return np.unique(out)
+    return out
+
+
+def sets_of(texts: Sequence[str | None], words: int, known: Words) -> list[np.ndarray]:
+    """Of each text the sorted hashes of its different shingles."""
+    tokens = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]  # bytes: only A-Z, space and \x09-\x0D count
+    ends = np.cumsum([len(t) for t in tokens], dtype=np.int64)
+    hashed = np.fromiter(map(known.__getitem__, chain.from_iterable(tokens)), np.uint64, int(ends[-1]) if len(ends) else 0)
+    runs, out = _joined(hashed, words), []
+    for n, end in zip(map(len, tokens), ends.tolist(), strict=True):
+        own = runs[end - n : end - words + 1] if n >= words else _joined(hashed[end - n : end], n) if n else hashed[:0]
+        out.append(np.unique(own))
+    return out
 
 
 def _set_ids(sets: list[np.ndarray]) -> pa.Array:
@@ -91,7 +99,7 @@ def read_sets(docs: DataFrame, words: int) -> DataFrame:
         counts, known = np.zeros(COUNTERS, np.int64), Words()
         names = ["doc_id", "set_id", "size", "bucket", "n"]
         for batch in slices(batches, "text", SLICE_BYTES):
-            sets = [set_of(x.as_py(), words, known) for x in batch.column("text")]
+            sets = sets_of(batch.column("text").to_pylist(), words, known)
             flat = np.concatenate([np.zeros(0, np.uint64), *sets])
             counts += np.bincount((flat % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
             sizes = np.array([len(x) for x in sets], np.int32)
@@ -136,14 +144,15 @@ def first_shingles(docs: DataFrame, words: int, percent: int, counts) -> DataFra
         ranks, done, known = counts.value, set(), Words()
         for batch in slices(batches, "text", SLICE_BYTES):
             found, ids, sizes, rests = [], [], [], []
-            sets = [set_of(x.as_py(), words, known) for x in batch.column("text")]
+            sets = sets_of(batch.column("text").to_pylist(), words, known)
             of = _set_ids(sets)
             for i, (x, set_id) in enumerate(zip(sets, of.to_pylist(), strict=True)):
                 few = _few(len(x), percent)
                 if few and set_id not in done:
                     done.add(set_id)  # copies in a task are filed once
-                    order = np.lexsort((x, ranks[(x % np.uint64(COUNTERS)).astype(np.int64)]))[:few]
-                    found.append(x[order])
+                    rank = ranks[(x % np.uint64(COUNTERS)).astype(np.int64)]
+                    low = np.flatnonzero(rank <= np.partition(rank, few - 1)[few - 1])
+                    found.append(x[low[np.lexsort((x[low], rank[low]))[:few]]])
                     ids.append(np.full(few, i))
                     sizes.append(np.full(few, len(x), np.int32))
                     rests.append(len(x) - np.arange(few, dtype=np.int32))
@@ -171,7 +180,7 @@ def segments(docs: DataFrame, words: int, counts, ends: np.ndarray, marked) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, bits, done, known = counts.value, marked.value, set(), Words()
         for batch in slices(batches, "text", SLICE_BYTES):
-            sets = [set_of(x.as_py(), words, known) for x in batch.column("text")]
+            sets = sets_of(batch.column("text").to_pylist(), words, known)
             of, cut, ids = _set_ids(sets), [], []
             at = np.frombuffer(of.buffers()[1], np.uint64)[::2] % np.uint64(MARKS)
             held = bits[(at // np.uint64(32)).astype(np.int64)] >> (at % np.uint64(32)).astype(np.uint32) & 1
@@ -249,6 +258,28 @@ def differences(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
 
 # --- links
 
+def _few_of(size: Column, percent: int) -> Column:
+    """How many first shingles a set of the size has."""
+    return size - F.ceil(size * percent / 100 - F.lit(1e-9)) + 1
+
+
+def prefix_pairs(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """a, b, size_a, size_b of the sets that meet in a small group and may be similar. What two sets share of their first
+    shingles is counted here; of what follows, they share at most what one of them has. Shingles of large groups count
+    as shared."""
+    hot = large.groupBy("set_id").agg(F.count(F.lit(1)).alias("hot"))
+    rows = small.join(hot, "set_id", "left").fillna(0, ["hot"])
+    x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("set_id", "size", "rest", "hot"))) for k in "ab")
+    fits = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
+    met = x.join(y, "key").filter((F.col("set_id_a") > F.col("set_id_b")) & fits)
+    met = met.groupBy(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"), "size_a", "size_b").agg(
+        F.count(F.lit(1)).alias("shared"), F.max(F.least("rest_a", "rest_b")).alias("rest"), F.max(F.least("hot_a", "hot_b")).alias("hot")
+    )
+    needed = (F.col("size_a") + F.col("size_b")) * (percent / (100 + percent)) - ABOUT
+    behind = F.greatest(*(F.col(c) - _few_of(F.col(c), percent) for c in ("size_a", "size_b")))
+    return met.filter((F.col("rest") + F.col("hot") >= needed) & (F.col("shared") + F.col("hot") + behind >= needed)).select("a", "b", "size_a", "size_b")
+
+
 def _pairs(x: DataFrame, y: DataFrame, percent: int, *more: Column) -> DataFrame:
     """Pairs of a group that size and position allow; larger id first."""
     x, y = (g.select("key", *(F.col(c).alias(f"{c}_{k}") for c in g.columns if c != "key")) for g, k in ((x, "x"), (y, "y")))
@@ -313,13 +344,13 @@ def set_roots(docs: DataFrame, read: DataFrame, words: int, percent: int, crowd:
     """node, root: the sets that are linked with others, and the least of each component."""
     found, context = shingle_counts(read), docs.sparkSession.sparkContext
     counts = context.broadcast(np.minimum(found, (1 << 32) - 1).astype(np.uint32))
-    filed = first_shingles(docs, words, percent, counts)
+    filed = staged(first_shingles(docs, words, percent, counts), "vertical-filed")
     met = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     filed = filed.join(met, "key", "left_semi").distinct().withColumn("share", F.col("size") * (percent / (100 + percent)))
     small, large = _crowds(filed, crowd)
 
     # Only sets that are compared are cut.
-    few = staged(_pairs(small, small, percent, F.col("set_id_x") > F.col("set_id_y")), "vertical-few")
+    few = staged(prefix_pairs(small, large, percent), "vertical-few")
     compared = few.select(F.col("a").alias("set_id")).unionByName(few.select(F.col("b").alias("set_id"))).unionByName(large.select("set_id"))
     cut = segments(docs, words, counts, fragment_ends(found), context.broadcast(marks(compared)))
     cut = staged(cut, "vertical-segments")
@@ -327,8 +358,7 @@ def set_roots(docs: DataFrame, read: DataFrame, words: int, percent: int, crowd:
     links = staged(_links(few, cut, percent), "vertical-links")
     shared = small.unionByName(large).groupBy("set_id", "size").agg(F.count(F.lit(1)).alias("shared"))
     # A set is central if few of its first shingles are in no other set.
-    few = F.col("size") - F.ceil(F.col("size") * percent / 100 - F.lit(1e-9)) + 1
-    groups = _led(large.join(shared.select("set_id", (F.col("shared") - few).cast("long").alias("centre")), "set_id"))
+    groups = _led(large.join(shared.select("set_id", (F.col("shared") - _few_of(F.col("size"), percent)).cast("long").alias("centre")), "set_id"))
     both = F.col("size_a") + F.col("size_b") - F.col("overlap")
     is_linked = similar(F.col("overlap"), F.col("size_a"), F.col("size_b"), percent)
     stars = staged(overlaps(_stars(groups), cut), "vertical-stars")
