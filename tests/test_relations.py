@@ -346,3 +346,40 @@ def test_page_cut_keeps_rows_without_query(spark):
     assert sorted(r["pos"] for r in wn.cut_pages(df, ["pos"]).collect()) == [1, 2, 4]
     stops = spark.createDataFrame([("q", 1)], "query_id string, page_no long")
     assert sorted(r["pos"] for r in wn.before_stop(df, stops).collect()) == [1, 2, 3]
+
+
+def test_running_total_over_levels(spark):
+    """Gaps, negative positions and several levels of blocks; the window without a key has a row for each top block."""
+    rng = random.Random(4)
+    rows = [(p, rng.randrange(-5, 9)) for p in rng.sample(range(-3000, 9000), 700)]
+    df = spark.createDataFrame(rows, "place long, n long")
+    want, so_far = {}, 0
+    for p, n in sorted(rows):
+        want[p], so_far = so_far, so_far + n
+    for block, levels in ((7, 3), (10, 1), (10_000, 3)):
+        got = wn.running_total(df, "place", "n", "before", block, levels)
+        assert {r.place: r.before for r in got.collect()} == want
+    top = wn.running_total(df, "place", "n", "before", 100, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert top.count("windowspecdefinition(_place") == 1  # all other windows have a block
+
+
+def test_page_flags_read_their_input_once(spark):
+    """What the caller's fields are made of is computed for the flags once, and once more for the rows that are kept."""
+    from tests.conftest import SMALL
+    from tideboard import catalog
+
+    text = catalog.queries()["e1_board_search"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Relation [posting_id") == 1  # all others are the flags, as written
+
+
+def test_match_lexicon_of_long_terms(spark):
+    """Terms of any length, overlapping ones, and one that a text ends too early for."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(6)]
+    terms = {" ".join(rng.choice(words) for _ in range(rng.randrange(1, 8))) for _ in range(60)} | {"w1 w1 w1 w1 w1 w1 w1 w1 w1"}
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 60)))) for i in range(80)] + [(80, "w1 " * 9), (81, "w1 " * 8), (82, None)]
+    df = spark.createDataFrame(texts, "id int, text string")
+    lexicon = spark.createDataFrame([(t, t.upper()) for t in terms], "term string, shown string")
+    want = {i: sorted(t.upper() for t in terms if f" {t} " in f" {' '.join((x or '').split())} ") for i, x in texts}
+    got = {r.id: r.terms for r in jn.match_lexicon(df, "id", "text", lexicon).collect()}
+    assert got == {i: t for i, t in want.items() if t}

@@ -107,28 +107,27 @@ def enrich_details(postings: DataFrame, details: DataFrame, key: str = "url") ->
 def match_lexicon(
     df: DataFrame, id_col: str, text: str, lexicon: DataFrame, longest: int | None = None
 ) -> DataFrame:
-    """One row per text that names lexicon terms: id and the sorted distinct display forms. Each
-    word of a text meets the terms that begin with it in a hash join, and the words after it
-    decide; texts and terms are never compared pair by pair. ``lexicon`` has term (lower case) and
-    shown; ``longest`` is the number of words of its longest term, counted here if it is not given."""
+    """One row per text that names lexicon terms: id and the sorted distinct display forms. ``lexicon`` has term (lower
+    case, words parted by one space) and shown; ``longest`` is the number of words of its longest term, counted here if it
+    is not given.
+
+    The lexicon is a trie of one level: the first words, each with the lengths of the terms that begin with it. Only
+    where a word of a text is one of these, runs of those lengths are made, and a run that is a term is a hit. Both steps
+    are equality joins; a row carries no more than the words of the longest term."""
     if longest is None:
         longest = lexicon.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
     # A full stop or slash at the edge of a word belongs to the sentence.
     spaced = F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}_+#./]+", " ")
     words = F.split(F.trim(F.regexp_replace(spaced, r"(^| )[./]+|[./]+(?= |$)", "$1")), " +")
     held = df.select(id_col, words.alias("_words"))
-    n = F.size("_words")
-    shifted = [F.col("_words").alias("w0")] + [
-        F.when(n > i, F.slice("_words", i + 1, F.greatest(n - i, F.lit(0)))).otherwise(F.array().cast("array<string>")).alias(f"w{i}")
-        for i in range(1, longest)
-    ]
-    runs = T.explode_once(held, [id_col], F.arrays_zip(*shifted), "_i", "r").select(id_col, "r.*")
+    at = T.explode_once(held, [id_col, "_words"], F.col("_words"), "_i", "_head")
+    runs = at.select(id_col, "_head", F.slice("_words", (F.col("_i") + 1).cast("int"), longest).alias("_run"))
     parts = F.split("term", " ")
-    terms = lexicon.select("shown", *[F.get(parts, i).alias(f"t{i}") for i in range(longest)])
-    fits = F.col("w0") == F.col("t0")
-    for i in range(1, longest):
-        fits = fits & (F.col(f"t{i}").isNull() | (F.col(f"t{i}") == F.col(f"w{i}")))
-    hits = runs.join(terms, fits)
+    heads = lexicon.groupBy(F.get(parts, 0).alias("_head")).agg(F.collect_set(F.size(parts)).alias("_lengths"))
+    begun = runs.join(heads, "_head")
+    grams = F.transform("_lengths", lambda n: F.when(F.size("_run") >= n, F.array_join(F.slice("_run", F.lit(1), n), " ")))
+    found = begun.select(id_col, F.explode(grams).alias("term")).filter(F.col("term").isNotNull())
+    hits = found.join(lexicon.select("term", "shown"), "term")
     return hits.groupBy(id_col).agg(F.array_sort(F.collect_set("shown")).alias("terms"))
 
 

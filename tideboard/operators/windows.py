@@ -55,18 +55,29 @@ def dedup_text_start(df: DataFrame, text: str, order: Sequence, chars: int | Non
     return dedup_first(keyed, ["_start"], order).drop("_start")
 
 
-def running_total(df: DataFrame, position: str, value: str, out: str, block: int = _BLOCK) -> DataFrame:
+def running_total(df: DataFrame, position: str, value: str, out: str, block: int = _BLOCK, levels: int = 2) -> DataFrame:
     """Sum of ``value`` over all rows at smaller positions. Positions are integers, one row each.
-    Each block of positions is summed on its own; only one row per block is put in order globally."""
-    blocked = df.withColumn("_block", F.floor(F.col(position) / block))
-    sums = blocked.groupBy("_block").agg(F.sum(value).alias("_sum"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("_block").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+
+    Sums are taken in levels: of positions within blocks, of blocks within blocks of blocks, and so on. No window holds
+    more than ``block`` rows but the last one, which has a row for each ``block ** levels`` positions."""
+    return _running_total(df, F.col(position).cast("bigint"), value, out, block, levels)
+
+
+def _running_total(df: DataFrame, place: Column, value: str, out: str, block: int, levels: int) -> DataFrame:
+    before = Window.orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    placed = df.withColumn("_place", place)
+    if levels == 0:
+        return placed.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0))).drop("_place")
+    placed = placed.withColumn("_block", F.expr(f"(_place - pmod(_place, {block})) div {block}"))
+    offset = f"_offset{levels}"
+    sums = placed.groupBy(F.col("_block").alias("_inner")).agg(F.sum(value).alias("_sum"))
+    offsets = _running_total(sums, F.col("_inner"), "_sum", offset, block, levels - 1)
+    offsets = offsets.select(F.col("_inner").alias("_block"), offset)
+    within = Window.partitionBy("_block").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        blocked.join(offsets, "_block")
-        .withColumn(out, F.col("_offset") + F.coalesce(F.sum(value).over(within), F.lit(0)))
-        .drop("_block", "_offset")
+        placed.join(offsets, "_block")
+        .withColumn(out, F.col(offset) + F.coalesce(F.sum(value).over(within), F.lit(0)))
+        .drop("_place", "_block", offset)
     )
 
 
@@ -107,18 +118,21 @@ def page_flags(
     df: DataFrame, order: Sequence, fits: Column | None = None, query="query_id", page="page_no", key="posting_key"
 ) -> DataFrame:
     """One row per result page: n_rows, n_new (rows that fit and whose key no earlier page has),
-    n_leading (distinct keys among the first five rows) and all_seen (all of those were seen)."""
+    n_leading (distinct keys among the first five rows) and all_seen (all of those were seen).
+
+    The rows are read once: what their fields are made of may be dear, so place, key and fit are written down, and
+    counts and leading rows come from that narrow table."""
     fit = F.lit(True) if fits is None else fits
+    placed = cut_lineage(df.select(query, page, key, *order, fit.alias("_fits")), "page-keys")
     # Per page and key first: hot pages and keys shrink before any join.
-    page_keys = df.groupBy(query, page, key).agg(F.count("*").alias("_n"), F.max(fit).alias("_fits"))
-    first_page = page_keys.groupBy(query, key).agg(F.min(page).alias("_first"))
+    page_keys = placed.groupBy(query, page, key).agg(F.count("*").alias("_n"), F.max("_fits").alias("_fits"))
     leading = (
-        first_n(df.select(query, page, key, *order), [query, page], order, 5)
-        .groupBy(query, page, key)
-        .agg(F.lit(True).alias("_leads"))
+        first_n(placed.drop("_fits"), [query, page], order, 5).groupBy(query, page, key).agg(F.lit(True).alias("_leads"))
     )
-    return (
-        _on(_on(page_keys, first_page, [query, key]), leading, [query, page, key], "left")
+    page_keys = cut_lineage(_on(page_keys, leading, [query, page, key], "left"), "page-key-counts")
+    first_page = page_keys.groupBy(query, key).agg(F.min(page).alias("_first"))
+    flags = (
+        _on(page_keys, first_page, [query, key])
         .groupBy(query, page)
         .agg(
             F.sum("_n").alias("n_rows"),
@@ -129,6 +143,7 @@ def page_flags(
             ),
         )
     )
+    return cut_lineage(flags, "page-flags")
 
 
 def duplicate_pages(df: DataFrame, order: Sequence, query="query_id", page="page_no", key="posting_key") -> DataFrame:
