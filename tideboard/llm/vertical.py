@@ -263,21 +263,15 @@ def _few_of(size: Column, percent: int) -> Column:
     return size - F.ceil(size * percent / 100 - F.lit(1e-9)) + 1
 
 
-def prefix_pairs(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
-    """a, b, size_a, size_b of the sets that meet in a small group and may be similar. What two sets share of their first
-    shingles is counted here; of what follows, they share at most what one of them has. Shingles of large groups count
-    as shared."""
-    hot = large.groupBy("set_id").agg(F.count(F.lit(1)).alias("hot"))
-    rows = small.join(hot, "set_id", "left").fillna(0, ["hot"])
-    x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("set_id", "size", "rest", "hot"))) for k in "ab")
-    fits = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
-    met = x.join(y, "key").filter((F.col("set_id_a") > F.col("set_id_b")) & fits)
-    met = met.groupBy(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"), "size_a", "size_b").agg(
-        F.count(F.lit(1)).alias("shared"), F.max(F.least("rest_a", "rest_b")).alias("rest"), F.max(F.least("hot_a", "hot_b")).alias("hot")
-    )
+def prefix_pairs(small: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """a, b, size_a, size_b of the sets that meet in a small group and may be similar: by size and position, and by how
+    many of their first shingles (``shared``: set_id, keys) they share. Of what follows, they share at most what one has."""
+    pairs = _pairs(small, small, percent, F.col("set_id_x") > F.col("set_id_y"))
+    keys = {c: shared.select(F.col("set_id").alias(c), F.col("keys").alias(f"keys_{c}")) for c in ("a", "b")}
+    counted = pairs.join(keys["a"], "a").join(keys["b"], "b").withColumn("both", F.size(F.array_intersect("keys_a", "keys_b")))
     needed = (F.col("size_a") + F.col("size_b")) * (percent / (100 + percent)) - ABOUT
     behind = F.greatest(*(F.col(c) - _few_of(F.col(c), percent) for c in ("size_a", "size_b")))
-    return met.filter((F.col("rest") + F.col("hot") >= needed) & (F.col("shared") + F.col("hot") + behind >= needed)).select("a", "b", "size_a", "size_b")
+    return counted.filter(F.col("both") + behind >= needed).select("a", "b", "size_a", "size_b")
 
 
 def _pairs(x: DataFrame, y: DataFrame, percent: int, *more: Column) -> DataFrame:
@@ -350,15 +344,16 @@ def set_roots(docs: DataFrame, read: DataFrame, words: int, percent: int, crowd:
     small, large = _crowds(filed, crowd)
 
     # Only sets that are compared are cut.
-    few = staged(prefix_pairs(small, large, percent), "vertical-few")
+    shared = small.unionByName(large).groupBy("set_id", "size").agg(F.collect_list("key").alias("keys"))
+    shared = staged(shared, "vertical-shared")  # a list is a part of its text
+    few = staged(prefix_pairs(small, shared, percent), "vertical-few")
     compared = few.select(F.col("a").alias("set_id")).unionByName(few.select(F.col("b").alias("set_id"))).unionByName(large.select("set_id"))
     cut = segments(docs, words, counts, fragment_ends(found), context.broadcast(marks(compared)))
     cut = staged(cut, "vertical-segments")
 
     links = staged(_links(few, cut, percent), "vertical-links")
-    shared = small.unionByName(large).groupBy("set_id", "size").agg(F.count(F.lit(1)).alias("shared"))
     # A set is central if few of its first shingles are in no other set.
-    groups = _led(large.join(shared.select("set_id", (F.col("shared") - _few_of(F.col("size"), percent)).cast("long").alias("centre")), "set_id"))
+    groups = _led(large.join(shared.select("set_id", (F.size("keys") - _few_of(F.col("size"), percent)).cast("long").alias("centre")), "set_id"))
     both = F.col("size_a") + F.col("size_b") - F.col("overlap")
     is_linked = similar(F.col("overlap"), F.col("size_a"), F.col("size_b"), percent)
     stars = staged(overlaps(_stars(groups), cut), "vertical-stars")
