@@ -129,10 +129,9 @@ def page_flags(
     leading = (
         first_n(placed.drop("_fits"), [query, page], order, 5).groupBy(query, page, key).agg(F.lit(True).alias("_leads"))
     )
-    page_keys = cut_lineage(_on(page_keys, leading, [query, page, key], "left"), "page-key-counts")
     first_page = page_keys.groupBy(query, key).agg(F.min(page).alias("_first"))
-    flags = (
-        _on(page_keys, first_page, [query, key])
+    return (
+        _on(_on(page_keys, first_page, [query, key]), leading, [query, page, key], "left")
         .groupBy(query, page)
         .agg(
             F.sum("_n").alias("n_rows"),
@@ -143,7 +142,6 @@ def page_flags(
             ),
         )
     )
-    return cut_lineage(flags, "page-flags")
 
 
 def duplicate_pages(df: DataFrame, order: Sequence, query="query_id", page="page_no", key="posting_key") -> DataFrame:
@@ -164,7 +162,7 @@ def cut_pages(
     """Rows on the pages before the first one that ends a search: a page with only seen postings,
     with at most two postings after page 1, or without a new fitting one; a page marked as the end
     in ``page_marks`` (query, page, is_end); or, with ``stop_at_gaps``, a page that is missing."""
-    flags = page_flags(df, order, fits, query, page, key)
+    flags = cut_lineage(page_flags(df, order, fits, query, page, key), "page-flags")
     stops = flags.filter(
         F.col("all_seen") | ((F.col("n_leading") <= 2) & (F.col(page) > 1)) | (F.col("n_new") == 0)
     ).select(query, page)
