@@ -401,3 +401,16 @@ def test_mixture_of_odd_rows(odd, none):
     assert kept.columns == odd.columns
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in rows if r["kept"])
     assert raking.mix_documents(none).count() == 0 and raking.sample_documents(none).count() == 0
+
+
+def test_words_learnt_in_runs_draw_as_in_one(monkeypatch):
+    vocabulary = pieces.Vocabulary(pieces.model_path(), pieces.ALPHA)
+    texts = ["one two three four five six seven", "", "café \U0001f600 and\n\na line  of   spaces", "x" * 300 + " two", None]
+    drawn = []
+    for chars in (1, 7, 100, 1 << 30):
+        monkeypatch.setattr(pieces, "LEARNT_CHARS", chars)
+        held = pieces.Lattices(vocabulary)
+        found = [pieces.sample(texts[a:b], list(range(a, b)), 3, held) for a, b in ((0, 2), (2, 5))]
+        drawn.append([[(p.tolist(), *rest) for p, *rest in paths] for part in found for paths in part])
+    assert drawn[0] == drawn[1] == drawn[2] == drawn[3]
+    assert [len(paths) for paths in drawn[0]] == [3, 0, 3, 3, 0]
