@@ -2,6 +2,7 @@
 
 import datetime as dt
 import html as stdlib_html
+from html.entities import html5
 import re
 from urllib.parse import urljoin
 
@@ -36,6 +37,28 @@ def test_entities(value):
     assert got[3] == inputs[3]
 
 
+def test_entities_of_all_names(value):
+    names = sorted(html5)
+    inputs = [f"a &{n} b" for n in names] + [f"x&{n}9z&&{n}" for n in names if not n.endswith(";")]
+    inputs += ["&#128;&#x9f;&#129;", "&#65 &#x41z", "&#11;|&#7;|&#127;|&#xfdd0;|&#x1ffff;", "&#13;&#000065;", "&notit; &notin; &nosuchname; &; & &&amp", "&CounterClockwiseContourIntegral;&x;"]
+    got = value(T.decode_entities, inputs)
+    for text, shown in zip(inputs, got, strict=True):
+        assert shown == (stdlib_html.unescape(text) if "nbsp" not in text else stdlib_html.unescape(text).replace("\xa0", " ")), text
+    assert value(T.decode_entities, ["&#1114112; &#99999999999999999999; &#xFFFFFFFFFFFFFFFFFF;", None]) == ["&#1114112; &#99999999999999999999; &#xFFFFFFFFFFFFFFFFFF;", None]
+
+
+def test_attributes_keep_names_that_go_on(value):
+    inputs = ["/jobs?q=1&region=us&copy=2&amp;x=3", "/a?b&reg", "/a?b&eacute;&notin;c", "/a&lt /b"]
+    assert value(lambda c: T.decode_entities(c, in_attribute=True), inputs) == ["/jobs?q=1&region=us&copy=2&x=3", "/a?b®", "/a?bé∉c", "/a< /b"]
+
+
+def test_links_of_every_quoting(value):
+    page = """<a href=/viewjob?jk=a1>One</a> <A class=x HREF = '/b"2' >Tw&ouml;</A> <a href="/c'3">3</a><a href=/d/ id=4>4</a> <a name=x>no</a> <a href="">5</a>"""
+    (found,) = value(H.links, [page])
+    assert [tuple(x) for x in found] == [("/viewjob?jk=a1", "One"), ('/b"2', "Twö"), ("/c'3", "3"), ("/d/", "4"), ("", "5")]
+    assert value(lambda c: H.attribute_value(c, "href"), [page, "<a href='x y'>", "<a>"]) == ["/viewjob?jk=a1", "x y", None]
+
+
 def test_company_from_url(value):
     urls = ["https://www.burton.com/us/en/careers", "https://acme-corp.example.org/x", "http://user@a_b.io:8080/", "not a url"]
     assert value(U.company_from_url, urls) == ["Burton", "Acme Corp", "A B", None]

@@ -12,9 +12,11 @@ from tideboard.functions import text as T
 CHROME_TAGS = ("nav", "header", "footer", "script", "style")
 HIDDEN_TAGS = ("script", "style")
 
+# A value in either kind of quotes, or up to the next space or the tag's end.
+VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
 # Opening tag and body of one element without a nested element of the same kind.
-LINK = r"(?is)<a\b[^>]*?\bhref\s*=\s*(?:\"[^\"]*\"|'[^']*')[^>]*>.*?</a\s*>"
-HREF = r"(?is)^<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"
+LINK = rf"(?is)<a\b[^>]*?\bhref\s*=\s*{VALUE}[^>]*>.*?</a\s*>"
+HREF = rf"(?is)^<a\b[^>]*?\bhref\s*=\s*({VALUE})"
 
 
 def drop_elements(html: Column, tags: Sequence[str]) -> Column:
@@ -42,7 +44,12 @@ def text_lines(html: Column, drop: Sequence[str] = HIDDEN_TAGS) -> Column:
 
 
 def attribute_value(html: Column, attribute: str) -> Column:
-    return T.blank_to_null(F.regexp_extract(html, rf"(?is)\b{attribute}\s*=\s*[\"']([^\"']*)[\"']", 1))
+    return T.blank_to_null(unquoted(F.regexp_extract(html, rf"(?is)\b{attribute}\s*=\s*({VALUE})", 1)))
+
+
+def unquoted(value: Column) -> Column:
+    """A value without the quotes around it."""
+    return F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2")
 
 
 def links(html: Column) -> Column:
@@ -51,6 +58,6 @@ def links(html: Column) -> Column:
     return F.transform(
         found,
         lambda a: F.struct(
-            T.decode_entities(F.regexp_extract(a, HREF, 1)).alias("href"), strip_tags(a).alias("anchor")
+            T.decode_entities(unquoted(F.regexp_extract(a, HREF, 1)), in_attribute=True).alias("href"), strip_tags(a).alias("anchor")
         ),
     )

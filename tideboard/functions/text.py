@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from functools import wraps
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -133,26 +134,61 @@ def first_label(c: Column, labelled: Sequence[tuple[str, str]]) -> Column:
 
 
 @on_value
-def decode_entities(c: Column) -> Column:
-    """Character references to characters. Text without "&" is passed through untouched."""
-    named = ", ".join(f"struct({constants(entity)} AS name, {constants(char)} AS shown)" for entity, char in P.ENTITIES[:-1])
-    out = F.aggregate(F.expr(f"array({named})"), c, lambda text, e: F.replace(text, e["name"], e["shown"]))
-    out = once(out, lambda t: F.when(F.contains(t, F.lit("&#")), _decode_numeric(t)).otherwise(t))
-    entity, char = P.ENTITIES[-1]
-    return F.when(F.contains(c, F.lit("&")), F.replace(out, F.lit(entity), F.lit(char))).otherwise(c)
-
-
-def _decode_numeric(c: Column) -> Column:
-    def decode(piece: Column) -> Column:
-        digits = F.regexp_extract(piece, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
-        in_hex = F.lower(F.left(digits, F.lit(1))) == "x"
-        code = F.when(in_hex, F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(digits).try_cast("bigint")
-        valid = (digits != "") & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        four_bytes = F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(F.lit(32))), 8, "0"))
-        char = F.decode(four_bytes, "UTF-32")
-        rest = F.regexp_replace(piece, r"^[0-9a-fA-FxX]+;", "")
-        return F.when(valid, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), piece))
-
-    pieces = F.split(c, "&#")
+def decode_entities(c: Column, in_attribute: bool = False) -> Column:
+    """Character references to characters, by the names and rules of HTML: names without a semicolon by their longest
+    prefix that is one, except, in attributes, before "=", letters and digits; numbers of C1 controls as Windows-1252,
+    numbers of other controls as nothing. Numbers of no character stay as they are. A no-break space's name is a space.
+    Text without "&" is passed through untouched."""
+    pieces = F.split(c, "&")
     tail = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    return F.concat(F.get(pieces, 0), F.array_join(F.transform(tail, decode), ""))
+    shown = F.transform(tail, lambda piece: F.when(F.startswith(piece, F.lit("#")), _numbered(piece)).otherwise(_named(piece, in_attribute)))
+    return F.when(F.contains(c, F.lit("&")), F.concat(F.get(pieces, 0), F.array_join(shown, ""))).otherwise(c)
+
+
+_NAMES = {name[:-1]: shown for name, shown in html5.items() if name.endswith(";")} | {"nbsp": " "}
+_SHORT = sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name))
+_C1 = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
+
+
+def _name_lists() -> list[str]:
+    """By each first letter, from "A" on, the names with what they show, marked off by a control character."""
+    by_first = ["" for _ in range(ord("A"), ord("z") + 1)]
+    for name, shown in _NAMES.items():
+        by_first[ord(name[0]) - ord("A")] += f"\x01{name};{shown}\x01"
+    return by_first
+
+
+_LISTS = _name_lists()
+
+
+def _named(piece: Column, in_attribute: bool) -> Column:
+    whole = F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*);", 1)
+    short = F.regexp_extract(piece, rf"^({'|'.join(_SHORT)}){'(?![=A-Za-z0-9])' if in_attribute else ''}", 1)
+
+    def shown(name: Column) -> Column:
+        listed, mark = F.get(F.lit(_LISTS), F.ascii(name) - ord("A")), F.concat(F.lit("\x01"), name, F.lit(";"))
+        return F.when((name != "") & F.contains(listed, mark), F.substring_index(F.split_part(listed, mark, F.lit(2)), "\x01", 1))
+
+    def after(name: Column, more: int) -> Column:
+        return F.substring(piece, F.length(name) + more, F.length(piece))
+
+    long_form = once(whole, lambda name: F.concat(shown(name), after(name, 2)))
+    short_form = once(short, lambda name: F.concat(shown(name), after(name, 1)))
+    return F.coalesce(long_form, short_form, F.concat(F.lit("&"), piece))
+
+
+def _numbered(piece: Column) -> Column:
+    digits = F.regexp_extract(piece, r"^#0*([0-9]+)", 1)
+    hexed = F.regexp_extract(piece, r"^#[xX]0*([0-9a-fA-F]+)", 1)
+    code = F.when(hexed != "", F.conv(F.left(hexed, F.lit(9)), 16, 10)).otherwise(F.left(digits, F.lit(9))).try_cast("bigint")
+
+    def shown(n: Column) -> Column:
+        # What no text holds: controls but tab and line ends, and the code points that are set aside.
+        unheard = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n % 65536 >= 0xFFFE)
+        none = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(none, 32).otherwise(n)), 8, "0")), "UTF-32")
+        of_c1 = F.substring(F.lit(_C1), (n - 0x7F).cast("int"), F.lit(1))
+        return F.when(n.between(0x80, 0x9F), of_c1).when(~none, F.when(unheard, "").otherwise(char))
+
+    rest = F.regexp_replace(piece, r"^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", "")
+    return F.coalesce(F.concat(once(code, shown), rest), F.concat(F.lit("&"), piece))
