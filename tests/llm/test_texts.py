@@ -414,3 +414,16 @@ def test_words_learnt_in_runs_draw_as_in_one(monkeypatch):
         drawn.append([[(p.tolist(), *rest) for p, *rest in paths] for part in found for paths in part])
     assert drawn[0] == drawn[1] == drawn[2] == drawn[3]
     assert [len(paths) for paths in drawn[0]] == [3, 0, 3, 3, 0]
+
+
+def test_bitmaps_of_long_texts_rule_out_no_near_copy(spark):
+    rng = np.random.default_rng(12)
+    words = [f"w{n}" for n in rng.integers(0, 1 << 30, 6000)]
+    near, far = list(words), list(words)
+    for at in range(0, 6000, 60):
+        near[at] = f"near{at}"
+    for at in range(0, 6000, 20):
+        far[at] = f"far{at}"
+    rows = [(7, " ".join(words)), (9, " ".join(near)), (3, " ".join(far)), (11, " ".join(words[:3])), (None, None)]
+    found = {r["doc_id"]: r["component_id"] for r in copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {7: 7, 9: 7, 3: 3, 11: 11, None: None}
