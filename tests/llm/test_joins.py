@@ -203,6 +203,19 @@ def test_partial_overlaps_add_up(spark):
         assert r["overlap"] == len(set(sets[r["a"]]) & set(sets[r["b"]]))
 
 
+def test_a_set_in_many_tasks_is_cut_once(spark):
+    """Copies of a text, one of them without an id, over many partitions: the marked one alone is cut."""
+    rows = [(i, "five words of one text") for i in range(40)] + [(None, "five words of one text"), (None, "only a text without id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    counts = vertical.shingle_counts(vertical.read_sets(docs, 3))
+    chosen = spark.createDataFrame([(0,), (None,)], "doc_id long")
+    sent = [spark.sparkContext.broadcast(x) for x in (counts.astype(np.uint32), vertical.marks(chosen.limit(1)), vertical.marks(chosen))]
+    one = vertical.segments(docs, 3, sent[0], vertical.fragment_ends(counts), sent[1])
+    assert one.count() == vertical.FRAGMENTS
+    both = vertical.segments(docs, 3, sent[0], vertical.fragment_ends(counts), sent[2])
+    assert both.select("set_id").distinct().count() == 2
+
+
 # --- hard negatives
 
 def vectors():

@@ -40,7 +40,7 @@ CROWD = 64  # sets of a group that are compared with each other; above, a leader
 FOLLOWERS = 256  # sets that meet one copy of a leader's segments
 KEY = "decimal(38,0)"
 KEPT_WORDS = 1 << 20
-MARKS = 1 << 24  # bits of a Bloom filter of the sets that are compared; more of them only make more sets be cut
+MARKS = 1 << 24  # bits of a filter of the documents whose sets are cut; a full one only makes more sets be cut
 ABOUT = 1e-6  # bounds are whole numbers, or apart by more than this
 
 
@@ -164,9 +164,13 @@ def first_shingles(docs: DataFrame, words: int, percent: int, counts) -> DataFra
     return docs.select("text").mapInArrow(run, f"key long, set_id {KEY}, size int, rest int")
 
 
-def marks(sets: DataFrame) -> np.ndarray:
-    """A bit for the end of each set_id: MARKS bits, whatever the number of sets."""
-    at = sets.select((F.col("set_id") % MARKS).cast("long").alias("at"))
+def _mark(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(MARKS))
+
+
+def marks(ids: DataFrame) -> np.ndarray:
+    """A bit for each doc_id, null included: MARKS bits, whatever the number of ids."""
+    at = ids.select(_mark(F.col("doc_id")).alias("at"))
     words = at.select(F.floor(F.col("at") / 32).alias("word"), F.expr("shiftleft(1L, cast(at % 32 AS int))").alias("bit"))
     rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(MARKS // 32, np.uint32)
@@ -175,17 +179,17 @@ def marks(sets: DataFrame) -> np.ndarray:
 
 
 def segments(docs: DataFrame, words: int, counts, ends: np.ndarray, marked) -> DataFrame:
-    """set_id, fragment, shingles: the marked sets, cut along the order; each fragment has a row, empty or not."""
+    """set_id, fragment, shingles: the sets of marked documents, cut along the order; each fragment has a row, empty or
+    not. One document of each set is marked, as a set cut in many tasks would meet its pairs once for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, bits, done, known = counts.value, marked.value, set(), Words()
         for batch in slices(batches, "text", SLICE_BYTES):
-            sets = sets_of(batch.column("text").to_pylist(), words, known)
+            at = batch.column("at").to_numpy()
+            held = bits[at // 32] >> (at % 32).astype(np.uint32) & 1
+            sets = sets_of(batch.column("text").filter(pa.array(held == 1)).to_pylist(), words, known)
             of, cut, ids = _set_ids(sets), [], []
-            at = np.frombuffer(of.buffers()[1], np.uint64)[::2] % np.uint64(MARKS)
-            held = bits[(at // np.uint64(32)).astype(np.int64)] >> (at % np.uint64(32)).astype(np.uint32) & 1
-            for i in np.flatnonzero(held).tolist():
-                x, set_id = sets[i], of[i].as_py()
+            for i, (x, set_id) in enumerate(zip(sets, of.to_pylist(), strict=True)):
                 if set_id not in done:
                     done.add(set_id)
                     part = np.searchsorted(ends, ranks[(x % np.uint64(COUNTERS)).astype(np.int64)])
@@ -197,7 +201,8 @@ def segments(docs: DataFrame, words: int, counts, ends: np.ndarray, marked) -> D
                 fragments = np.tile(np.arange(len(ends) + 1, dtype=np.int32), len(ids) // (len(ends) + 1))
                 yield pa.RecordBatch.from_arrays([of.take(pa.array(ids)), pa.array(fragments), lists], ["set_id", "fragment", "shingles"])
 
-    return docs.select("text").mapInArrow(run, f"set_id {KEY}, fragment int, shingles array<long>")
+    placed = docs.select(_mark(F.col("doc_id").cast("long")).alias("at"), "text")
+    return placed.mapInArrow(run, f"set_id {KEY}, fragment int, shingles array<long>")
 
 
 # --- overlaps
@@ -334,8 +339,8 @@ def _apart() -> Column:
     return (F.col("root_x") != F.col("root_y")) & (F.col("set_id_x") > F.col("set_id_y"))
 
 
-def set_roots(docs: DataFrame, read: DataFrame, words: int, percent: int, crowd: int = CROWD) -> DataFrame:
-    """node, root: the sets that are linked with others, and the least of each component."""
+def set_roots(docs: DataFrame, read: DataFrame, classes: DataFrame, words: int, percent: int, crowd: int = CROWD) -> DataFrame:
+    """node, root: the sets that are linked with others, and the least of each component. ``classes``: set_id, least."""
     found, context = shingle_counts(read), docs.sparkSession.sparkContext
     counts = context.broadcast(np.minimum(found, (1 << 32) - 1).astype(np.uint32))
     filed = staged(first_shingles(docs, words, percent, counts), "vertical-filed")
@@ -343,12 +348,13 @@ def set_roots(docs: DataFrame, read: DataFrame, words: int, percent: int, crowd:
     filed = filed.join(met, "key", "left_semi").distinct().withColumn("share", F.col("size") * (percent / (100 + percent)))
     small, large = _crowds(filed, crowd)
 
-    # Only sets that are compared are cut.
+    # Only sets that are compared are cut, each in one document.
     shared = small.unionByName(large).groupBy("set_id", "size").agg(F.collect_list("key").alias("keys"))
     shared = staged(shared, "vertical-shared")  # a list is a part of its text
     few = staged(prefix_pairs(small, shared, percent), "vertical-few")
     compared = few.select(F.col("a").alias("set_id")).unionByName(few.select(F.col("b").alias("set_id"))).unionByName(large.select("set_id"))
-    cut = segments(docs, words, counts, fragment_ends(found), context.broadcast(marks(compared)))
+    chosen = classes.join(compared, "set_id", "left_semi").select(F.col("least").alias("doc_id"))
+    cut = segments(docs, words, counts, fragment_ends(found), context.broadcast(marks(chosen)))
     cut = staged(cut, "vertical-segments")
 
     links = staged(_links(few, cut, percent), "vertical-links")
@@ -394,7 +400,7 @@ def near_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, crowd
     read = staged(read_sets(docs, words), "vertical-sets")
     rows = read.filter("bucket IS NULL").select("doc_id", "set_id", "size")
     classes = staged(rows.filter("size > 0").groupBy("set_id").agg(F.min("doc_id").alias("least")), "vertical-classes")
-    roots = set_roots(docs, read, words, percent, crowd)
+    roots = set_roots(docs, read, classes, words, percent, crowd)
     linked = named(rows.filter("size > 0").select("doc_id", "set_id"), classes, roots, "set_id")
     sizes = rows.select("set_id", "size").distinct()
     linked = linked.join(sizes, "set_id").select("doc_id", F.col("size").cast("long").alias("n_shingles"), "component_id")
