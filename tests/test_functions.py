@@ -160,6 +160,45 @@ def test_posted_text(value):
     assert value(X.posted_text, texts) == ["3 days ago", "30+ days ago", "2024-01-05", "within the last 3 days", None]
 
 
+def test_forms_of_pay(value):
+    """Text around the phrase, the phrase. A fuller form goes before an earlier one."""
+    forms = {
+        "earn $80,000 - $120,000 per year now": "$80,000 - $120,000 per year",
+        "$80,000.00 - $95,500.50 yearly": "$80,000.00 - $95,500.50 yearly",
+        "$ 80k-$ 95k, dental": "$ 80k-$ 95k",
+        "$20 - $30 hourly": "$20 - $30",
+        "$80k – 100k": "$80k – 100k",
+        "60K to 70K": "60K to 70K",
+        "60k - 70k a  year": "60k - 70k a year",
+        "from $50,000, or $90,000 - $95,000": "$90,000 - $95,000",
+        "$70,000/yr": "$70,000/yr",
+        "$70k per year": "$70k per year",
+        "From $70k per year": "$70k per year",
+        "$24.75 / hour": "$24.75 / hour",
+        "$31 hourly": "$31 hourly",
+        "$90,000 annually": "$90,000 annually",
+        "50,000 - 60,000 EUR": "50,000 - 60,000 EUR",
+        "40,000-45,000 per year": "40,000-45,000 per year",
+        "starting  at $45,000": "starting at $45,000",
+        "Base salary $88k plus": "Base salary $88k",
+        "10 - 20 people": None,
+        "401k and PTO": None,
+        "raised $5,000,000": None,
+        "10km - 20km": None,
+    }
+    assert value(X.salary_text, list(forms)) == list(forms.values())
+
+
+def test_forms_of_age(value):
+    forms = {
+        "1 day ago": "1 day ago", "Active 45 mins  ago": "45 mins ago", "12 HOURS AGO": "12 HOURS AGO", "Just  Posted": "Just Posted",
+        "just now!": "just now", "posted today, 2 days ago elsewhere": "2 days ago", "Recently posted": "Recently posted",
+        "in the last 24 hours": "in the last 24 hours", "on 3/14/2024.": "3/14/2024", "January 5, 2024": "January 5, 2024",
+        "Sept 15 2024": "Sept 15 2024", "7 Dec 2023": "7 Dec 2023", "2 weeks": None, "3 days": None,
+    }
+    assert value(X.posted_text, list(forms)) == list(forms.values())
+
+
 def test_skills_are_tokens_in_lexicon_order(value):
     texts = ["Go, R and C++ with C#; Java not JavaScript? Rest API!", "software research engineer", "ci/cd node.js", "python python"]
     assert value(X.skills, texts) == [
@@ -201,6 +240,19 @@ def test_formatted_description(value):
     assert value(X.formatted_description, [text]) == ["We build. Apply now Here & there\n\nABOUT US we do things \nLocation:Here"]
 
 
+def test_formatted_description_drops_boilerplate(value):
+    texts = {
+        "Salary: high\nIndeed home page\nWe sail.Ships": "high\n\nWe sail. Ships",
+        "a Profile insights x\nSkills y Do you have experience in sailing? YesNo b": "a b",
+        "Job details here Job type there Full-time work": "work",
+        "one\n \n\n\t\n two": "one\n\n two",
+        "x POSITION OVERVIEW yReports To: z": "x \n\nPOSITION OVERVIEW y \nReports To: z",
+        "QUALIFICATIONS first": "QUALIFICATIONS first",
+        "": "",
+    }
+    assert value(X.formatted_description, [*texts, None]) == [*texts.values(), None]
+
+
 def test_description_lines(value):
     good = "our people make quality boards for riders in every mountain town"
     text = "VIEW THIS PAGE NOW IN CAPITAL LETTERS ONLY PLEASE DO IT\napply here because this line has the wrong words in it today\n" + good

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tideboard.functions import elements as E
+from tideboard.functions import grammar as G
 from tideboard.functions import html as H
 from tideboard.functions import text as T
 from tideboard.rules import aliases as A
@@ -104,8 +105,9 @@ def experience_level(text: Column) -> Column:
 
 @T.on_value
 def salary_text(text: Column) -> Column:
-    """First salary in a text. Texts without a digit never reach the pattern list."""
-    return F.when(T.matches(text, r"\d"), T.first_pattern(text, P.SALARY_PATTERNS, longer_than=5))
+    """Pay in a text: a range, else an amount for a period, a range with a currency, or a bound. Texts without a digit
+    are not searched."""
+    return F.when(T.matches(text, r"\d"), T.first_pattern(text, list(G.PAY_FORMS.values()), longer_than=5))
 
 
 def salary_of_card(card_html: Column, text: Column | None = None, parts: Column | None = None) -> Column:
@@ -169,8 +171,8 @@ def salary_bounds(text: Column) -> Column:
 # --- posting time --------------------------------------------------------------------------
 
 def posted_text(text: Column) -> Column:
-    patterns = P.RELATIVE_DATE_PATTERNS + P.ABSOLUTE_DATE_PATTERNS
-    return T.first_pattern(text, patterns, longer_than=2)
+    """Age of a posting in a text: so long ago, else a word for it, a window of time, or a date."""
+    return T.first_pattern(text, list(G.AGE_FORMS.values()), longer_than=2)
 
 
 def posted_of_card(card_html: Column, text: Column | None = None, parts: Column | None = None) -> Column:
@@ -198,10 +200,9 @@ def posted_at(text: Column, as_of: Column) -> Column:
     n = F.regexp_extract(t, ago, 1).try_cast("int")
     unit = F.regexp_extract(t, ago, 2)
     iso = F.regexp_extract(text, r"\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}:\d{2})?", 0)
-    us = F.regexp_extract(text, P.ABSOLUTE_DATE_PATTERNS[0], 0)
-    month = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
-    month_first = F.regexp_replace(F.regexp_extract(text, P.ABSOLUTE_DATE_PATTERNS[2], 0), rf"^({month})[a-z]*\s+(\d+),?\s+(\d+)$", "$2 $1 $3")
-    day_first = F.regexp_replace(F.regexp_extract(text, P.ABSOLUTE_DATE_PATTERNS[3], 0), rf"^(\d+)\s+({month})[a-z]*\s+(\d+)$", "$1 $2 $3")
+    us, month_first, day_first = (F.regexp_extract(text, G.DATE_FORMS[k], 0) for k in ("us", "month first", "day first"))
+    month_first = F.regexp_replace(month_first, r"^(\w{3})[a-z]*\s+(\d+),?\s+(\d+)$", "$2 $1 $3")
+    day_first = F.regexp_replace(day_first, r"^(\d+)\s+(\w{3})[a-z]*\s+(\d+)$", "$1 $2 $3")
 
     def parsed(c: Column, *formats: str) -> Column:
         tries = [F.try_to_timestamp(T.blank_to_null(c), F.lit(f)) for f in formats]
@@ -269,11 +270,18 @@ def description_of_page(html: Column, parts: Column | None = None) -> Column:
 
 
 def formatted_description(text: Column) -> Column:
-    """Readable text: references decoded, boilerplate dropped, sentences and headings set apart."""
-    out = T.decode_entities(text)
-    for pattern, replacement in P.FORMAT_STEPS:
-        out = F.regexp_replace(out, pattern, replacement)
-    return T.strip_space(out)
+    """Readable text: references decoded, boilerplate dropped, then cut into sentences, headings and paragraphs, which
+    are joined again with a space, a line and an empty line."""
+    body = F.regexp_replace(T.decode_entities(text), rf"(?i)^{T.any_of(P.DESCRIPTION_LABELS)}:\s*", "")
+    is_chrome = rf"(?i)^{T.any_of(P.CHROME_LINES)}"
+    kept = F.transform(F.split(body, "\n"), lambda line: F.when(T.matches(line, is_chrome), "").otherwise(line))
+    passages = "|".join(".*?".join(T.escape(part) for part in passage) for passage in P.BOILERPLATE)
+    out = F.regexp_replace(F.array_join(kept, "\n"), f"(?is){passages}", "")
+    out = F.array_join(F.split(out, r"(?<=[.!?a-z])(?=[A-Z])"), " ")
+    out = F.array_join(F.split(out, f"(?={T.any_of(P.LINE_HEADINGS)})"), "\n")
+    out = F.array_join(F.split(out, f"(?={T.any_of(P.PARAGRAPH_HEADINGS)})"), "\n\n")
+    out = F.regexp_replace(out, r"[ \t]+", " ")
+    return T.strip_space(F.array_join(F.split(out, r"\n(?:\s*\n){2,}"), "\n\n"))
 
 
 @T.on_value
