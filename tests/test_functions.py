@@ -330,3 +330,23 @@ def test_boards_and_platforms(value):
     assert [tuple(p) for p in value(U.platform_of, urls)] == [
         ("greenhouse", "direct_listing", "numbered"), ("lever", "direct_listing", "infinite_scroll"), (None, "direct_listing", "none"),
     ]
+
+
+def test_a_field_asks_for_its_own_elements_only(spark, monkeypatch):
+    asked = []
+    parts = E.parts
+    monkeypatch.setattr(E, "parts", lambda html, wanted: asked.append(list(wanted)) or parts(html, wanted))
+    for of in (X.title_of_card, X.company_of_card, X.location_of_card, X.salary_of_card, X.posted_of_card, X.description_of_card, X.description_of_page):
+        of(F.col("html"))
+    assert asked == [["title"], ["company"], ["location"], ["salary"], ["posted"], ["description"], ["description"]]
+
+
+def test_an_element_is_read_once(monkeypatch):
+    read = []
+    attributes = E._attributes
+    monkeypatch.setattr(E, "_attributes", lambda source: read.append(source) or attributes(source))
+    page = E.Page("<!-- <b> --><div class='a b' id=\"x>y\"><h2 data-z==1>T &amp; t</h2><br/><a href=/q>q</a></div>")
+    assert E._first(page, [("h2", "", "", "")], "", ())[0]["text"] == "T & t" and len(read) == 0
+    assert [list(page.matching(s)) for s in (("div", "class", "word", "b"), ("", "id", "is", "x>y"), ("a|h2", "href", "present", ""), ("", "data-z", "present", ""))] == [[0], [0], [3], [1]]
+    assert len(read) == 4 and page.part(0) is page.part(0)
+    assert page.part(0) == {"text": "T & t q", "link": "/q", "opening": "<div class='a b' id=\"x>y\">"}
