@@ -10,6 +10,8 @@ from tideboard.operators import filters as fl
 from tideboard.operators import joins as jn
 from tideboard.operators import limits as lm
 from tideboard.operators import windows as wn
+from tideboard.plans import searches as pn
+from tideboard.sources import details as sd
 from tideboard.sources import pages as sp
 from tideboard.sources import payloads as pl
 
@@ -85,3 +87,29 @@ def test_links_are_found_once_per_page(spark):
 def test_hot_keys_are_counted_before_they_are_shuffled(postings):
     text = plan(wn.page_flags(postings.withColumn("posting_key", F.col("title")), ["posting_id"]))
     assert "HashAggregate(keys=[query_id" in text and "partial_count" in text
+
+
+def test_texts_are_not_gathered_for_a_lexicon(spark):
+    texts = spark.range(50).selectExpr("id", "repeat('python and docker ', 50) AS text")
+    for few in (True, False):
+        jn.SMALL_LEXICON, before = (jn.SMALL_LEXICON if few else 0), jn.SMALL_LEXICON
+        try:
+            found = jn.match_lexicon(texts, "id", "text", jn.skills_dim(spark))
+        finally:
+            jn.SMALL_LEXICON = before
+        assert "BuildLeft" not in plan(found) and plan(found).count("BroadcastHashJoin") == (2 if few else 0)
+        assert [r.terms for r in found.collect()] == [["Docker", "Python"]] * 50
+
+
+def test_detail_pages_are_read_once_for_all_and_again_for_results(spark):
+    raw = fx.postings(spark, SMALL).withColumn("pos", F.col("posting_id"))
+    pages = fx.detail_pages(spark, SMALL)
+    text = plan(pn.board_search(raw, fx.BOARD, 200, lambda rows: sd.pages_to_details(sd.pages_of(pages, rows)), salary_min=40000))
+    assert text.count("ArrowEvalPython") == 1
+    assert "LeftSemi" in text.split("ArrowEvalPython")[1]
+
+
+def test_small_tables_are_dealt_out_on_a_cluster_too(spark, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    cores = spark.sparkContext.defaultParallelism
+    assert fx.spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == cores
