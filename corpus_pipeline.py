@@ -21,7 +21,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the least doc_id
-    stays. The two-bit rule of op3's contract would find few edited copies, so it isn't used here."""
+    stays. SimHash fingerprints find the first of them; as two bits miss many edited copies, the sets that share a rare
+    shingle are compared too, where fingerprints haven't linked them already."""
     return simhash.keep_one(docs, copies.near_copies)
 
 

@@ -197,6 +197,25 @@ def test_stage_drops_edited_copies(spark):
     assert copies.near_copies(docs.limit(0)).count() == 0
 
 
+def test_stage_compares_what_fingerprints_link_first(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(20):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(words[:-1])), (10 * k + 2, " ".join(words[:-2]))]
+    sets = copies.shingle_sets(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    prints = {r["set_id"]: r["fp"] % (1 << 64) for r in sets.collect()}
+    got = {(r["a"], r["b"]) for r in copies.print_pairs(sets).collect()}
+    assert got and all(a > b and (prints[a] ^ prints[b]).bit_count() <= 2 for a, b in got)
+    roots = {r["node"]: r["root"] for r in simhash.components(copies.print_pairs(sets)).collect()}
+    near = [(a, b) for a in prints for b in prints if a > b and (prints[a] ^ prints[b]).bit_count() <= 2]
+    assert all(roots.get(a, a) == roots.get(b, b) for a, b in near)
+    pairs = spark.createDataFrame(near, "a long, b long")
+    assert copies.apart(pairs, simhash.components(pairs)).count() == 0
+    other = spark.createDataFrame([(1, 2), (3, 4)], "a long, b long")
+    assert copies.apart(other, spark.createDataFrame([(3, 9), (4, 9)], "node long, root long")).collect() == [(1, 2)]
+
+
 # --- factorisation machine
 
 def test_pairs_by_the_sum_of_squares():

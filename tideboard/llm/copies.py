@@ -1,9 +1,12 @@
 """Near copies: documents whose sets of word shingles have a Jaccard similarity of at least a bound, all of them.
 
 Two sets as similar as that share a shingle among the first few of each, in whatever order all shingles are put, if few
-is one more than a set may miss. Shingles rare in a sample come first, so few sets meet that aren't alike. Sets that
-share such a shingle are compared with their centre, the one that meets the most sets; those that this doesn't put into
-the component that most of them are in are compared with all others. A pair is first held against a bitmap of each set's
+is one more than a set may miss. Shingles rare in a sample come first, so few sets meet that aren't alike.
+
+Each set has a SimHash fingerprint. Sets whose fingerprints are within two bits are compared first, and what they prove
+to be alike is one component from then on, whose sets needn't be compared with each other. Two bits miss many edited
+copies, so the sets that share a first shingle follow: each is compared with their centre, the one that meets the most
+sets; those that this doesn't put into the component that most of them are in are compared with all others. A pair is first held against a bitmap of each set's
 shingle hashes: bits of one that the other lacks are shingles that it lacks, which bounds the overlap from above. Whole
 sets move only for pairs within that bound.
 """
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideboard.llm.common import slices, staged, uniform
-from tideboard.llm.simhash import SLICE_BYTES, components, named, shingle_hashes
+from tideboard.llm.simhash import SLICE_BYTES, components, links, named, shingle_hashes, simhash
 
 WORDS, ALIKE = 5, 0.8
 BITS = 2048  # of a set's bitmap; what it can't tell of long texts, the sets do
@@ -28,8 +31,8 @@ SAMPLE, COMMON = 4096, 3  # sets, about, that say which shingles are common, and
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, set_id, shingles, bits: the different shingles of the text, a hash of them all and their bitmap. None
-    without words."""
+    """doc_id, set_id, fp, shingles, bits: the different shingles of the text, a hash of them all, their fingerprint and
+    their bitmap. None without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
@@ -40,14 +43,17 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             bits = [np.packbits(np.bincount((x % np.uint64(BITS)).astype(np.int64), minlength=BITS) > 0).view(np.int64) for x in found]
             maps = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * (BITS // 64)), pa.array(np.concatenate(bits)))
-            columns = [batch.column("doc_id"), pa.array(ids.view(np.int64)), lists, maps]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "set_id", "shingles", "bits"])
+            prints = pa.array(np.array([simhash(x) for x in found], np.uint64).view(np.int64))
+            columns = [batch.column("doc_id"), pa.array(ids.view(np.int64)), prints, lists, maps]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "set_id", "fp", "shingles", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, set_id long, shingles array<long>, bits array<long>")
+    schema = "doc_id long, set_id long, fp long, shingles array<long>, bits array<long>"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def first_shingles(sets: DataFrame, alike: float = ALIKE) -> DataFrame:
-    """shingle, set_id, size: of each set those shingles of which any set as similar shares one."""
+    """shingle, set_id, size: of each set those shingles of which any set as similar shares one. Dealt by shingle, so that
+    what is counted or joined by shingle doesn't move again."""
     share = min(1.0, SAMPLE / max(1, sets.count()))
     drawn = sets.filter(uniform(3, F.col("set_id")) < share).dropDuplicates(["set_id"])  # about SAMPLE sets
     counted = drawn.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().filter(F.col("count") >= COMMON).toArrow()
@@ -76,7 +82,26 @@ def first_shingles(sets: DataFrame, alike: float = ALIKE) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, ids, sizes)], ["shingle", "set_id", "size"])
 
-    return sets.select("set_id", "shingles").mapInArrow(run, "shingle long, set_id long, size int").distinct()
+    return sets.select("set_id", "shingles").mapInArrow(run, "shingle long, set_id long, size int").repartition("shingle").distinct()
+
+
+def print_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs a > b of sets whose fingerprints connect them: sets of one fingerprint with the least of them, and the least
+    ones of fingerprints that ``simhash.links`` links."""
+    prints = staged(sets.filter(F.size("shingles") > 0).select("set_id", "fp").distinct(), "copies-prints")
+    least = prints.groupBy("fp").agg(F.min("set_id").alias("least"))
+    same = prints.join(least, "fp").filter(F.col("set_id") > F.col("least")).select(F.col("set_id").alias("a"), F.col("least").alias("b"))
+    near = links(least.select("fp"))
+    for c in ("a", "b"):
+        near = near.join(least.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_set")), c)
+    return same.unionByName(near.select(F.greatest("a_set", "b_set").alias("a"), F.least("a_set", "b_set").alias("b")))
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs a, b that aren't in one component of the roots (node, root)."""
+    for c in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
+    return pairs.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
 
 
 def possible_pairs(pairs: DataFrame, marks: DataFrame, alike: float) -> DataFrame:
@@ -105,7 +130,7 @@ def alike_pairs(pairs: DataFrame, marks: DataFrame, sets: DataFrame, alike: floa
 
 def set_links(sets: DataFrame, alike: float = ALIKE) -> DataFrame:
     """Links a > b between sets as similar as ``alike`` that connect all such sets."""
-    filed = staged(first_shingles(sets, alike), "copies-first")
+    filed = first_shingles(sets, alike)
     full = filed.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     meeting = staged(filed.join(full, "shingle"), "copies-meeting")
     weights = meeting.groupBy("set_id").agg(F.sum("n").alias("weight"))
@@ -119,7 +144,9 @@ def set_links(sets: DataFrame, alike: float = ALIKE) -> DataFrame:
         return F.least(a, b) >= F.greatest(a, b) * alike - 1e-9
 
     stars = shared.filter((F.col("set_id") != F.col("low")) & may("size", "low_size")).select(F.greatest("set_id", "low").alias("a"), F.least("set_id", "low").alias("b")).distinct()
-    near = staged(alike_pairs(stars, marks, sets, alike), "copies-stars")
+    printed = staged(alike_pairs(print_pairs(sets), marks, sets, alike), "copies-printed")
+    stars = apart(stars, components(printed))
+    near = staged(printed.unionByName(alike_pairs(stars, marks, sets, alike)), "copies-stars")
     roots = components(near)
     members = shared.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     members = staged(members.select("shingle", "set_id", "size", "low", "root"), "copies-members")
