@@ -2,11 +2,14 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from tideboard import fixtures as fx
+from tideboard.functions import elements as E
+from tideboard.functions import posting as X
 from tideboard.sources import cards as sc
 from tideboard.sources import details as sd
 from tideboard.sources import pages as sp
@@ -237,3 +240,23 @@ def test_positions_of_result_pages(spark):
     }
     rows = with_page_position(spark.createDataFrame([(u,) for u in urls], "url string")).collect()
     assert {r["url"]: (r["query_id"], r["page_no"]) for r in rows} == urls
+
+
+def test_parts_of_cards_come_from_the_scan_that_finds_them(spark, monkeypatch):
+    odd = [
+        '<div data-jk="1"><h2 CLASS=jobTitle>One</h2><span class=companyName><a href="/company/x&amp;y">A &amp; B</a></div><div class="date">out</div>',
+        '<section><div data-jk=2><div class=\'sal&#97;ry\'>$5 an hour<p>open</section><div class="companyLocation">out</div>',
+        '<div data-jk="3"><!-- <span class="companyName">no</span> --><div data-jk="4"><script>"<h2>no</h2>"</script><h2>Two</h2></div></div>',
+        '<div data-jk="5"/><h2>out</h2><div class="jobsearch-x">no card</div>',
+    ]
+    pages = spark.createDataFrame(list(enumerate(odd)), "page_id long, html string").unionByName(fx.posting_pages(spark, SMALL).select("page_id", "html").limit(50))
+    names = list(X.CARD_ELEMENTS)
+    cards = sc.pages_to_cards(pages, parts=names)
+    both = cards.select("parts", X.card_parts(F.col("html"), names).alias("again")).collect()
+    assert len(both) > 50 and all(r.parts == r.again for r in both)
+    scans = []
+    monkeypatch.setattr(E.Page, "__init__", lambda self, source, made=E.Page.__init__: (scans.append(source), made(self, source))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array(["".join(f'<div data-jk="{k}"><h2>Title {k}</h2></div>' for k in range(30))])], ["page_id", "html"])
+    (out,) = sc._batches({"title": X.CARD_ELEMENTS["title"]}, iter([batch]))
+    assert [p["title"][4]["text"] for p in out.column("parts").to_pylist()] == [f"Title {k}" for k in range(30)]
+    assert len(scans) == 1  # a page's cards are not scanned again
