@@ -18,7 +18,7 @@ from tideboard.llm.common import table
 @pytest.mark.parametrize("name", list(llm.twins()))
 def test_twin(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     df = llm.queries()[name](spark, SMALL)
     cursor = con.execute(llm.twins()[name])
