@@ -260,3 +260,24 @@ def test_parts_of_cards_come_from_the_scan_that_finds_them(spark, monkeypatch):
     (out,) = sc._batches({"title": X.CARD_ELEMENTS["title"]}, iter([batch]))
     assert [p["title"][4]["text"] for p in out.column("parts").to_pylist()] == [f"Title {k}" for k in range(30)]
     assert len(scans) == 1  # a page's cards are not scanned again
+
+
+def test_elements_written_alike_are_judged_once(monkeypatch):
+    read = []
+    monkeypatch.setattr(E, "_attributes", lambda written, made=E._attributes: (read.append(written), made(written))[1])
+    pages = [f'<div data-jk="{k}"><h2 class="jobTitle"><a href="/jobs/{k}">Title {k}</a></h2><span class=companyName>Acme {k}</span></div>' for k in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(pages)], ["page_id", "html"])
+    (out,) = sc._batches({name: X.CARD_ELEMENTS[name] for name in ("title", "company")}, iter([batch]))
+    assert [(p["title"][0]["text"], p["title"][0]["link"], p["company"][1]["text"]) for p in out.column("parts").to_pylist()] == [
+        (f"Title {k}", f"/jobs/{k}", f"Acme {k}") for k in range(50)
+    ]
+    assert read.count(' class="jobTitle"') == read.count(" class=companyName") == 1  # on all pages of a task
+
+
+def test_what_is_held_of_attributes_is_bounded(monkeypatch):
+    monkeypatch.setattr(E, "_HELD_FITS", 8)
+    fitting = E.Fitting([("div", "data-jk", "present", ""), ("h2", "", "", ""), ("", "class", "word", "b")])
+    for k in range(100):
+        assert fitting["div", f' data-jk="{k}" class="a b"'] == (0, 2) and fitting["h2", f" id={k}"] == (1,) and fitting["p", " class=bb"] == ()
+        assert len(fitting) <= 8
+    assert fitting["h2", " title=x class='b " + "y" * 500 + "'"] == (1, 2) and len(fitting) <= 8
