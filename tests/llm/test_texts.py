@@ -446,3 +446,14 @@ def test_bitmaps_of_long_texts_rule_out_no_near_copy(spark):
     rows = [(7, " ".join(words)), (9, " ".join(near)), (3, " ".join(far)), (11, " ".join(words[:3])), (None, None)]
     found = {r["doc_id"]: r["component_id"] for r in copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {7: 7, 9: 7, 3: 3, 11: 11, None: None}
+
+
+def test_texts_without_label_are_not_shuffled_for_the_counts(spark):
+    docs = spark.range(5000).selectExpr("IF(id % 10 = 9, NULL, id) AS doc_id", "'some text' AS text")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 5000, 25)], "doc_id int, toxic int")
+    usable = [i for i in range(0, 5000, 25) if i % 10 != 9]
+    left = [r["doc_id"] for r in kneser.maybe_labelled(docs, labels).collect()]
+    assert set(usable) <= set(left) and len(left) < 250
+    assert kneser.maybe_labelled(docs, labels.limit(0)).count() == 0
+    counted = {(r["order"], r["n1"], r["n0"]) for r in kneser.count_expressions(docs, labels).collect()}
+    assert counted == {(k, sum(i % 2 for i in usable), sum(1 - i % 2 for i in usable)) for k in (0, 1, 2)}

@@ -264,10 +264,26 @@ def score_of(ratios: Ratios) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), margin))))
 
 
+def _place(key: Column) -> tuple[Column, Column]:
+    """Word and bit of a key in a map of 2 ** SIEVE_BITS bits."""
+    place = F.xxhash64(key.cast("string")).bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))
+    return F.shiftright(place, 6).cast("int"), place.bitwiseAND(F.lit(63)).cast("int")
+
+
+def maybe_labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows whose doc_id may be among the labels': all that are, and few others. The map of the labels' bits has a
+    fixed size, so it can travel; the join that follows is exact."""
+    word, bit = _place(F.col("doc_id"))
+    ones = labels.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_ones"))
+    found = docs.join(F.broadcast(ones), word == F.col("_word"))
+    there = F.call_function("shiftright", F.col("_ones"), bit).bitwiseAND(F.lit(1).cast("long")) == 1
+    return found.filter(there).select(*docs.columns)
+
+
 def count_expressions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """order, key, above, n1, n0: in how many toxic and ordinary documents; labels: doc_id, toxic."""
-    # Labels grow with the documents: both are shuffled at every size.
-    rows = docs.select("doc_id", "text").join(labels.hint("shuffle_hash"), "doc_id").select("text", "toxic")
+    # Labels grow with the documents: both are shuffled at every size, of the texts those that may have a label.
+    rows = maybe_labelled(docs.select("doc_id", "text"), labels).join(labels.hint("shuffle_hash"), "doc_id").select("text", "toxic")
     counted = rows.mapInArrow(_count, "toxic int, order int, key long, above long, n long")
     of = {f"n{y}": F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)) for y in (0, 1)}
     found = counted.groupBy("order", "key", "above").agg(*(x.alias(c) for c, x in of.items()))
