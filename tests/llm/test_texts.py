@@ -457,3 +457,11 @@ def test_texts_without_label_are_not_shuffled_for_the_counts(spark):
     assert kneser.maybe_labelled(docs, labels.limit(0)).count() == 0
     counted = {(r["order"], r["n1"], r["n0"]) for r in kneser.count_expressions(docs, labels).collect()}
     assert counted == {(k, sum(i % 2 for i in usable), sum(1 - i % 2 for i in usable)) for k in (0, 1, 2)}
+
+
+def test_training_keeps_no_words_in_the_worker():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(["one two", "three"]), pa.array([7.0, 5.0])], ["label", "text", "n_chars"])
+    assert sum(out.num_rows for out in fm._pack(iter([batch]))) == 2
+    assert not fm._bucket
