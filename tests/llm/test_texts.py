@@ -71,6 +71,23 @@ def test_encoder_on_awkward_texts():
     assert own.many(texts) == [own.whole(t) for t in texts]
 
 
+def test_encoder_asks_for_each_piece_once_and_for_no_offsets():
+    own = planes.Encoder(planes.tokenizer_path())
+    texts = ["one two, two  three\n\nétude étude ´s it's", "", "two one", "three 'S 12 12"]
+    expected, asked, tokenizer = [own.whole(t) for t in texts], [], own.tokenizer
+
+    class Fast:
+        def encode_batch_fast(self, runs, add_special_tokens):
+            asked.extend(runs)
+            return tokenizer.encode_batch_fast(runs, add_special_tokens=add_special_tokens)
+
+    own.tokenizer = Fast()
+    assert own.many(texts) == expected
+    assert len(set(asked)) == len(asked) == 1 + len([p for p in own.number if not (p[0] == " " and p[1:].isalpha())])
+    asked.clear()
+    assert own.many(texts[::-1]) == expected[::-1] and asked == []
+
+
 # --- SimHash
 
 def plain_fingerprint(text):

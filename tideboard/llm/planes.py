@@ -11,8 +11,10 @@ shard, block, number of ids, length of each plane, and which documents' ids it h
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,33 +55,55 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        tokens = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(tokens.values(), default=0) + 1, np.int64)  # bytes of each id, a character of its token each
+        self.width[list(tokens.values())] = list(map(len, tokens))
+        self.start()
+
+    def start(self) -> None:
+        self.number = defaultdict(itertools.count().__next__)  # of pieces, in the order in which they are first met
+        self.ids = np.zeros(0, "<u4")  # of all pieces; where each piece's begin, and how many it has
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, pieces: list[str]) -> None:
-        """Encodes pieces that are words after a space in one run, which the tokenizer cuts into them again, and the
-        others one by one."""
-        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        run = self.tokenizer.encode("".join(words), add_special_tokens=False)
-        ids, of = np.asarray(run.ids, "<u4").tobytes(), np.asarray(run.word_ids, np.int64)
-        ends = (4 * np.flatnonzero(np.diff(of, append=-1)) + 4).tolist() if len(of) else []
-        if len(ends) == len(words):
-            self.known.update(zip(words, map(ids.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-            pieces = [p for p in pieces if p not in self.known]
-        for piece, found in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.known[piece] = np.asarray(found.ids, "<u4").tobytes()
+        """Encodes the pieces that are numbered next. Those that are words after a space go in one run, which the
+        tokenizer cuts into them again, and the others one by one."""
+        spaced = np.fromiter((p[0] == " " and p[1:].isalpha() for p in pieces), bool, len(pieces))
+        words = list(itertools.compress(pieces, spaced))
+        run = np.asarray(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        reached = np.cumsum(self.width[run])  # bytes up to the end of each id; each word's end has to be one of them
+        wanted = np.cumsum([len(w.encode()) for w in words], dtype=np.int64)
+        last = np.searchsorted(reached, wanted)
+        if not (len(words) and len(run) and reached[-1] == wanted[-1] and (reached[last] == wanted).all()):
+            spaced[:], run, last = False, run[:0], last[:0]
+        others = self.tokenizer.encode_batch_fast(list(itertools.compress(pieces, ~spaced)), add_special_tokens=False)
+        apart = [np.asarray(x.ids, "<u4") for x in others]
+        size = np.zeros(len(pieces), np.int64)
+        size[spaced], size[~spaced] = np.diff(last, prepend=-1), [len(x) for x in apart]
+        first = np.zeros(len(pieces), np.int64)
+        for which in (spaced, ~spaced):
+            first[which] = np.cumsum(size[which]) - size[which]
+        first += len(self.ids) + np.where(spaced, 0, len(run))
+        self.ids = np.concatenate([self.ids, run, *apart])
+        self.first, self.size = np.concatenate([self.first, first]), np.concatenate([self.size, size])
 
     def many(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > HELD_PIECES:
-            self.known.clear()
+        if len(self.number) > HELD_PIECES:
+            self.start()
         cut = [PIECES.findall(t) if SETTLED.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
-        new = list({p for c in cut if c for p in c}.difference(self.known))
+        counts = np.array([len(c or ()) for c in cut], np.int64)
+        pieces = np.fromiter(map(self.number.__getitem__, itertools.chain.from_iterable(c or () for c in cut)), np.int64, int(counts.sum()))
+        new = list(itertools.islice(self.number, len(self.size), None))
         for k in range(0, len(new), 50_000):
             self.learn(new[k : k + 50_000])
-        ids = self.known.__getitem__
-        return [self.whole(t) if c is None else b"".join(map(ids, c)) for t, c in zip(texts, cut, strict=True)]
+        sizes = self.size[pieces]
+        ends = np.cumsum(sizes)
+        places = np.repeat(self.first[pieces] - ends + sizes, sizes) + np.arange(int(sizes.sum()))
+        ids, bounds = self.ids[places].tobytes(), (4 * np.append(0, ends)[np.append(0, np.cumsum(counts))]).tolist()
+        return [self.whole(t) if c is None else ids[a:b] for t, c, a, b in zip(texts, cut, bounds[:-1], bounds[1:], strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
