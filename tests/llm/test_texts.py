@@ -439,6 +439,23 @@ def test_mixture_of_odd_rows(odd, none):
     assert raking.mix_documents(none).count() == 0 and raking.sample_documents(none).count() == 0
 
 
+def test_words_looked_at_first_change_no_sample(monkeypatch):
+    held = pieces.Lattices(pieces.Vocabulary(pieces.model_path(), pieces.ALPHA))
+    texts = ["some words of a text that is somewhat long " * 40, "x" * 300 + " two", "a", None, "\U0001f600 e\n\n f"]
+    drawn = []
+    for near in (1, 5, 128, 1 << 30):
+        monkeypatch.setattr(pieces, "NEAR", near)
+        found = pieces.sample(texts, list(range(5)), 4, held)
+        drawn.append([[(p.tolist(), *rest) for p, *rest in paths] for paths in found])
+    assert drawn[0] == drawn[1] == drawn[2] == drawn[3] and len(drawn[0][0]) == 4
+
+
+@pytest.mark.parametrize("text", ["", "a", " ", "  ", "a b", " a  b ", "a\nb", "\n\n a \n b\n", "a\tb \r\n c", "▁ x▁▁y▁\n", "a \x00 b\x1c"])
+def test_words_are_those_of_the_pattern(text):
+    marked = pieces.SPACE + text.replace(" ", pieces.SPACE)
+    assert pieces.words_of(text) == (pieces.WORDS.findall(marked) if text else [])
+
+
 def test_words_learnt_in_runs_draw_as_in_one(monkeypatch):
     vocabulary = pieces.Vocabulary(pieces.model_path(), pieces.ALPHA)
     texts = ["one two three four five six seven", "", "café \U0001f600 and\n\na line  of   spaces", "x" * 300 + " two", None]
