@@ -439,6 +439,17 @@ def test_mixture_of_odd_rows(odd, none):
     assert raking.mix_documents(none).count() == 0 and raking.sample_documents(none).count() == 0
 
 
+def test_few_words_are_held_while_texts_are_scored():
+    hot = kneser.Hot(np.zeros(0, np.uint64), np.zeros(0), None)
+    for k in range(0, 100_000, 1000):
+        text = " ".join(f"w{n}" for n in range(k, k + 1000))
+        fm.features(text, None)
+        assert hot.gather([text, None])[0].tolist() == [1000, 0]
+        assert len(fm._bucket) < 70_000 and len(kneser._words) < 70_000
+    fm._bucket.clear()
+    kneser._words.start()
+
+
 def test_words_looked_at_first_change_no_sample(monkeypatch):
     held = pieces.Lattices(pieces.Vocabulary(pieces.model_path(), pieces.ALPHA))
     texts = ["some words of a text that is somewhat long " * 40, "x" * 300 + " two", "a", None, "\U0001f600 e\n\n f"]

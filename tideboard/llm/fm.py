@@ -23,7 +23,7 @@ from tideboard.llm.common import slices, table, uniform
 
 BUCKETS, RANK = 1 << 16, 8
 PER_CLASS = 3000  # labelled rows of either label that the fit reads, about; the rest of the labels isn't needed
-SLICE_BYTES = 4 << 20
+SLICE_BYTES, WORDS_HELD = 2 << 20, 1 << 16
 STATISTICS = (
     "words", "word length", "distinct", "single", "commonest", "repeats", "capitals", "symbol runs", "bars", "digits",
     "marks", "lines", "line repeats", "short lines", "n_chars",
@@ -73,7 +73,7 @@ def features(text: str | None, n_chars: float | None) -> tuple[list[float], np.n
     damped = np.bincount(held, np.fromiter(counts.values(), float, len(counts))) if len(held) else np.zeros(0)
     at = np.flatnonzero(damped) if len(held) < BUCKETS // 64 else np.unique(held)
     x = np.log1p(damped[at])
-    if len(_bucket) > 400_000:
+    if len(_bucket) > WORDS_HELD:
         _bucket.clear()
     return statistics(text, words, counts, n_chars), at.astype(np.int32), (x / max(1e-9, np.linalg.norm(x))).astype(np.float32)
 

@@ -33,7 +33,8 @@ DISCOUNT, SHARED = 3.0, 5.0
 PAIR_CUT = 3  # documents; counts under DISCOUNT can't get beyond it, so the part of rarer pairs is nothing
 HOT_PARTS = 1 << 17  # parts that travel to the texts, at most; only speed depends on it
 SIEVE_BITS = 24  # of the filter for keys that have a part in the joined table; it lets some others through, loses none
-WORDS_HELD = 400_000
+WORDS_HELD = 400_000  # while expressions are counted, where a new start writes what was added up
+WORDS_MET = 1 << 16  # while parts are looked up, where a new start costs little
 CALIBRATE_ROWS = 20_000  # labelled rows of the calibration fold, about, that the two coefficients are fitted on
 SLICE_BYTES, HELD_KEYS = 2 << 20, 1 << 20
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -117,8 +118,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[tuple[int, int], list] = {(y, order): [] for y in (0, 1) for order in (0, 1, 2)}
 
     def merged(at) -> tuple[np.ndarray, np.ndarray]:
-        keys, inverse = np.unique(np.concatenate([k for k, _ in held[at]]), return_inverse=True)
-        return keys, np.bincount(inverse, np.concatenate([n for _, n in held[at]]), len(keys)).astype(np.int64)
+        keys, n = (np.concatenate(x) for x in zip(*held[at], strict=True))
+        held[at] = []
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+        return keys[first], np.add.reduceat(n, first) if len(first) else n
 
     def named(order: int, keys: np.ndarray) -> list[np.ndarray]:
         if order == 0:
@@ -129,7 +134,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(at) -> Iterator[pa.RecordBatch]:
         keys, n = merged(at)
-        held[at] = []
         for k in range(0, len(keys), 100_000):
             part = slice(k, k + 100_000)
             fixed = [pa.array(np.full(len(keys[part]), v, np.int32)) for v in at]
@@ -192,7 +196,7 @@ class Hot:
     def gather(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Each text's number of distinct pairs and sum of parts here; then text, key and how often it counts, for keys
         to be joined."""
-        if len(_words) > WORDS_HELD:
+        if len(_words) > WORDS_MET:
             _words.start()
         pairs = distinct_pairs(*numbered(texts))
         sizes = np.array([len(x) for x in pairs], np.int64)
