@@ -88,6 +88,17 @@ def test_encoder_asks_for_each_piece_once_and_for_no_offsets():
     assert own.many(texts[::-1]) == expected[::-1] and asked == []
 
 
+def test_encoder_keeps_the_pieces_that_it_meets_again(monkeypatch):
+    monkeypatch.setattr(planes, "HELD_PIECES", 8)
+    own = planes.Encoder(planes.tokenizer_path())
+    for texts in (["one two three two one", "étude four, four"], ["five two six", "one"], [f"w{k} x{k}" for k in range(9)], ["one two"]):
+        assert own.many(texts) == [own.whole(t) for t in texts]
+    own = planes.Encoder(planes.tokenizer_path())
+    own.many(["one two three two one", "étude four, four five six seven"])
+    own.many([" two"])
+    assert " two" in own.number and " three" not in own.number and len(own.number) < 8
+
+
 # --- SimHash
 
 def plain_fingerprint(text):

@@ -58,12 +58,24 @@ class Encoder:
         tokens = self.tokenizer.get_vocab()
         self.width = np.zeros(max(tokens.values(), default=0) + 1, np.int64)  # bytes of each id, a character of its token each
         self.width[list(tokens.values())] = list(map(len, tokens))
-        self.start()
-
-    def start(self) -> None:
         self.number = defaultdict(itertools.count().__next__)  # of pieces, in the order in which they are first met
-        self.ids = np.zeros(0, "<u4")  # of all pieces; where each piece's begin, and how many it has
-        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")  # of all pieces; where each piece's begin, how many it has, and how often it was met
+        self.first, self.size, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Keeps the pieces that were met again, or none if those are too many."""
+        again = self.met > 1
+        if again.sum() > HELD_PIECES // 2:
+            again[:] = False
+        kept = list(itertools.compress(self.number, again))
+        self.number = defaultdict(itertools.count(len(kept)).__next__, zip(kept, range(len(kept)), strict=True))
+        self.ids, self.size = self.of(np.flatnonzero(again)), self.size[again]
+        self.first, self.met = np.cumsum(self.size) - self.size, np.zeros(len(kept), np.int64)
+
+    def of(self, pieces: np.ndarray) -> np.ndarray:
+        """The ids of a sequence of pieces."""
+        sizes = self.size[pieces]
+        return self.ids[np.repeat(self.first[pieces] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -73,9 +85,10 @@ class Encoder:
         tokenizer cuts into them again, and the others one by one."""
         spaced = np.fromiter((p[0] == " " and p[1:].isalpha() for p in pieces), bool, len(pieces))
         words = list(itertools.compress(pieces, spaced))
-        run = np.asarray(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        joined = "".join(words)
+        run = np.asarray(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
         reached = np.cumsum(self.width[run])  # bytes up to the end of each id; each word's end has to be one of them
-        wanted = np.cumsum([len(w.encode()) for w in words], dtype=np.int64)
+        wanted = np.cumsum(list(map(len, words if joined.isascii() else map(str.encode, words))), dtype=np.int64)
         last = np.searchsorted(reached, wanted)
         if not (len(words) and len(run) and reached[-1] == wanted[-1] and (reached[last] == wanted).all()):
             spaced[:], run, last = False, run[:0], last[:0]
@@ -92,17 +105,16 @@ class Encoder:
 
     def many(self, texts: list[str]) -> list[bytes]:
         if len(self.number) > HELD_PIECES:
-            self.start()
+            self.forget()
         cut = [PIECES.findall(t) if SETTLED.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
         counts = np.array([len(c or ()) for c in cut], np.int64)
         pieces = np.fromiter(map(self.number.__getitem__, itertools.chain.from_iterable(c or () for c in cut)), np.int64, int(counts.sum()))
         new = list(itertools.islice(self.number, len(self.size), None))
         for k in range(0, len(new), 50_000):
             self.learn(new[k : k + 50_000])
-        sizes = self.size[pieces]
-        ends = np.cumsum(sizes)
-        places = np.repeat(self.first[pieces] - ends + sizes, sizes) + np.arange(int(sizes.sum()))
-        ids, bounds = self.ids[places].tobytes(), (4 * np.append(0, ends)[np.append(0, np.cumsum(counts))]).tolist()
+        self.met = np.append(self.met, np.zeros(len(new), np.int64)) + np.bincount(pieces, minlength=len(self.size))
+        ends = 4 * np.append(0, np.cumsum(self.size[pieces]))
+        ids, bounds = self.of(pieces).tobytes(), ends[np.append(0, np.cumsum(counts))].tolist()
         return [self.whole(t) if c is None else ids[a:b] for t, c, a, b in zip(texts, cut, bounds[:-1], bounds[1:], strict=True)]
 
 
