@@ -521,3 +521,10 @@ def test_training_keeps_no_words_in_the_worker():
     batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(["one two", "three"]), pa.array([7.0, 5.0])], ["label", "text", "n_chars"])
     assert sum(out.num_rows for out in fm._pack(iter([batch]))) == 2
     assert not fm._bucket
+
+
+def test_no_filed_fingerprints_are_sent_to_the_driver(spark):
+    df = spark.range(300).selectExpr("id * 7919 AS fp")
+    for found in (simhash.fine_links(df), simhash.links(df)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
