@@ -523,6 +523,31 @@ def test_training_keeps_no_words_in_the_worker():
     assert not fm._bucket
 
 
+def test_sets_of_long_texts_that_share_a_line_are_not_made_again(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    line = " ".join(f"line{k}" for k in range(40))
+    rows = [(k, line + " " + " ".join(f"w{n}" for n in rng.integers(0, 1 << 30, 5000))) for k in range(12)]
+    words = [f"v{n}" for n in rng.integers(0, 1 << 30, 2060)]  # their bitmaps differ in length
+    rows += [(20, " ".join(words)), (21, " ".join(words[:2030]))]
+    made, whole = [], copies.whole_sets
+    monkeypatch.setattr(copies, "whole_sets", lambda docs, classes, wanted, n: made.append(wanted.count()) or whole(docs, classes, wanted, n))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r["component_id"] for r in copies.near_copies(docs).collect()}
+    assert found == {k: k for k in range(12)} | {20: 20, 21: 20} and sum(made) == 2
+    assert "shingles" not in copies.shingle_sets(docs).columns
+
+
+def test_rows_are_kept_without_moving_texts(spark):
+    docs = spark.range(4000).selectExpr("IF(id % 100 = 99, NULL, id % 3990) AS doc_id", "concat('text ', id % 3990) AS text")
+    found = docs.selectExpr("doc_id", "IF(doc_id % 7 = 3, doc_id - 1, doc_id) AS component_id")
+    kept = sorted(str(r["doc_id"]) for r in simhash.keep_one(docs, lambda _: found).collect())
+    ids = [None if i % 100 == 99 else i % 3990 for i in range(4000)]
+    once = {i for i in ids if i is not None and i % 7 != 3}
+    assert kept == sorted(map(str, [*once, *(None for i in ids if i is None)]))
+    moved = simhash.sieved(docs, found.filter("doc_id <> component_id"), among=False)
+    assert "Exchange hashpartitioning(doc_id" not in moved._jdf.queryExecution().executedPlan().toString()
+
+
 def test_no_filed_fingerprints_are_sent_to_the_driver(spark):
     df = spark.range(300).selectExpr("id * 7919 AS fp")
     for found in (simhash.fine_links(df), simhash.links(df)):

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideboard.llm.common import slices, staged, table, uniform
+from tideboard.llm.common import sieved, slices, staged, table, uniform
 
 STEM_BYTES = 5
 DISCOUNT, SHARED = 3.0, 5.0
@@ -268,20 +268,9 @@ def score_of(ratios: Ratios) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), margin))))
 
 
-def _place(key: Column) -> tuple[Column, Column]:
-    """Word and bit of a key in a map of 2 ** SIEVE_BITS bits."""
-    place = F.xxhash64(key.cast("string")).bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))
-    return F.shiftright(place, 6).cast("int"), place.bitwiseAND(F.lit(63)).cast("int")
-
-
 def maybe_labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows whose doc_id may be among the labels': all that are, and few others. The map of the labels' bits has a
-    fixed size, so it can travel; the join that follows is exact."""
-    word, bit = _place(F.col("doc_id"))
-    ones = labels.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_ones"))
-    found = docs.join(F.broadcast(ones), word == F.col("_word"))
-    there = F.call_function("shiftright", F.col("_ones"), bit).bitwiseAND(F.lit(1).cast("long")) == 1
-    return found.filter(there).select(*docs.columns)
+    """The rows whose doc_id may be among the labels': all that are, and few others. The join that follows is exact."""
+    return sieved(docs, labels)
 
 
 def count_expressions(docs: DataFrame, labels: DataFrame) -> DataFrame:
