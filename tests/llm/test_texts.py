@@ -553,3 +553,13 @@ def test_no_filed_fingerprints_are_sent_to_the_driver(spark):
     for found in (simhash.fine_links(df), simhash.links(df)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_op6_gives_the_segmentations_whole(spark, tmp_path):
+    text = {1: "some words of a text", 2: "caf\u00e9 \U0001f600 and\n\na line  of   spaces", 3: "x" * 300 + " two"}
+    spark.createDataFrame(list(text.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = pieces.decode_pieces(pieces.op6_gumbel_pieces(spark, str(tmp_path))).collect()
+    assert sorted((r["doc_id"], r["sample"]) for r in found) == [(i, k) for i in text for k in (1, 2)]
+    for r in found:
+        assert r["decodes"] and r["text"] == text[r["doc_id"]] and len(r["ids"]) == r["n_ids"]
+        assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
