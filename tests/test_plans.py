@@ -113,3 +113,13 @@ def test_small_tables_are_dealt_out_on_a_cluster_too(spark, monkeypatch):
     monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     cores = spark.sparkContext.defaultParallelism
     assert fx.spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == cores
+
+
+def test_cards_of_result_pages_are_scanned_once(spark, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(pn, "cut_lineage", lambda df, name, write=pn.cut_lineage: (plans.update({name: plan(df)}), write(df, name))[1])
+    html = '<div data-jk="1"><h2 class="jobTitle"><a href="/jobs/1">Data Engineer</a></h2><span class="companyName">Acme</span></div>'
+    pages = spark.createDataFrame([(1, "https://www.board-a.example.com/search?q=data&page=1", html)], "page_id long, url string, html string")
+    found = pn.board_search_pages(pages, fx.BOARD, fx.BOARD_URL).collect()
+    assert [(r["title"], r["company"]) for r in found] == [("Data Engineer", "Acme")]
+    assert "MapInArrow" in plans["raw-cards"] and "ArrowEvalPython" not in plans["raw-cards"]
